@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_output
+from . import decontamination, packing, secrets, token_output
 from .tokens import tokenizer_path
 
 
@@ -13,6 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 1)
 
@@ -21,5 +25,55 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.packed_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 2)
 
 
-QUERIES = {f.__name__: f for f in (op5_packing, op7_token_output)}
-ORACLE_SQL: dict[str, str] = {}
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_decontamination, op5_packing, op7_token_output, op8_secrets)}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS3 = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP3_SQL = f"""
+WITH dw AS (SELECT doc_id, {_WORDS3} AS w FROM documents),
+iw AS (SELECT CAST(item_id AS VARCHAR) AS item, w FROM (SELECT item_id, {_WORDS3} AS w FROM benchmark) WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS g
+        FROM (SELECT item, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM iw)),
+pos AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, (SELECT DISTINCT n FROM win))),
+hits AS (SELECT doc_id, i, n, item FROM pos JOIN win USING (n, g)),
+hit_words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY doc_id),
+hit_items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
+
+
+def _kind_sql(number: int) -> str:
+    name, pattern, group, least = secrets.KINDS[number]
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, source, {number} AS kind, '{name}' AS name, m AS whole, v AS val, s AS start, s + length(m) AS stop FROM (
+        SELECT doc_id, source, m[i] AS m, v[i] AS v, list_sum([length(x) FOR x IN b[1:i]]) + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0) AS s
+        FROM (SELECT doc_id, source, m, v, b, unnest(range(1, len(m) + 1)) AS i FROM (
+            SELECT doc_id, source, regexp_extract_all(text, '{p}', 0) AS m, regexp_extract_all(text, '{p}', {group}) AS v, string_split_regex(text, '{p}') AS b
+            FROM documents WHERE text IS NOT NULL)))
+        WHERE length(v) >= {least}"""
+
+
+OP8_SQL = f"""
+WITH cand AS ({" UNION ALL ".join(_kind_sql(k) for k in range(len(secrets.KINDS)))}),
+own AS (SELECT val, count(DISTINCT coalesce(source, chr(0))) AS owners FROM cand GROUP BY val),
+kept AS (SELECT doc_id, kind, name, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, owners,
+                owners <= {secrets.MAX_OWNERS} AND len(list_distinct(string_split(val, ''))) >= {secrets.MIN_CHARACTERS} AS live
+         FROM cand JOIN own USING (val)),
+agg AS (SELECT doc_id, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS c,
+               string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (kind < {len(secrets.BASE)}) AS base,
+               string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans,
+               count(*) FILTER (live) AS n_live, count(*) FILTER (owners > {secrets.MAX_OWNERS}) AS n_copied
+        FROM kept WHERE kind < {len(secrets.BASE)} OR live GROUP BY doc_id)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM documents LEFT JOIN agg USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": OP3_SQL, "op8_secrets": OP8_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, near_dedup, neighbours, packing, secrets, token_output, toxicity
+from . import decontamination, html_text, licences, near_dedup, neighbours, packing, secrets, token_output, toxicity
 from .tokens import tokenizer_path
 
 
@@ -13,6 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -25,6 +29,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 1)
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.packed_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 2)
 
@@ -41,7 +49,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op4_toxicity, op5_packing, op7_token_output, op8_secrets, op9_neighbours, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op3_decontamination, op4_toxicity, op5_packing, op6_licences, op7_token_output, op8_secrets, op9_neighbours, op10_near_dedup)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS3 = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -88,4 +96,6 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(
 FROM documents LEFT JOIN agg USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": OP3_SQL, "op8_secrets": OP8_SQL}
+
+def oracle_sql() -> dict[str, str]:
+    return {"op3_decontamination": OP3_SQL, "op6_licences": licences.oracle_sql(), "op8_secrets": OP8_SQL}

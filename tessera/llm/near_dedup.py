@@ -3,9 +3,9 @@
 A document's set holds its distinct five-word shingles (64-bit hashes). A register is kept for each of
 ``REGISTERS`` buckets of the hash space: the number of leading zeros of the bucket's least hash and its
 next ``MANTISSA`` bits, 16 bits in all; an empty bucket borrows from another in an order that is fixed for
-each bucket. Bands of ``ROWS`` registers give keys; documents that share a key are candidates. The
+each bucket. ``BANDS`` bands of ``ROWS`` registers give keys; documents that share a key are candidates. The
 Jaccard index is estimated from equal registers, corrected for those equal by chance, and candidates
-with an estimate of ``LEAST_ESTIMATE`` or more (six standard errors below the threshold) are verified on
+with an estimate of ``LEAST_ESTIMATE`` or more (five standard errors below the threshold), and sizes that allow it, are verified on
 full sets.
 
 Only connectivity matters, so a group never makes all its pairs:
@@ -34,11 +34,14 @@ from .common import written
 
 WORDS = 5
 SIMILAR = (75, 100)
-REGISTERS = 128
+REGISTERS = 256
 ROWS = 4
+BANDS = 32
 MANTISSA = 10
-LEAST_ESTIMATE = 0.52
+LEAST_ESTIMATE = 0.61
 BLOCK = 256
+#: Ids that are broadcast, to fetch texts without a shuffle of all of them, at most; more take a shuffle.
+BROADCAST_IDS = 1_000_000
 MAX_ROUNDS = 12
 MEMO_ENTRIES = 500_000
 
@@ -96,7 +99,7 @@ def registers(hashes: np.ndarray) -> np.ndarray:
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
-    packed = np.ascontiguousarray(regs.reshape(-1, ROWS)).view(np.uint64).reshape(-1)
+    packed = np.ascontiguousarray(regs[: BANDS * ROWS].reshape(-1, ROWS)).view(np.uint64).reshape(-1)
     return _mix(packed ^ _mix(np.arange(len(packed), dtype=np.uint64) + np.uint64(77))).view(np.int64)
 
 
@@ -111,26 +114,24 @@ def numbered(docs: DataFrame, *names: str) -> DataFrame:
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """rid, doc_id, n, d1, d2 (digest of the set), keys, regs: written to the shared folder."""
+    """rid, doc_id, n, d1, d2 (digest of the set), regs: written to the shared folder."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2)
-            n, d1, d2, keys, regs = [], [], [], [], []
+            n, d1, d2, regs = [], [], [], []
             for text in texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_pylist():
                 s = shingles(text)
                 n.append(len(s))
                 digest = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
                 d1.append(digest[0])
                 d2.append(digest[1])
-                r = registers(s) if len(s) else None
-                keys.append(None if r is None else band_keys(r))
-                regs.append(None if r is None else r.tobytes())
-            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(regs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "n", "d1", "d2", "keys", "regs"])
+                regs.append(registers(s).tobytes() if len(s) else None)
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(regs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "n", "d1", "d2", "regs"])
 
     texts = rows.select("rid", "doc.doc_id", F.coalesce("doc.text", F.lit("")).alias("text"))
-    return written(texts.mapInArrow(sign, "rid long, doc_id long, n long, d1 long, d2 long, keys array<bigint>, regs binary"), "signatures")
+    return written(texts.mapInArrow(sign, "rid long, doc_id long, n long, d1 long, d2 long, regs binary"), "signatures")
 
 
 def _close(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -148,6 +149,13 @@ def _close(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInArrow(passed, "a long, b long")
 
 
+def _texts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """rid, text of the documents in pairs."""
+    need = written(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "rid"), "needed")
+    need = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
+    return rows.join(need, "rid", "left_semi").select("rid", F.coalesce("doc.text", F.lit("")).alias("text"))
+
+
 def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full sets are similar."""
     share, of = SIMILAR
@@ -165,7 +173,7 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    texts = rows.select("rid", F.coalesce("doc.text", F.lit("")).alias("text"))
+    texts = _texts(pairs, rows)
     joined = pairs.join(texts.withColumnsRenamed({"rid": "a", "text": "x"}), "a").join(texts.withColumnsRenamed({"rid": "b", "text": "y"}), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long")
 
@@ -188,26 +196,33 @@ def components(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
 
 
 def _buckets(sigs: DataFrame) -> DataFrame:
-    """key, rid: bands' buckets that hold two documents at least."""
-    rows = sigs.select("rid", F.explode("keys").alias("key"))
+    """key, rid, n: bands' buckets that hold two documents at least."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [band_keys(np.frombuffer(r, np.uint16)) for r in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["rid", "n", "keys"])
+
+    rows = sigs.select("rid", "n", "regs").mapInArrow(keyed, "rid long, n long, keys array<bigint>").select("rid", "n", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     return written(rows.join(written(shared, "keys"), "key"), "buckets")
 
 
 def _left(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """key, rid, label of the buckets that hold several components."""
+    """key, rid, n, label of the buckets that hold several components."""
     if labels is None:
         return buckets.withColumn("label", F.col("rid"))
-    now = written(buckets.join(labels, "rid", "left").select("key", "rid", F.coalesce("label", "rid").alias("label")), "labelled")
+    now = written(buckets.join(labels, "rid", "left").select("key", "rid", "n", F.coalesce("label", "rid").alias("label")), "labelled")
     several = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     return written(now.join(written(several, "several"), "key"), "left")
 
 
 def _star(left: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b): members of a bucket and the one of them that comes first in the turn's order."""
-    order = F.struct(F.xxhash64("rid", F.lit(turn)).alias("o") if turn else F.col("rid").alias("o"), "rid", "label")
-    hubs = written(left.groupBy("key").agg(F.min(order).alias("h")).select("key", F.col("h.rid").alias("b"), F.col("h.label").alias("hub_label")), "hubs")
-    return left.join(hubs, "key").filter("label <> hub_label").select(F.col("rid").alias("a"), "b").distinct()
+    order = F.struct(F.xxhash64("rid", F.lit(turn)).alias("o") if turn else F.col("rid").alias("o"), "rid", "label", "n")
+    hubs = written(left.groupBy("key").agg(F.min(order).alias("h")).select("key", F.col("h.rid").alias("b"), F.col("h.label").alias("hub_label"), F.col("h.n").alias("hub_n")), "hubs")
+    sizes = SIMILAR[1] * F.least("n", "hub_n") >= SIMILAR[0] * F.greatest("n", "hub_n")
+    return left.join(hubs, "key").filter("label <> hub_label").filter(sizes).select(F.col("rid").alias("a"), "b").distinct()
 
 
 def _rest(left: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -219,20 +234,22 @@ def _rest(left: DataFrame, sigs: DataFrame) -> DataFrame:
     members, outer = F.ceil(F.col("m") / BLOCK).cast("int"), F.ceil(F.col("o") / BLOCK).cast("int")
     part = lambda n: F.pmod(F.xxhash64("rid"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    a = mine.filter("label <> main").select("key", part(outer).alias("i"), every(members).alias("j"), F.lit(0).alias("side"), "rid", "label", "regs")
-    b = mine.select("key", every(outer).alias("i"), part(members).alias("j"), F.lit(1).alias("side"), "rid", "label", "regs")
+    a = mine.filter("label <> main").select("key", part(outer).alias("i"), every(members).alias("j"), F.lit(0).alias("side"), "rid", "label", "n", "regs")
+    b = mine.select("key", every(outer).alias("i"), part(members).alias("j"), F.lit(1).alias("side"), "rid", "label", "n", "regs")
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(rows: list[tuple]) -> tuple[list[int], list[int]]:
             x, y = [r for r in rows if r[3] == 0], [r for r in rows if r[3] == 1]
             if not x or not y:
                 return [], []
-            rid, label = (np.array([r[k] for r in x]) for k in (4, 5))
-            rid2, label2 = (np.array([r[k] for r in y]) for k in (4, 5))
-            regs2 = np.frombuffer(b"".join(r[6] for r in y), np.uint16).reshape(-1, REGISTERS)
+            rid, label, n = (np.array([r[k] for r in x]) for k in (4, 5, 6))
+            rid2, label2, n2 = (np.array([r[k] for r in y]) for k in (4, 5, 6))
+            regs2 = np.frombuffer(b"".join(r[7] for r in y), np.uint16).reshape(-1, REGISTERS)
             out: tuple[list[int], list[int]] = ([], [])
-            for one, own, r in zip(rid, label, x, strict=True):
-                ok = (label2 != own) & (estimate(np.frombuffer(r[6], np.uint16), regs2) >= LEAST_ESTIMATE)
+            share, of = SIMILAR
+            for one, own, size, r in zip(rid, label, n, x, strict=True):
+                ok = (label2 != own) & (of * np.minimum(n2, size) >= share * np.maximum(n2, size))
+                ok[ok] = estimate(np.frombuffer(r[7], np.uint16), regs2[ok]) >= LEAST_ESTIMATE
                 out[0].extend(np.maximum(rid2[ok], one).tolist())
                 out[1].extend(np.minimum(rid2[ok], one).tolist())
             return out
@@ -291,7 +308,7 @@ def groups(rows: DataFrame) -> DataFrame:
     id_order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     sets = written(some.groupBy("d1", "d2").agg(F.min("rid").alias("rep"), F.min(id_order).alias("least")), "sets")
     distinct = some.join(sets.select(F.col("rep").alias("rid")), "rid", "left_semi")
-    distinct = written(distinct.select("rid", "keys", "regs"), "distinct")
+    distinct = written(distinct.select("rid", "n", "regs"), "distinct")
     labels = linked(distinct, rows)
     if labels is not None:
         sets = sets.join(labels, sets.rep == labels.rid, "left").select("d1", "d2", "least", F.coalesce("label", "rep").alias("label"))

@@ -9,9 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import written
-from tessera.llm.stages import pack
+from tessera.llm.stages import drop_contaminated, drop_near_duplicates, drop_toxic, mask_secrets, pack
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", mask_secrets),
+    ("packing", pack),
+]
 #: SQL can't express the stages; tests/llm/test_pipeline.py holds them against brute force.
 ORACLE_SQL = None
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, licences, near_dedup, neighbours, packing, secrets, token_output, toxicity
+from . import decontamination, html_text, licences, near_dedup, neighbours, packing, secrets, suffix_dedup, token_output, toxicity
 from .tokens import tokenizer_path
 
 
@@ -17,6 +17,10 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents")).drop("begins", "ends")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,7 +53,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op3_decontamination, op4_toxicity, op5_packing, op6_licences, op7_token_output, op8_secrets, op9_neighbours, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_suffix_dedup, op3_decontamination, op4_toxicity, op5_packing, op6_licences, op7_token_output, op8_secrets, op9_neighbours, op10_near_dedup)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS3 = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 

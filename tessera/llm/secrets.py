@@ -41,6 +41,8 @@ MAX_OWNERS = 2
 MIN_CHARACTERS = 8
 #: Parts into which the rows of one value are dealt for the join with its verdict.
 SALTS = 16
+#: Documents with live-looking spans whose spans are broadcast to mask them, at most; more take a shuffle.
+BROADCAST_ROWS = 200_000
 
 SPAN = "struct<start:int,kind:int,end:int,value:bigint,varied:boolean>"
 
@@ -123,6 +125,8 @@ def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", m
     numbered = written(packed, "numbered")
     found = candidates(numbered.select(F.col("_row").alias("_id"), F.col(f"doc.{owner}").alias("o"), F.col(f"doc.{repository}").alias("r"), F.col("doc.text").alias("text")), "o", "r", "_id")
     live = judged(found).select(F.col("doc_id").alias("_row"), F.filter("spans", lambda s: s["live"]).alias("_spans")).filter(F.size("_spans") > 0)
+    live = written(live, "live")
+    live = F.broadcast(live) if live.count() <= BROADCAST_ROWS else live
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, text_of
+from .common import scratch_path, text_of, tidy
 from .tokens import encoder
 
 SEGMENT_IDS = 1 << 16
@@ -123,13 +123,9 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str, end_id: int, segmen
             yield row()
 
     text = text_of()
-    (
-        docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text"))
-        .repartitionByRange("doc_id", "h")
-        .sortWithinPartitions("doc_id", "h", "text")
-        .mapInArrow(segments, SEGMENT_SCHEMA)
-        .write.parquet(path)
-    )
+    ordered = docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    with tidy(docs.sparkSession):
+        ordered.mapInArrow(segments, SEGMENT_SCHEMA).write.parquet(path)
 
 
 def read_packed(spark: SparkSession, path: str) -> DataFrame:

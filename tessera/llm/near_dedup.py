@@ -1,12 +1,14 @@
 """Near-duplicate documents by HyperMinHash.
 
-A document's set holds its distinct five-word shingles (64-bit hashes). A register is kept for each of
-``REGISTERS`` buckets of the hash space: the number of leading zeros of the bucket's least hash and its
-next ``MANTISSA`` bits, 16 bits in all; an empty bucket borrows from another in an order that is fixed for
-each bucket. ``BANDS`` bands of ``ROWS`` registers give keys; documents that share a key are candidates. The
-Jaccard index is estimated from equal registers, corrected for those equal by chance, and candidates
-with an estimate of ``LEAST_ESTIMATE`` or more (five standard errors below the threshold), and sizes that allow it, are verified on
-full sets.
+A document's set holds its distinct five-word shingles (64-bit hashes). For each bucket of the hash space
+a register keeps the number of leading zeros of the bucket's least hash and some bits of mantissa after
+them, twice:
+
+- ``REGISTERS`` registers of 16 bits, of which bands of ``ROWS`` give keys; an empty bucket borrows from
+  another in an order that is fixed for each bucket. Documents that share a key are candidates.
+- ``SKETCH`` registers of 8 bits (0: empty), from which the Jaccard index is estimated, corrected for registers equal by
+  chance. Candidates whose sizes allow it and whose estimate is ``LEAST_ESTIMATE`` or more (over four
+  standard errors below the threshold) are verified on full sets.
 
 Only connectivity matters, so a group never makes all its pairs:
 
@@ -30,26 +32,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 WORDS = 5
 SIMILAR = (75, 100)
-REGISTERS = 256
-ROWS = 4
-BANDS = 32
-MANTISSA = 10
-LEAST_ESTIMATE = 0.61
+REGISTERS, ROWS, MANTISSA = 128, 4, 10
+SKETCH, SKETCH_MANTISSA = 1024, 4
+LEAST_ESTIMATE = 0.69
 BLOCK = 256
 #: Ids that are broadcast, to fetch texts without a shuffle of all of them, at most; more take a shuffle.
 BROADCAST_IDS = 1_000_000
 MAX_ROUNDS = 12
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 250_000
 
-_BUCKET_BITS = REGISTERS.bit_length() - 1
-_STARTS = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(64 - _BUCKET_BITS)
-_REST = np.uint64((1 << 64 - _BUCKET_BITS) - 1)
-#: Two different leasts fall in one register: the same leading zeros (a third), the same mantissa.
-BY_CHANCE = 1 / 3 / (1 << MANTISSA)
+#: Two different leasts fall in one register of the sketch: the same leading zeros (a third), the same mantissa.
+BY_CHANCE = 1 / 3 / (1 << SKETCH_MANTISSA)
 _memo: dict[bytes, int] = {}
 
 
@@ -85,27 +82,40 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def registers(hashes: np.ndarray) -> np.ndarray:
-    """Registers of sorted distinct hashes, of which there is one at least."""
-    at = np.minimum(hashes.searchsorted(_STARTS), len(hashes) - 1)
-    least = hashes[at]
-    full = least >> np.uint64(64 - _BUCKET_BITS) == np.arange(REGISTERS, dtype=np.uint64)
-    full &= least >= _STARTS
-    m, e = np.frexp((least & _REST).astype(np.float64))
+def _leasts(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least of sorted distinct hashes in each bucket of the first bits, without these; and which buckets have one."""
+    starts = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    least = hashes[np.minimum(hashes.searchsorted(starts), len(hashes) - 1)]
+    full = (least >> np.uint64(64 - bits) == np.arange(1 << bits, dtype=np.uint64)) & (least >= starts)
+    return least & np.uint64((1 << 64 - bits) - 1), full
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """Keys of the bands of sorted distinct hashes, of which there is one at least."""
+    least, full = _leasts(hashes, REGISTERS.bit_length() - 1)
+    m, e = np.frexp(least.astype(np.float64))
     out = (e.astype(np.uint16) << MANTISSA) | ((m - 0.5).clip(0) * (2 << MANTISSA)).astype(np.uint16)
     if not full.all():
         out = np.where(full, out, out[_ORDER[np.arange(REGISTERS), full[_ORDER].argmax(axis=1)]])
-    return out
+    packed = np.ascontiguousarray(out.reshape(-1, ROWS)).view(np.uint64).reshape(-1)
+    return _mix(packed ^ _mix(np.arange(len(packed), dtype=np.uint64) + np.uint64(77))).view(np.int64)
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
-    packed = np.ascontiguousarray(regs[: BANDS * ROWS].reshape(-1, ROWS)).view(np.uint64).reshape(-1)
-    return _mix(packed ^ _mix(np.arange(len(packed), dtype=np.uint64) + np.uint64(77))).view(np.int64)
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The 8-bit registers of sorted distinct hashes, of which there is one at least."""
+    bits = SKETCH.bit_length() - 1
+    least, full = _leasts(hashes, bits)
+    m, e = np.frexp(least.astype(np.float64))
+    zeros = np.minimum(64 - bits - e, 15)
+    out = 1 + (zeros << SKETCH_MANTISSA) + ((m - 0.5).clip(0) * (2 << SKETCH_MANTISSA)).astype(np.int64)
+    return np.where(full, np.minimum(out, 255), 0).astype(np.uint8)
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard index from registers (last axis), corrected for equality by chance."""
-    return np.clip(((a == b).mean(axis=-1) - BY_CHANCE) / (1 - BY_CHANCE), 0, 1)
+    """Jaccard index from sketches (last axis): equal registers among those that either has, corrected for chance."""
+    either = ((a | b) != 0).sum(axis=-1)
+    equal = ((a == b) & (a != 0)).sum(axis=-1)
+    return np.clip((equal / np.maximum(either, 1) - BY_CHANCE) / (1 - BY_CHANCE), 0, 1)
 
 
 def numbered(docs: DataFrame, *names: str) -> DataFrame:
@@ -114,38 +124,45 @@ def numbered(docs: DataFrame, *names: str) -> DataFrame:
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """rid, doc_id, n, d1, d2 (digest of the set), regs: written to the shared folder."""
+    """rid, doc_id, n, d1, d2 (digest of the set), keys, sketch: written to the shared folder."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(2)
-            n, d1, d2, regs = [], [], [], []
-            for text in texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_pylist():
-                s = shingles(text)
-                n.append(len(s))
-                digest = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-                d1.append(digest[0])
-                d2.append(digest[1])
-                regs.append(registers(s).tobytes() if len(s) else None)
-            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(regs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "n", "d1", "d2", "regs"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                texts = batch.column(2)
+                n, d1, d2, keys, sketches = [], [], [], [], []
+                for text in texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_pylist():
+                    s = shingles(text)
+                    n.append(len(s))
+                    digest = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
+                    d1.append(digest[0])
+                    d2.append(digest[1])
+                    keys.append(band_keys(s) if len(s) else None)
+                    sketches.append(sketch(s).tobytes() if len(s) else None)
+                columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "n", "d1", "d2", "keys", "sketch"])
 
     texts = rows.select("rid", "doc.doc_id", F.coalesce("doc.text", F.lit("")).alias("text"))
-    return written(texts.mapInArrow(sign, "rid long, doc_id long, n long, d1 long, d2 long, regs binary"), "signatures")
+    return written(texts.mapInArrow(sign, "rid long, doc_id long, n long, d1 long, d2 long, keys array<bigint>, sketch binary"), "signatures")
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH)
 
 
 def _close(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """Pairs (a, b) whose estimate passes."""
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in (2, 3))
-                keep = pa.array(estimate(x, y) >= LEAST_ESTIMATE)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                keep = pa.array(estimate(_sketches(batch.column(2)), _sketches(batch.column(3))) >= LEAST_ESTIMATE)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    regs = sigs.select("rid", "regs")
-    joined = pairs.join(regs.withColumnsRenamed({"rid": "a", "regs": "x"}), "a").join(regs.withColumnsRenamed({"rid": "b", "regs": "y"}), "b")
+    sketches = sigs.select("rid", "sketch")
+    joined = pairs.join(sketches.withColumnsRenamed({"rid": "a", "sketch": "x"}), "a").join(sketches.withColumnsRenamed({"rid": "b", "sketch": "y"}), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(passed, "a long, b long")
 
 
@@ -198,12 +215,7 @@ def components(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
 def _buckets(sigs: DataFrame) -> DataFrame:
     """key, rid, n: bands' buckets that hold two documents at least."""
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [band_keys(np.frombuffer(r, np.uint16)) for r in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["rid", "n", "keys"])
-
-    rows = sigs.select("rid", "n", "regs").mapInArrow(keyed, "rid long, n long, keys array<bigint>").select("rid", "n", F.explode("keys").alias("key"))
+    rows = sigs.select("rid", "n", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     return written(rows.join(written(shared, "keys"), "key"), "buckets")
 
@@ -230,42 +242,48 @@ def _rest(left: DataFrame, sigs: DataFrame) -> DataFrame:
     hubs = left.groupBy("key").agg(F.min(F.struct("rid", "label")).alias("h"), F.count("*").alias("m"))
     mine = left.join(written(hubs.select("key", F.col("h.label").alias("main"), "m"), "mains"), "key")
     outside = mine.groupBy("key").agg(F.sum((F.col("label") != F.col("main")).cast("long")).alias("o"))
-    mine = written(mine.join(written(outside, "outside"), "key").join(sigs.select("rid", "regs"), "rid"), "members")
+    mine = written(mine.join(written(outside, "outside"), "key").join(sigs.select("rid", "keys", "sketch"), "rid"), "members")
     members, outer = F.ceil(F.col("m") / BLOCK).cast("int"), F.ceil(F.col("o") / BLOCK).cast("int")
     part = lambda n: F.pmod(F.xxhash64("rid"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    a = mine.filter("label <> main").select("key", part(outer).alias("i"), every(members).alias("j"), F.lit(0).alias("side"), "rid", "label", "n", "regs")
-    b = mine.select("key", every(outer).alias("i"), part(members).alias("j"), F.lit(1).alias("side"), "rid", "label", "n", "regs")
+    columns = ["rid", "label", "n", "keys", "sketch"]
+    a = mine.filter("label <> main").select("key", part(outer).alias("i"), every(members).alias("j"), F.lit(0).alias("side"), *columns)
+    b = mine.select("key", every(outer).alias("i"), part(members).alias("j"), F.lit(1).alias("side"), *columns)
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows: list[tuple]) -> tuple[list[int], list[int]]:
-            x, y = [r for r in rows if r[3] == 0], [r for r in rows if r[3] == 1]
-            if not x or not y:
-                return [], []
-            rid, label, n = (np.array([r[k] for r in x]) for k in (4, 5, 6))
-            rid2, label2, n2 = (np.array([r[k] for r in y]) for k in (4, 5, 6))
-            regs2 = np.frombuffer(b"".join(r[7] for r in y), np.uint16).reshape(-1, REGISTERS)
-            out: tuple[list[int], list[int]] = ([], [])
-            share, of = SIMILAR
-            for one, own, size, r in zip(rid, label, n, x, strict=True):
-                ok = (label2 != own) & (of * np.minimum(n2, size) >= share * np.maximum(n2, size))
-                ok[ok] = estimate(np.frombuffer(r[7], np.uint16), regs2[ok]) >= LEAST_ESTIMATE
-                out[0].extend(np.maximum(rid2[ok], one).tolist())
-                out[1].extend(np.minimum(rid2[ok], one).tolist())
+        share, of = SIMILAR
+
+        def arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
+            plain = [np.asarray(batch.column(k)) for k in range(7)]
+            return [*plain, np.asarray(batch.column(7).flatten()).reshape(batch.num_rows, -1), _sketches(batch.column(8))]
+
+        def pairs(key: int, side: np.ndarray, rid: np.ndarray, label: np.ndarray, n: np.ndarray, keys: np.ndarray, sketches: np.ndarray) -> list[np.ndarray]:
+            one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            out = []
+            for x in one:
+                y = two[(label[two] != label[x]) & (of * np.minimum(n[two], n[x]) >= share * np.maximum(n[two], n[x]))]
+                # a pair is looked at in the first of the buckets that it shares
+                y = y[keys[x][(keys[y] == keys[x]).argmax(axis=1)] == key] if len(y) else y
+                y = y[estimate(sketches[x], sketches[y]) >= LEAST_ESTIMATE] if len(y) else y
+                if len(y):
+                    out.append(np.stack([np.maximum(rid[x], rid[y]), np.minimum(rid[x], rid[y])]))
             return out
 
-        key, rows = None, []
+        def found(held: list[np.ndarray], edges: list[int]) -> pa.RecordBatch:
+            out = [p for at, end in zip(edges, edges[1:]) for p in pairs(held[0][at], *(x[at:end] for x in held[3:]))]
+            both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+            return pa.RecordBatch.from_pydict({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
+
+        held: list[np.ndarray] | None = None
         for batch in batches:
-            found: tuple[list[int], list[int]] = ([], [])
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:3] != key:
-                    for own, new in zip(found, pairs(rows), strict=True):
-                        own.extend(new)
-                    key, rows = row[:3], []
-                rows.append(row)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
-        last = pairs(rows)
-        yield pa.RecordBatch.from_pydict({"a": pa.array(last[0], pa.int64()), "b": pa.array(last[1], pa.int64())})
+            if batch.num_rows:
+                held = arrays(batch) if held is None else [np.concatenate(x) for x in zip(held, arrays(batch), strict=True)]
+                changed = (np.diff(held[0]) != 0) | (np.diff(held[1]) != 0) | (np.diff(held[2]) != 0)
+                edges = [0, *(np.flatnonzero(changed) + 1).tolist()]
+                yield found(held, edges)
+                held = [x[edges[-1] :] for x in held]
+        if held is not None:
+            yield found(held, [0, len(held[0])])
 
     work = a.union(b).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return work.mapInArrow(met, "a long, b long").distinct()
@@ -308,7 +326,10 @@ def groups(rows: DataFrame) -> DataFrame:
     id_order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     sets = written(some.groupBy("d1", "d2").agg(F.min("rid").alias("rep"), F.min(id_order).alias("least")), "sets")
     distinct = some.join(sets.select(F.col("rep").alias("rid")), "rid", "left_semi")
-    distinct = written(distinct.select("rid", "n", "regs"), "distinct")
+    distinct = written(distinct.select("rid", "n", "keys", "sketch"), "distinct")
+    slim = written(sigs.drop("keys", "sketch"), "slim")
+    discard(sigs)
+    some, sigs = slim.filter("n > 0"), slim
     labels = linked(distinct, rows)
     if labels is not None:
         sets = sets.join(labels, sets.rep == labels.rid, "left").select("d1", "d2", "least", F.coalesce("label", "rep").alias("label"))

@@ -87,7 +87,7 @@ def test_estimate_is_near_the_index():
         for _ in range(40):
             common, a, b = rng.integers(0, 1 << 63, int(1000 * share)), rng.integers(0, 1 << 63, int(500 * (1 - share))), rng.integers(0, 1 << 63, int(500 * (1 - share)))
             x, y = (np.unique(np.concatenate([common, z]).astype(np.uint64) << np.uint64(1)) for z in (a, b))
-            found.append(D.estimate(D.registers(x), D.registers(y)))
+            found.append(D.estimate(D.sketch(x), D.sketch(y)))
         assert abs(np.mean(found) - share) < 0.03
 
 

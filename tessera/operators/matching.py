@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import distance
-
 
 def banded_pairs(images: DataFrame, key: str, width: int) -> DataFrame:
     """a, b with a < b <= a + width. Each image looks for its successors by an equality join, not by comparing all."""
@@ -20,18 +20,41 @@ def unchecked(pairs: DataFrame, done: DataFrame) -> DataFrame:
     return ordered(pairs).join(ordered(done), ["a", "b"], "left_anti")
 
 
-def two_nearest(queries: DataFrame, targets: DataFrame) -> DataFrame:
-    """q, t, d1, d2: for each query (id, v) its nearest target and squared distances to the two nearest.
+def two_nearest(queries: DataFrame, targets: DataFrame, block: int = 4096) -> DataFrame:
+    """q, t, d1, d2: for each query (id, v) its nearest target (ties: the smaller id) and squared distances to the two nearest.
 
-    For the features of a pair of images: both sides are bounded by the detector's limit for an image, and
-    the targets are broadcast to the queries on that ground. Each query keeps two rows.
+    Both sides are dealt into blocks; each pair of blocks is a group of bounded size that gives two rows a query, and
+    the best two of all blocks are kept. No pair of rows leaves its group.
     """
-    q = queries.select(F.col("id").alias("q"), F.col("v").alias("_a"))
-    t = targets.select(F.col("id").alias("t"), F.col("v").alias("_b"))
-    all_ = q.crossJoin(F.broadcast(t)).select("q", "t", distance("l2", F.col("_a"), F.col("_b")).alias("d"))
-    w = Window.partitionBy("q").orderBy("d", "t")
-    ranked = all_.withColumn("_n", F.row_number().over(w)).filter("_n <= 2")
-    return ranked.groupBy("q").agg(F.max(F.when(F.col("_n") == 1, F.col("t"))).alias("t"), F.max(F.when(F.col("_n") == 1, F.col("d"))).alias("d1"), F.max(F.when(F.col("_n") == 2, F.col("d"))).alias("d2"))
+    parts = lambda df: max(1, -(-df.count() // block))
+    n_queries, n_targets = parts(queries), parts(targets)
+    part = lambda n, name: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(name)
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    q = queries.select("id", "v", part(n_queries, "i"), every(n_targets, "j"))
+    t = targets.select("id", "v", part(n_targets, "j"), every(n_queries, "i"))
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, a = _vectors(left)
+        other, b = _vectors(right)
+        order = np.argsort(other, kind="stable")
+        other, b = other[order], b[order]
+        rows: list[tuple[int, int, float]] = []
+        for i, x in zip(ids.tolist(), a, strict=True):
+            d = ((b - x) ** 2).sum(axis=1) if len(b) else np.zeros(0)
+            rows += [(i, int(other[k]), float(d[k])) for k in np.argsort(d, kind="stable")[:2]]
+        columns = list(zip(*rows, strict=True)) or [(), (), ()]
+        return pa.table({"q": pa.array(columns[0], pa.int64()), "t": pa.array(columns[1], pa.int64()), "d": pa.array(columns[2], pa.float64())})
+
+    near = q.groupBy("i", "j").cogroup(t.groupBy("i", "j")).applyInArrow(nearest, "q long, t long, d double")
+    ranked = near.withColumn("_n", F.row_number().over(Window.partitionBy("q").orderBy("d", "t"))).filter("_n <= 2")
+    at = lambda k, c: F.max(F.when(F.col("_n") == k, F.col(c)))
+    return ranked.groupBy("q").agg(at(1, "t").alias("t"), at(1, "d").alias("d1"), at(2, "d").alias("d2"))
+
+
+def _vectors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.asarray(table.column("id").combine_chunks(), dtype=np.int64)
+    flat = np.asarray(table.column("v").combine_chunks().flatten(), dtype=np.float64)
+    return ids, flat.reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
 
 
 def ratio_test(matches: DataFrame, ratio: float) -> DataFrame:

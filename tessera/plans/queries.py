@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import scalar as S
 from ..functions.expression import apply_expression
-from ..operators import graph, lens, matching, ranking, relations, statistics
+from ..operators import coverage, graph, lens, matching, ranking, relations, statistics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -465,3 +465,109 @@ SELECT user_id, count(*) AS n, min(ts) AS first, max(ts) AS last FROM s GROUP BY
 """)
 def shot_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.sessions(table(spark, sf_dir, "events"), ["user_id"], "ts", "6 hours").filter("n >= 2").select("user_id", "n", "first", "last")
+
+
+# ---- overlap, stacks, masks
+
+
+_RECTANGLES = "r AS (SELECT s_suppkey AS img_nr, CAST(s_suppkey % 10 * 37 AS DOUBLE) AS l, CAST(s_suppkey // 10 * 29 AS DOUBLE) AS t, CAST(s_suppkey % 10 * 37 + 60 + s_suppkey % 7 AS DOUBLE) AS rr, CAST(s_suppkey // 10 * 29 + 50 AS DOUBLE) AS b FROM supplier WHERE s_suppkey <= 100)"
+
+
+def _rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    left, top = (k % 10 * 37).cast("double"), (F.floor(k / 10) * 29).cast("double")
+    return table(spark, sf_dir, "supplier").filter("s_suppkey <= 100").select(k.alias("img_nr"), left.alias("left"), top.alias("top"), (left + 60 + k % 7).alias("right"), (top + 50).alias("bottom"))
+
+
+@query(f"""
+WITH {_RECTANGLES}, g AS (SELECT img_nr AS i, l + (rr - l) * (a + 0.5) / 10 AS x, t + (b - t) * (c + 0.5) / 10 AS y FROM r, range(10) q(a), range(10) p(c)),
+d AS (SELECT i, img_nr AS j, count(*) / 100 AS ratio FROM g, r WHERE x >= l AND x < rr AND y >= t AND y < b AND i <> img_nr GROUP BY 1, 2)
+SELECT least(i, j) AS i, greatest(i, j) AS j, max(ratio) AS ratio FROM d GROUP BY 1, 2
+""")
+def overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.symmetric_overlap(coverage.overlap_ratios(_rectangles(spark, sf_dir)))
+
+
+@query(f"""
+WITH {_RECTANGLES}, p AS (SELECT i.img_nr AS i, j.img_nr AS j, i.l + (i.rr - i.l) * a / 10 AS x, i.t + (i.b - i.t) * c / 10 AS y, (i.l + i.rr) / 2 AS cx, (i.t + i.b) / 2 AS cy, j.l, j.t, j.rr, j.b
+    FROM r i JOIN r j ON j.img_nr = i.img_nr + 1, range(11) q(a), range(11) s(c))
+SELECT i, j, x, y FROM (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY round((x - cx) * (x - cx) + (y - cy) * (y - cy), 6), y, x) AS n FROM p WHERE x >= l AND x < rr AND y >= t AND y < b) WHERE n = 1
+""")
+def geometric_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _rectangles(spark, sf_dir)
+    pairs = matching.banded_pairs(r.select("img_nr"), "img_nr", 1).withColumnsRenamed({"a": "i", "b": "j"})
+    return coverage.shared_point(r, pairs)
+
+
+@query("SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_type, p_size) AS anchor FROM part")
+def lens_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.lens_anchor(table(spark, sf_dir, "part"), "p_partkey", "p_brand", "p_type", "p_size").select("p_partkey", "anchor")
+
+
+@query("SELECT o_orderkey, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stack FROM orders")
+def stacks_by_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layer = F.when(F.col("o_orderstatus") == "F", 0).otherwise(1)
+    return coverage.possible_stacks(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", layer).select("o_orderkey", "stack")
+
+
+@query("""
+WITH w AS (SELECT l_linenumber AS img, l_partkey % 40 AS x, l_suppkey % 40 AS y, max(l_discount) AS weight FROM lineitem GROUP BY 1, 2, 3), b AS (SELECT x, y, max((weight, img)) AS b FROM w GROUP BY 1, 2)
+SELECT img, x, y, weight > 0.095 OR (b[1] <= 0.095 AND b[2] = img) AS keep FROM w JOIN b USING (x, y)
+""")
+def threshold_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "lineitem")
+    w = t.groupBy(F.col("l_linenumber").alias("img"), (F.col("l_partkey") % 40).alias("x"), (F.col("l_suppkey") % 40).alias("y")).agg(F.max("l_discount").alias("weight"))
+    return coverage.threshold_masks(w, 0.095)
+
+
+_MASK = "m AS (SELECT l_partkey % 30 AS x, l_suppkey % 30 AS y, CASE WHEN sum(l_linenumber) % 5 < 3 THEN 255 ELSE 0 END AS v FROM lineitem GROUP BY 1, 2)"
+
+
+@query(f"""
+WITH {_MASK}, n AS (SELECT a.x, a.y, count(*) FILTER (b.v = 255) AS white, count(*) FILTER (b.v = 0) AS black FROM m a JOIN m b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND NOT (a.x = b.x AND a.y = b.y) GROUP BY 1, 2)
+SELECT x, y, CASE WHEN x BETWEEN 1 AND 28 AND y BETWEEN 1 AND 28 AND white > 6 THEN 255 WHEN x BETWEEN 1 AND 28 AND y BETWEEN 1 AND 28 AND black > 6 THEN 0 ELSE v END AS v FROM m LEFT JOIN n USING (x, y)
+""")
+def denoise_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "lineitem")
+    m = t.groupBy((F.col("l_partkey") % 30).alias("x"), (F.col("l_suppkey") % 30).alias("y")).agg(F.when(F.sum("l_linenumber") % 5 < 3, 255).otherwise(0).alias("v"))
+    return coverage.denoise(m, 30, 30)
+
+
+@query("""
+WITH b AS (SELECT l_returnflag, least(CAST(floor(l_discount * 10 * 10) AS BIGINT), 9) AS bin, l_extendedprice FROM lineitem)
+SELECT l_returnflag, bin, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag, bin ORDER BY l_extendedprice) AS n FROM b) WHERE n <= 20
+""")
+def radius_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_discount") * 10).alias("radius"), "l_extendedprice")
+    return coverage.radius_sample(t, "radius", "l_extendedprice", 10, 20, "l_returnflag").select("l_returnflag", "bin", "l_extendedprice")
+
+
+@query("""
+WITH s AS (SELECT DISTINCT CAST(p_retailprice AS BIGINT) % 3600 AS c FROM part WHERE p_retailprice = floor(p_retailprice)), g AS (SELECT (c + 1) % 3600 AS start, coalesce(lead(c) OVER (ORDER BY c), min(c) OVER () + 3600) - c - 1 AS width FROM s)
+SELECT start, width FROM g WHERE width > 0 ORDER BY width DESC, start LIMIT 1
+""")
+def widest_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "part").filter("p_retailprice = floor(p_retailprice)").select(F.col("p_retailprice").cast("long").alias("c"))
+    return coverage.widest_gap(t, "c", 3600)
+
+
+@query("SELECT round(avg(l_quantity * l_quantity), 4) AS l_quantity_l_quantity, round(avg(l_discount * l_quantity), 6) AS l_discount_l_quantity, round(avg(l_discount * l_discount), 6) AS l_discount_l_discount FROM lineitem")
+def axis_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = coverage.covariance(table(spark, sf_dir, "lineitem"), "l_quantity", "l_discount")
+    return c.select(F.round("l_quantity_l_quantity", 4).alias("l_quantity_l_quantity"), F.round("l_discount_l_quantity", 6).alias("l_discount_l_quantity"), F.round("l_discount_l_discount", 6).alias("l_discount_l_discount"))
+
+
+@query("SELECT p_partkey, round(p_size * (p_retailprice / 100) / 2, 4) AS area, CAST(2 + greatest(1, ceil(sqrt(p_size * p_size + pow(p_retailprice / 100, 2)) / 1000)) AS INTEGER) AS corners FROM part WHERE p_retailprice < 2000")
+def mask_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size, high = F.col("p_size").cast("double"), F.col("p_retailprice") / 100
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    zero = F.lit(0.0)
+    poly = F.array(corner(zero, zero), corner(size, zero), corner(zero, high))
+    return table(spark, sf_dir, "part").filter("p_retailprice < 2000").select("p_partkey", F.round(coverage.polygon_area(poly), 4).alias("area"), F.size(coverage.resample_polygon(poly, 1000.0)).alias("corners"))
+
+
+@query("SELECT o_custkey, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS value FROM orders")
+def monotone_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A response table for each customer, made non-decreasing; a table has at most as many entries as a sensor has levels."""
+    tables = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_totalprice"))), lambda s: s["o_totalprice"]).alias("t"))
+    return tables.select("o_custkey", F.explode(coverage.monotone(F.col("t"))).alias("value"))

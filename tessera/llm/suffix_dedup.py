@@ -40,7 +40,7 @@ PERIOD, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 WEAK, STRONG = LENGTH - PERIOD + 1, LENGTH + PERIOD - 1
 CHUNK_BYTES = 4 << 20
 PART_NAMES = 4_000_000
-SLICE = 1 << 17
+SLICE = 1 << 15
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -95,11 +95,13 @@ class Chunk:
         self.starts = ends - self.sizes
         n = len(self.data)
         self.names = names81(np.frombuffer(self.data, np.uint8))
-        self.left = np.repeat(ends, self.sizes).astype(np.int64) - np.arange(n)
-        place = np.arange(n) - np.repeat(self.starts, self.sizes)
+        self.left = np.repeat(ends.astype(np.int32), self.sizes)
+        self.left -= np.arange(n, dtype=np.int32)
         inside = np.zeros(PERIOD, bool)
         inside[list(COVER)] = True
-        self.sample = np.flatnonzero(inside[place % PERIOD] & (self.left >= WEAK))
+        pattern = np.tile(inside, int(self.sizes.max(initial=0)) // PERIOD + 1)
+        sampled = np.concatenate([pattern[:k] for k in self.sizes.tolist()]) if len(self.sizes) else pattern[:0]
+        self.sample = np.flatnonzero(sampled & (self.left >= WEAK))
 
     def weak(self) -> np.ndarray:
         return joined(self.names[self.sample], self.names[self.sample + WEAK - 81])
@@ -115,9 +117,8 @@ class Chunk:
 
     def over(self, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """How many of the intervals [at, ends) each position is in."""
-        turn = np.zeros(len(self.data) + 1, np.int32)
-        np.add.at(turn, at, 1)
-        np.add.at(turn, ends, -1)
+        n = len(self.data) + 1
+        turn = np.bincount(at, minlength=n) - np.bincount(ends, minlength=n)
         return np.cumsum(turn[:-1])
 
 
@@ -129,8 +130,12 @@ class Names:
     parts: int
 
     def __post_init__(self) -> None:
-        self.distinct, self.first, self.which, self.count = np.unique(self.names, return_index=True, return_inverse=True, return_counts=True)
-        # np.unique sorts by the whole name and the part is taken from its high bits, so parts lie one after another
+        self.order = np.argsort(self.names)
+        ordered = self.names[self.order]
+        starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1]]))
+        self.distinct, self.starts = ordered[starts], starts
+        self.count = np.diff(starts, append=len(ordered))
+        # they are sorted by the whole name and the part is taken from its high bits, so parts lie one after another
         part = ((self.distinct >> np.uint64(32)) * np.uint64(self.parts)) >> np.uint64(32)
         self.edges = np.searchsorted(part, np.arange(self.parts + 1, dtype=np.uint64))
 
@@ -150,8 +155,11 @@ class Names:
             repeated[a:b], earliest[a:b] = bits[: b - a], bits[b - a :]
         repeated |= self.count > 1
         first = np.zeros(len(self.names), bool)
-        first[self.first] = True
-        return repeated[self.which], earliest[self.which] & first
+        if len(self.names):
+            first[np.minimum.reduceat(self.order, self.starts)] = True
+        which = np.empty(len(self.names), np.int64)
+        which[self.order] = np.repeat(np.arange(len(self.distinct)), self.count)
+        return repeated[which], earliest[which] & first
 
 
 def compare(sent: DataFrame, short: bool) -> DataFrame:

@@ -42,16 +42,23 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Bytes of an Arrow batch that goes to Python and back while tables are written: two tasks' batches are small beside an executor.
+BATCH_BYTES = "16m"
+
+
 @contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
-    """What is written inside leaves no shuffle files behind: nothing reads them once the table is there."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
+    """What is written inside leaves no shuffle files behind (nothing reads them once the table is there), and goes
+    through Python in small batches."""
+    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

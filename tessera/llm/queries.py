@@ -101,5 +101,32 @@ FROM documents LEFT JOIN agg USING (doc_id)
 """
 
 
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, {2 * suffix_dedup.LENGTH})) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {suffix_dedup.LENGTH - 1})) AS i FROM d)),
+twice AS (SELECT g FROM w GROUP BY g HAVING count(*) > 1),
+starts AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {suffix_dedup.LENGTH}, true) AS fresh FROM w SEMI JOIN twice USING (g)),
+spans AS (SELECT doc_id, min(i) AS b, max(i) + {suffix_dedup.LENGTH} AS e FROM (SELECT doc_id, i, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM starts) GROUP BY doc_id, grp),
+ordered AS (SELECT doc_id, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS f FROM spans),
+cut AS (SELECT doc_id, sum(e - b) AS n_removed, count(*) AS n_spans, string_agg(substr(h, CAST(2 * f + 1 AS BIGINT), CAST(2 * (b - f) AS BIGINT)), '' ORDER BY b) || substr(any_value(h), CAST(2 * max(e) + 1 AS BIGINT)) AS kept FROM ordered JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+OP10_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)
+    UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT i, j FROM c JOIN n x ON x.doc_id = i JOIN n y ON y.doc_id = j WHERE 100 * k >= 75 * (x.n + y.n - k)),
+e AS (SELECT i AS a, j AS b FROM l UNION SELECT j, i FROM l),
+r(node, label) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.node WHERE r.label < e.b),
+m AS (SELECT node AS doc_id, min(label) AS component_id FROM r GROUP BY node)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op6_licences": licences.oracle_sql(), "op8_secrets": OP8_SQL}
+    return {"op2_suffix_dedup": OP2_SQL, "op10_near_dedup": OP10_SQL, "op3_decontamination": OP3_SQL, "op6_licences": licences.oracle_sql(), "op8_secrets": OP8_SQL}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def error_stats(df: DataFrame, error: str, *keys: str) -> DataFrame:
     """keys, n, min, max, mean, variance (sample). Without rows: minimum 1000000, maximum 0, no mean."""
@@ -18,11 +20,17 @@ def error_stats(df: DataFrame, error: str, *keys: str) -> DataFrame:
 def index_quantiles(df: DataFrame, value: str, shares: dict[str, float], *keys: str) -> DataFrame:
     """keys and, for each name in shares, the value at place floor(share * n) of the sorted values (from 0; no interpolation).
 
-    Ranks come from counts of equal values, so no group's values are gathered: a key's distinct values are summed up in order.
+    Counts of distinct values are dealt by ranges of (keys, value), so a key with most of the rows is spread over tasks; each
+    range is summed up apart and moved by the sizes of the key's ranges before it.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    by = Window.partitionBy(*keys).orderBy(value)
-    ranked = counts.withColumn("_to", F.sum("_c").over(by)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
+    ranged = cut(counts.repartitionByRange(*keys, value).withColumn("_p", F.spark_partition_id()))
+    sizes = ranged.groupBy(*keys, "_p").agg(F.sum("_c").alias("_s"))
+    by = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_s").over(by.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*keys, "_p", before.alias("_before"), F.sum("_s").over(by).alias("_n"))
+    local = ranged.withColumn("_to", F.sum("_c").over(Window.partitionBy(*keys, "_p").orderBy(value)))
+    ranked = local.join(sizes.withColumnsRenamed({k: f"_{k}" for k in [*keys, "_p"]}), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*keys, "_p"]]).withColumn("_to", F.col("_to") + F.col("_before"))
     place = lambda q: F.least(F.floor(F.lit(q) * F.col("_n")), F.col("_n") - 1)
     hit = lambda q: (place(q) < F.col("_to")) & (place(q) >= F.col("_to") - F.col("_c"))
     return ranked.groupBy(*keys).agg(*(F.max(F.when(hit(q), F.col(value))).alias(name) for name, q in shares.items()))

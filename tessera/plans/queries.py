@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import scalar as S
 from ..functions.expression import apply_expression
-from ..operators import coverage, graph, lens, matching, ranking, relations, statistics
+from ..operators import coverage, estimation, graph, lens, matching, ranking, relations, statistics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -571,3 +571,41 @@ def monotone_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A response table for each customer, made non-decreasing; a table has at most as many entries as a sensor has levels."""
     tables = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_totalprice"))), lambda s: s["o_totalprice"]).alias("t"))
     return tables.select("o_custkey", F.explode(coverage.monotone(F.col("t"))).alias("value"))
+
+
+# ---- grouped and iterative estimation
+
+
+@query("""
+WITH RECURSIVE r AS (SELECT o_custkey AS k, list({'n': o_orderkey, 'ev': o_totalprice / 50000} ORDER BY o_orderkey) AS todo, -1 AS layer, list({'n': o_orderkey, 'ev': o_totalprice / 50000} ORDER BY o_orderkey) AS mine FROM orders GROUP BY 1
+    UNION ALL SELECT k, list_filter(todo, lambda x: x.n <> todo[1].n AND abs(x.ev - todo[1].ev) >= 0.5), layer + 1, list_filter(todo, lambda x: x.n = todo[1].n OR abs(x.ev - todo[1].ev) < 0.5) FROM r WHERE len(todo) > 0)
+SELECT k AS customer, m.n AS img_nr, CAST(layer AS BIGINT) AS layer FROM (SELECT k, layer, unnest(mine) AS m FROM r WHERE layer >= 0)
+""")
+def exposure_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as the images of a project; a project is one bounded group."""
+    images = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("img_nr"), (F.col("o_totalprice") / 50_000).alias("ev"))
+    return estimation.greedy_layers(images, "customer", 0.5)
+
+
+def _deghost_sql(rounds: int = 4, sigma: float = 30.0) -> str:
+    steps = ["w0 AS (SELECT img, x, y, v, 1 - pow(v / 127.5 - 1, 16) AS w FROM p)"]
+    for k in range(rounds):
+        steps.append(f"""m{k} AS (SELECT a.img, a.x, a.y, sum(b.w * exp(-(a.v - b.v) * (a.v - b.v) / {2 * sigma * sigma})) / nullif(sum(b.w), 0) AS m
+            FROM w{k} a JOIN w{k} b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND NOT (a.x = b.x AND a.y = b.y) GROUP BY 1, 2, 3),
+        w{k + 1} AS (SELECT img, x, y, v, w * coalesce(m, 1) AS w FROM w{k} LEFT JOIN m{k} USING (img, x, y))""")
+    return f"WITH p AS (SELECT l_linenumber AS img, CAST(l_partkey % 20 AS INTEGER) AS x, CAST(l_suppkey % 20 AS INTEGER) AS y, round(avg(l_discount) * 2550, 3) AS v FROM lineitem GROUP BY 1, 2, 3), {', '.join(steps)} SELECT img, x, y, round(w * 255 / (SELECT max(w) FROM w{rounds}), 2) AS weight FROM w{rounds}"
+
+
+@query(_deghost_sql())
+def deghost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line numbers as exposures, keys as pixels, the mean discount as value."""
+    t = table(spark, sf_dir, "lineitem")
+    p = t.groupBy(F.col("l_linenumber").alias("img"), (F.col("l_partkey") % 20).cast("int").alias("x"), (F.col("l_suppkey") % 20).cast("int").alias("y")).agg(F.round(F.avg("l_discount") * 2550, 3).alias("v"))
+    return estimation.deghost(p).select("img", "x", "y", F.round("weight", 2).alias("weight"))
+
+
+@query()
+def ransac_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeded draws have no SQL; tests hold the operator against a known homography. A part's lines are its matches."""
+    t = table(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").alias("x1"), (F.col("l_discount") * 100).alias("y1"), (F.col("l_extendedprice") / 1000).alias("x2"), (F.col("l_tax") * 100).alias("y2"))
+    return estimation.ransac(t, ["l_partkey"], rounds=20, distance=20.0)

@@ -14,8 +14,8 @@ from itertools import chain
 
 import numpy as np
 
-#: Entries the memo of a worker may hold before it is emptied.
-MEMO_ENTRIES = 1_000_000
+#: Entries of a worker's memo, about 180 bytes each, at which it becomes the old one, of which only what is met again is kept.
+MEMO_ENTRIES = 600_000
 #: Characters of text handed to the library at once.
 BATCH_CHARS = 4_000_000
 
@@ -50,6 +50,7 @@ class Encoder:
         else:
             self.rule = ""
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.odd: set[str] = set()
         self.line = len(next(self._encode(["\n"]), b""))
 
@@ -111,16 +112,20 @@ class Encoder:
         yield from self._batch(batch)
 
     def _batch(self, texts: list[str]) -> Iterator[bytes]:
-        memo = self.memo
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
+        if len(self.memo) > MEMO_ENTRIES:
+            self.old, self.memo = self.memo, {}
             self.odd.clear()
+        memo = self.memo
         pieces = [self._pieces(t) if t and not any(s in t for s in self.special) else None for t in texts]
         keep = self.rule == "keep"
         for p in pieces if keep else ():
             if p:
                 p[0] = "\n" + p[0]  # the first piece has no space before it; the line break is taken off below
         new = set(chain.from_iterable(p for p in pieces if p)).difference(memo)
+        if self.old:
+            known = {x: self.old[x] for x in new if x in self.old}
+            memo.update(known)
+            new.difference_update(known)
         if new:
             odd = self._odd(new)
             self.odd |= odd

@@ -15,7 +15,7 @@ are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_of, written
@@ -44,54 +44,58 @@ SALTS = 16
 #: Documents with live-looking spans whose spans are broadcast to mask them, at most; more take a shuffle.
 BROADCAST_ROWS = 200_000
 
-SPAN = "struct<start:int,kind:int,end:int,value:bigint,varied:boolean>"
+MATCH = "struct<kind:int,gap:int,size:int,value:bigint,varied:boolean,enough:boolean>"
 
 
 def _found(text: Column, number: int) -> Column:
-    """Spans of a kind: where its matches are, from the lengths of what stands between them."""
+    """Matches of a kind in order, each with the length of the gap before it (what stands between matches)."""
     _, pattern, group, least = KINDS[number]
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
     between = F.split(text, pattern, -1)
     pairs = F.arrays_zip(F.transform(F.slice(between, 1, F.size(matches)), F.length).alias("gap"), F.transform(matches, F.length).alias("size"), values.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
+    def match(x: Column) -> Column:
         varied = F.size(F.array_distinct(F.split(x["value"], ""))) >= MIN_CHARACTERS
-        span = F.struct(begin.alias("start"), F.lit(number).alias("kind"), (begin + x["size"]).alias("end"), F.xxhash64(x["value"]).alias("value"), varied.alias("varied"))
-        return F.struct((begin + x["size"]).alias("at"), F.when(F.length(x["value"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.struct(F.lit(number).alias("kind"), x["gap"].alias("gap"), x["size"].alias("size"), F.xxhash64(x["value"]).alias("value"), varied.alias("varied"), (F.length(x["value"]) >= least).alias("enough"))
 
-    return F.aggregate(pairs, start, step)["out"]
+    return F.transform(pairs, match)
 
 
 def candidates(docs: DataFrame, owner: str, repository: str, id_col: str = "doc_id") -> DataFrame:
-    """row (a number of the row), doc_id, owner, repository, spans: one row for each of docs, written to the shared folder."""
+    """row (a number of the row), doc_id, owner, repository, matches: one row for each of docs, written to the shared folder."""
     named = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(owner).cast("string"), F.lit("\0")).alias("owner"), F.coalesce(F.col(repository).cast("string"), F.lit("\0")).alias("repository"), text_of().alias("text"))
-    none = F.array().cast(f"array<{SPAN}>")
+    none = F.array().cast(f"array<{MATCH}>")
     found = F.when(F.col("text").rlike(_ANY), F.concat(*(_found(F.col("text"), k) for k in range(len(KINDS))))).otherwise(none)
-    return written(named.select("row", "doc_id", "owner", "repository", found.alias("spans")), "candidates")
+    return written(named.select("row", "doc_id", "owner", "repository", found.alias("matches")), "candidates")
 
 
-def ownership(found: DataFrame) -> DataFrame:
+def placed(found: DataFrame) -> DataFrame:
+    """row, owner, repository, start, kind, end, value, varied: the matches that are long enough, with their places (running sums)."""
+    each = found.filter(F.size("matches") > 0).select("row", "owner", "repository", F.posexplode("matches").alias("i", "m")).select("row", "owner", "repository", "i", "m.*")
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    spans = each.withColumn("end", end).filter("enough")
+    return written(spans.select("row", "owner", "repository", (F.col("end") - F.col("size")).alias("start"), "kind", "end", "value", "varied"), "spans")
+
+
+def ownership(spans: DataFrame) -> DataFrame:
     """Per value: owners and repositories, distinct ones over the corpus."""
-    rows = found.filter(F.size("spans") > 0).select("owner", "repository", F.explode("spans").alias("s")).select(F.col("s.value").alias("value"), "owner", "repository")
-    each = rows.distinct().groupBy("value", "owner").agg(F.count("*").alias("n"))
+    each = spans.select("value", "owner", "repository").distinct().groupBy("value", "owner").agg(F.count("*").alias("n"))
     return each.groupBy("value").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
 
 
 def judged(found: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """found with the spans that are reported: their verdicts as fields owners, repositories and live."""
+    """row, doc_id of found, and the spans that are reported, with their verdicts as fields owners, repositories and live."""
+    spans = placed(found)
     salts = F.explode(F.array(*(F.lit(k) for k in range(SALTS)))).alias("salt")
-    verdicts = ownership(found).select("*", salts)
-    some = found.filter(F.size("spans") > 0).select("row", "doc_id", F.explode("spans").alias("s"))
-    some = some.select("row", "doc_id", "s", F.col("s.value").alias("value"), F.pmod(F.xxhash64("row", "s.start"), F.lit(SALTS)).cast("int").alias("salt"))
-    live = (F.col("owners") <= max_owners) & F.col("s.varied")
-    rows = some.join(verdicts, ["value", "salt"]).filter((F.col("s.kind") < len(BASE)) | live)
-    span = F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), live.alias("live"), "owners", "repositories")
+    verdicts = ownership(spans).select("*", salts)
+    some = spans.withColumn("salt", F.pmod(F.xxhash64("row", "start"), F.lit(SALTS)).cast("int"))
+    live = (F.col("owners") <= max_owners) & F.col("varied")
+    rows = some.join(verdicts, ["value", "salt"]).filter((F.col("kind") < len(BASE)) | live)
+    span = F.struct("start", "kind", "end", live.alias("live"), "owners", "repositories")
     by_row = rows.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("spans"))
-    with_spans = found.filter(F.size("spans") > 0).select("row", "doc_id").join(by_row, "row", "left")
-    empty = found.filter(F.size("spans") == 0).select("row", "doc_id", F.lit(None).alias("spans"))
+    with_spans = found.filter(F.size("matches") > 0).select("row", "doc_id").join(by_row, "row", "left")
+    empty = found.filter(F.size("matches") == 0).select("row", "doc_id", F.lit(None).alias("spans"))
     return with_spans.unionByName(empty)
 
 
@@ -124,16 +128,14 @@ def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", m
     packed = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
     numbered = written(packed, "numbered")
     found = candidates(numbered.select(F.col("_row").alias("_id"), F.col(f"doc.{owner}").alias("o"), F.col(f"doc.{repository}").alias("r"), F.col("doc.text").alias("text")), "o", "r", "_id")
-    live = judged(found).select(F.col("doc_id").alias("_row"), F.filter("spans", lambda s: s["live"]).alias("_spans")).filter(F.size("_spans") > 0)
-    live = written(live, "live")
+    each = judged(found).select(F.col("doc_id").alias("_row"), F.explode("spans").alias("s")).filter("s.live").select("_row", "s.start", "s.end")
+    earlier = Window.partitionBy("_row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("before", F.coalesce(F.max("end").over(earlier), F.lit(0)))
+    pieces = F.array_sort(F.collect_list(F.when(F.col("start") >= F.col("before"), F.struct("start", "before"))))
+    live = written(each.groupBy("_row").agg(pieces.alias("_pieces"), F.max("end").alias("_last")), "live")
     live = F.broadcast(live) if live.count() <= BROADCAST_ROWS else live
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.col("doc.text").substr(acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], piece, F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    done = F.aggregate("_spans", start, step)
-    text = F.when(F.col("_spans").isNull(), F.col("doc.text")).otherwise(F.concat(done["out"], F.col("doc.text").substr(done["at"] + 1, F.length("doc.text"))))
+    # what stands before each span (from the end of those before it) and the mask, then what stands after the last
+    text = F.col("doc.text")
+    parts = F.transform("_pieces", lambda p: F.concat(text.substr(p["before"] + 1, p["start"] - p["before"]), F.lit(mask)))
+    text = F.when(F.col("_pieces").isNull(), text).otherwise(F.concat(F.array_join(parts, ""), text.substr(F.col("_last") + 1, F.length(text))))
     return numbered.join(live, "_row", "left").select(F.col("doc").withField("text", text).alias("doc")).select("doc.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import in_range, interpolate, near_single
@@ -43,3 +43,24 @@ def interpolate_grid(grid: DataFrame, first: str, second: str, value: str, x: fl
     near = nearest(lines, 2, first, x, list(keys))
     two = near.groupBy(*keys).agg(at(1, first).alias("k1"), at(1, "v").alias("v1"), at(2, first).alias("k2"), at(2, "v").alias("v2"))
     return two.select(*keys, F.when(F.col("k2").isNull(), F.col("v1")).otherwise(interpolate(F.col("k1"), F.col("v1"), F.col("k2"), F.col("v2"), x)).alias(value))
+
+
+def look_up_all(images: DataFrame, image: str, focal: str, table: DataFrame, lens: str, key: str, value: str, weight: str) -> DataFrame:
+    """image, value: as :func:`look_up` for every image at once, in the rows of its own lens; null where nothing fits.
+
+    The table is brought to one row a lens and key first, so an image meets the keys of its lens only.
+    """
+    means = weighted_mean(table, weight, [value], lens, key)
+    ranked = images.join(means, lens).withColumn("rank", F.row_number().over(Window.partitionBy(image).orderBy(F.abs(F.col(key) - F.col(focal)), key))).filter("rank <= 2")
+    at = lambda k, c: F.max(F.when(F.col("rank") == k, F.col(c)))
+    two = ranked.groupBy(image).agg(F.first(focal).alias("x"), F.count("*").alias("n"), at(1, key).alias("k1"), at(1, value).alias("v1"), at(2, key).alias("k2"), at(2, value).alias("v2"))
+    x, x1, y1, x2, y2 = (F.col(c) for c in ("x", "k1", "v1", "k2", "v2"))
+    single = F.when((F.col("n") == 1) & near_single(x1, x), y1)
+    both = F.when((F.col("n") == 2) & in_range(x1, x2, x, 0.15), interpolate(x1, y1, x2, y2, x))
+    found = two.select(image, F.coalesce(single, both).alias(value))
+    return images.select(image).join(found, image, "left")
+
+
+def fill(images: DataFrame, found: DataFrame, image: str, value: str) -> DataFrame:
+    """images with their own value, or else the one that was looked up."""
+    return images.join(found.withColumnRenamed(value, "_found"), image, "left").withColumn(value, F.coalesce(value, "_found")).drop("_found")

@@ -73,6 +73,21 @@ def lens_vignetting_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lens.interpolate_grid(grid, "l_quantity", "l_discount", "price", 23.4, 0.043, "l_suppkey").withColumn("price", F.round("price", 4))
 
 
+@query("""
+WITH m AS (SELECT l_returnflag AS lens, l_quantity AS k, sum(l_extendedprice * l_linenumber) / sum(l_linenumber) AS v FROM lineitem GROUP BY 1, 2),
+i AS (SELECT c_custkey AS image, ['A', 'N', 'X'][c_custkey % 3 + 1] AS lens, abs(c_acctbal) % 80 + 0.5 AS f FROM customer),
+r AS (SELECT image, f, k, v, row_number() OVER (PARTITION BY image ORDER BY abs(k - f), k) AS r FROM i JOIN m USING (lens)),
+t AS (SELECT image, any_value(f) AS f, max(k) FILTER (r = 1) AS k1, max(v) FILTER (r = 1) AS v1, max(k) FILTER (r = 2) AS k2, max(v) FILTER (r = 2) AS v2 FROM r WHERE r <= 2 GROUP BY 1)
+SELECT image, CASE WHEN sign(k1 - t.f) * sign(k2 - t.f) <= 0 OR abs(t.f - k1) < 0.15 * t.f THEN round(v1 + (t.f - k1) / (k2 - k1) * (v2 - v1), 2) END AS price FROM i LEFT JOIN t USING (image)
+""")
+def lens_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every image of a project looked up in its lens's rows."""
+    names = F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("X")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    images = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("image"), names.alias("l_returnflag"), (F.abs("c_acctbal") % 80 + 0.5).alias("f"))
+    t = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", F.col("l_extendedprice").alias("price"), "l_linenumber")
+    return lens.look_up_all(images, "image", "f", t, "l_returnflag", "l_quantity", "price", "l_linenumber").withColumn("price", F.round("price", 2))
+
+
 @query("SELECT l_returnflag, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) AS price, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS discount FROM lineitem GROUP BY 1")
 def weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "lineitem").withColumnsRenamed({"l_extendedprice": "price", "l_discount": "discount"})

@@ -36,6 +36,15 @@ def test_lens_look_up_rules(spark):
     assert tuple(lens.look_up(t([(40.0, 0.05, 1)]), "f", "v", "w", 40.0, least=0.1).first()) == (False, None)
 
 
+def test_lens_look_up_for_all_images(spark):
+    t = spark.createDataFrame([("a", 20.0, 60.0, 10), ("a", 30.0, 40.0, 10), ("b", 40.0, 5.0, 1)], "lens string, f double, v double, w int")
+    images = spark.createDataFrame([(1, "a", 25.0), (2, "b", 42.0), (3, "b", 60.0), (4, "c", 1.0), (5, None, None)], "nr int, lens string, x double")
+    found = lens.look_up_all(images, "nr", "x", t, "lens", "f", "v", "w")
+    assert {r.nr: r.v for r in found.collect()} == {1: 50.0, 2: 5.0, 3: None, 4: None, 5: None}
+    own = images.withColumn("v", F.when(F.col("nr") == 1, 9.0))
+    assert {r.nr: r.v for r in lens.fill(own, found, "nr", "v").collect()} == {1: 9.0, 2: 5.0, 3: None, 4: None, 5: None}
+
+
 def test_mirrored_and_distinct_points(spark):
     rows = [(0, 1, 2, 1.0, 2.0, 3.0, 4.0, 0), (1, 2, 1, 3.0, 4.0, 1.0, 2.0, 0), (2, 1, 2, 1.0000001, 2.0, 3.0, 4.0, 0), (3, 1, 1, 5.0, 5.0, 6.0, 6.0, 0), (4, 1, 2, 1.0, 2.0, 3.0, 4.0, 1)]
     df = spark.createDataFrame(rows, POINTS)

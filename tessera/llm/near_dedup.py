@@ -8,7 +8,8 @@ them, twice:
   another in an order that is fixed for each bucket. Documents that share a key are candidates.
 - ``SKETCH`` registers of 8 bits (0: empty), from which the Jaccard index is estimated, corrected for registers equal by
   chance. Candidates whose sizes allow it and whose estimate is ``LEAST_ESTIMATE`` or more (over four
-  standard errors below the threshold) are verified on full sets.
+  standard errors below the threshold) are verified on full sets. A set of at most ``EXACT`` shingles is kept
+  whole in the place of its registers, as few shingles make the estimate coarse; two such sets are compared exactly.
 
 Only connectivity matters, so a group never makes all its pairs:
 
@@ -39,6 +40,7 @@ SIMILAR = (75, 100)
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
 SKETCH, SKETCH_MANTISSA = 1024, 4
 LEAST_ESTIMATE = 0.69
+EXACT = SKETCH // 8
 BLOCK = 256
 #: Ids that are broadcast, to fetch texts without a shuffle of all of them, at most; more take a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -118,6 +120,31 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip((equal / np.maximum(either, 1) - BY_CHANCE) / (1 - BY_CHANCE), 0, 1)
 
 
+def _may_link(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of sets of n and m shingles may be similar, from rows of the sketch column: exact if both are kept whole."""
+    share, of = SIMILAR
+    whole = (n <= EXACT) & (m <= EXACT)
+    out = np.zeros(len(n), bool)
+    if whole.any():
+        n_, m_ = n[whole], m[whole]
+        both = np.sort(np.concatenate([a[whole].view(np.uint64), b[whole].view(np.uint64)], axis=1), axis=1)
+        # zeros that fill the rows are equal neighbours, too
+        equal = (both[:, 1:] == both[:, :-1]).sum(axis=1) - np.maximum(2 * EXACT - n_ - m_ - 1, 0)
+        out[whole] = of * equal >= share * (n_ + m_ - equal)
+    if not whole.all():
+        rest = ~whole
+        x, y = _registers(n[rest], a[rest]), _registers(m[rest], b[rest])
+        out[rest] = estimate(x, y) >= LEAST_ESTIMATE
+    return out
+
+
+def _registers(n: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """rows (a copy), with the registers in the place of sets that are kept whole."""
+    for i in np.flatnonzero(n <= EXACT):
+        rows[i] = sketch(rows[i].view(np.uint64)[: n[i]])
+    return rows
+
+
 def numbered(docs: DataFrame, *names: str) -> DataFrame:
     """rid (a number of the row), doc (the named columns): written to the shared folder, as the number must not change."""
     return written(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc")), "numbered")
@@ -139,7 +166,7 @@ def signatures(rows: DataFrame) -> DataFrame:
                     d1.append(digest[0])
                     d2.append(digest[1])
                     keys.append(band_keys(s) if len(s) else None)
-                    sketches.append(sketch(s).tobytes() if len(s) else None)
+                    sketches.append((sketch(s).tobytes() if len(s) > EXACT else s.tobytes().ljust(SKETCH, b"\0")) if len(s) else None)
                 columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "n", "d1", "d2", "keys", "sketch"])
 
@@ -152,18 +179,18 @@ def _sketches(column: pa.Array) -> np.ndarray:
 
 
 def _close(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose estimate passes."""
+    """Pairs (a, b) whose estimate, or exact index, passes."""
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
-                keep = pa.array(estimate(_sketches(batch.column(2)), _sketches(batch.column(3))) >= LEAST_ESTIMATE)
+                keep = pa.array(_may_link(np.asarray(batch.column(4)), np.asarray(batch.column(5)), _sketches(batch.column(2)), _sketches(batch.column(3))))
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    sketches = sigs.select("rid", "sketch")
-    joined = pairs.join(sketches.withColumnsRenamed({"rid": "a", "sketch": "x"}), "a").join(sketches.withColumnsRenamed({"rid": "b", "sketch": "y"}), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(passed, "a long, b long")
+    sketches = sigs.select("rid", "n", "sketch")
+    joined = pairs.join(sketches.withColumnsRenamed({"rid": "a", "n": "n_x", "sketch": "x"}), "a").join(sketches.withColumnsRenamed({"rid": "b", "n": "n_y", "sketch": "y"}), "b")
+    return joined.select("a", "b", "x", "y", "n_x", "n_y").mapInArrow(passed, "a long, b long")
 
 
 def _texts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -238,7 +265,7 @@ def _star(left: DataFrame, turn: int) -> DataFrame:
 
 
 def _rest(left: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket whose estimate passes, found block by block."""
+    """Pairs (a, b) of different components in one bucket whose estimate, or exact index, passes, found block by block."""
     hubs = left.groupBy("key").agg(F.min(F.struct("rid", "label")).alias("h"), F.count("*").alias("m"))
     mine = left.join(written(hubs.select("key", F.col("h.label").alias("main"), "m"), "mains"), "key")
     outside = mine.groupBy("key").agg(F.sum((F.col("label") != F.col("main")).cast("long")).alias("o"))
@@ -264,7 +291,7 @@ def _rest(left: DataFrame, sigs: DataFrame) -> DataFrame:
                 y = two[(label[two] != label[x]) & (of * np.minimum(n[two], n[x]) >= share * np.maximum(n[two], n[x]))]
                 # a pair is looked at in the first of the buckets that it shares
                 y = y[keys[x][(keys[y] == keys[x]).argmax(axis=1)] == key] if len(y) else y
-                y = y[estimate(sketches[x], sketches[y]) >= LEAST_ESTIMATE] if len(y) else y
+                y = y[_may_link(np.full(len(y), n[x]), n[y], np.repeat(sketches[x : x + 1], len(y), axis=0), sketches[y])] if len(y) else y
                 if len(y):
                     out.append(np.stack([np.maximum(rid[x], rid[y]), np.minimum(rid[x], rid[y])]))
             return out

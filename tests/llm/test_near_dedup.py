@@ -95,3 +95,28 @@ def test_longest_text(spark):
     text = " ".join(str(i) for i in range(120_000))
     got = D.near_duplicates(spark.createDataFrame([(5, text, "", 0, ""), (2, text + " more", "", 0, "")], DOCS)).collect()
     assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(5, 2, False), (2, 2, True)}
+
+
+def test_small_sets_are_not_lost_by_the_estimate(spark, monkeypatch):
+    docs = []
+    for i in range(4000):  # 4 shingles and 3 of them: exactly 0.75
+        words = [f"s{i}q{k}" for k in range(8)]
+        a, b = " ".join(words), " ".join(words[:7])
+        x, y = D.shingles(a.encode()), D.shingles(b.encode())
+        if D.estimate(D.sketch(x), D.sketch(y)) < D.LEAST_ESTIMATE and (D.band_keys(x) == D.band_keys(y)).any():
+            docs += [(2 * i, a, "", 0, ""), (2 * i + 1, b, "", 0, "")]
+    assert len(docs) >= 4
+    for rounds in (D.MAX_ROUNDS, 0):  # by stars, and by blocks
+        monkeypatch.setattr(D, "MAX_ROUNDS", rounds)
+        got = D.near_duplicates(spark.createDataFrame(docs, DOCS)).collect()
+        assert sorted(str(tuple(r)) for r in got) == brute(docs)
+
+
+def test_sets_kept_whole_are_compared_exactly():
+    rng = np.random.default_rng(5)
+    for n, m, both in ((4, 3, 3), (4, 4, 3), (128, 96, 96), (128, 128, 110), (128, 128, 109), (1, 1, 0), (128, 150, 128), (150, 128, 60)):
+        x = np.unique(rng.integers(1, 1 << 63, n + m - both).astype(np.uint64) << np.uint64(1))
+        a, b = x[:n], x[n - both :]
+        rows = [D.sketch(s).tobytes() if len(s) > D.EXACT else s.tobytes().ljust(D.SKETCH, b"\0") for s in (a, b)]
+        rows = [np.frombuffer(r, np.uint8).reshape(1, -1) for r in rows]
+        assert D._may_link(np.array([n]), np.array([m]), *rows)[0] == (100 * both >= 75 * (n + m - both))

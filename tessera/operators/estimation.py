@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Draws that are solved at once.
+DRAWS = 50
+
 
 def solve_homography(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
     """The 3x3 homography of points a to b by least squares (last coefficient 1); None if they don't determine it."""
@@ -19,6 +22,20 @@ def solve_homography(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
     return np.append(x, 1.0).reshape(3, 3) if rank == 8 else None
 
 
+def _solve_all(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """solve_homography for many draws (draw, point, 2) at once; only the draws that determine one."""
+    k, n = a.shape[:2]
+    m = np.zeros((k, 2 * n, 8))
+    m[:, 0::2, 0:2], m[:, 0::2, 2] = a, 1
+    m[:, 1::2, 3:5], m[:, 1::2, 5] = a, 1
+    m[:, 0::2, 6:8], m[:, 1::2, 6:8] = -a * b[..., :1], -a * b[..., 1:]
+    u, s, v = np.linalg.svd(m, full_matrices=False)
+    full = s[:, -1] > s[:, 0] * np.finfo(float).eps * max(m.shape[1:])
+    u, s, v, b = u[full], s[full], v[full], b[full]
+    x = (v.transpose(0, 2, 1) @ ((u.transpose(0, 2, 1) @ b.reshape(-1, 2 * n, 1)) / s[..., None]))[..., 0]
+    return np.concatenate([x, np.ones((len(x), 1))], axis=1).reshape(-1, 3, 3)
+
+
 def _inliers(h: np.ndarray, a: np.ndarray, b: np.ndarray, distance: float) -> np.ndarray:
     p = np.column_stack([a, np.ones(len(a))]) @ h.T
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -36,15 +53,14 @@ def ransac(matches: DataFrame, keys: list[str], rounds: int = 1000, distance: fl
         if len(a) < max(least, sample):
             return group.iloc[:0]
         rng, best = np.random.default_rng(seed), np.zeros(len(a), bool)
-        for _ in range(rounds):
-            some = rng.choice(len(a), sample, replace=False)
-            h = solve_homography(a[some], b[some])
-            if h is not None:
+        for at in range(0, rounds, DRAWS):
+            some = np.array([rng.choice(len(a), sample, replace=False) for _ in range(min(DRAWS, rounds - at))])
+            for h in _solve_all(a[some], b[some]):
                 ok = _inliers(h, a, b, distance)
                 if ok.sum() > best.sum():
                     best = ok
-                    if ok.all():
-                        break
+            if best.all():
+                break
         return group[best] if 2 * best.sum() >= len(a) and best.sum() >= least else group.iloc[:0]
 
     return matches.groupBy(*keys).applyInPandas(fit, matches.schema)

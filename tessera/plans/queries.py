@@ -623,4 +623,4 @@ def deghost(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ransac_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeded draws have no SQL; tests hold the operator against a known homography. A part's lines are its matches."""
     t = table(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").alias("x1"), (F.col("l_discount") * 100).alias("y1"), (F.col("l_extendedprice") / 1000).alias("x2"), (F.col("l_tax") * 100).alias("y2"))
-    return estimation.ransac(t, ["l_partkey"], rounds=20, distance=20.0)
+    return estimation.ransac(t, ["l_partkey"], distance=20.0)

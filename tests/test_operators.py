@@ -131,3 +131,18 @@ def test_sieve_counts_equal_scores_once(spark):
     df = spark.createDataFrame([(1.0, 1.0, 5.0), (1.5, 1.0, 5.0), (1.2, 1.0, 4.0), (9.0, 9.0, 1.0)], "x double, y double, s double")
     got = ranking.sieve(df, F.col("x"), F.col("y"), 10.0, 10.0, 2, 2, 2, ["s"]).collect()
     assert sorted(r.s for r in got) == [1.0, 4.0, 5.0]
+
+
+def test_ransac_query_finds_parts_with_half_inliers(spark, tmp_path):
+    from tessera.plans.queries import ransac_filter
+
+    rng, rows, want = np.random.default_rng(7), [], set()
+    for part in range(6):
+        good = set(rng.permutation(20)[: 10 + part % 3].tolist())
+        for i in range(20):
+            x, y = rng.uniform(1, 50), rng.uniform(0, 10)
+            u, v = (2 * x + 3 * y + 5, x - 4 * y) if i in good else rng.uniform(1000, 9000, 2)
+            rows.append((part, part * 100 + i, 1, float(x), float(y / 100), float(u * 1000), float(v / 100)))
+            want |= {(part, (part * 100 + i) * 10 + 1)} if i in good else set()
+    spark.createDataFrame(rows, "l_partkey long, l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_extendedprice double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {(r.l_partkey, r.id) for r in ransac_filter(spark, str(tmp_path)).collect()} == want

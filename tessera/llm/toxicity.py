@@ -2,7 +2,8 @@
 
 *Fit*, on at most ``MAX_LABELLED`` labelled rows (chosen by a hash of doc_id; rows whose crc32(doc_id as
 text) mod 5 is 0 are held out): words and word beginnings that mark toxic documents form the lexicon
-(at most ``MAX_TERMS``); words of clean documents near a term are known words, not misspellings; a
+(at most ``MAX_TERMS``); the words that a beginning covers in toxic documents stay in the trie, so that their misspellings
+are found; words of clean documents near a term are known words, not misspellings; a
 logistic regression on three sums of hit scores gives the probability.
 
 *Score*: the terms are in a trie. The Levenshtein automaton of a term (one edit, from five letters on)
@@ -54,6 +55,8 @@ class Model:
     stems: dict[str, float]
     known: frozenset[str] = frozenset()
     weights: list[float] = field(default_factory=lambda: [-4.0, 3.0, 2.0, 1.0])
+    #: Words behind the stems: looked up with an edit only, as without one the stem is found.
+    forms: frozenset[str] = frozenset()
 
 
 class LexiconAutomaton:
@@ -64,7 +67,8 @@ class LexiconAutomaton:
         self.child: list[dict[str, int]] = [{}]
         self.word: list[str | None] = [None]
         self.stem: list[str | None] = [None]
-        for terms, marks in ((model.words, self.word), (model.stems, self.stem)):
+        self.form: list[str | None] = [None]
+        for terms, marks in ((model.words, self.word), (model.stems, self.stem), (model.forms, self.form)):
             for t in terms:
                 node = 0
                 for c in t:
@@ -72,6 +76,7 @@ class LexiconAutomaton:
                         self.child.append({})
                         self.word.append(None)
                         self.stem.append(None)
+                        self.form.append(None)
                         self.child[node][c] = len(self.child) - 1
                     node = self.child[node][c]
                 marks[node] = t
@@ -136,7 +141,7 @@ class LexiconAutomaton:
             state = self._move(state, c) if to is None else to
             if state == self.dead:
                 return None
-        near = [self.word[n] for n in self.states[state] if self.word[n] and len(self.word[n]) >= FUZZY_LETTERS]
+        near = [t for n in self.states[state] if (t := self.word[n] or self.form[n]) and len(t) >= FUZZY_LETTERS]
         return (min(near), FUZZY) if near else None
 
     def hit(self, word: str) -> tuple[str, float] | None:
@@ -283,6 +288,14 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Model:
     words, stems = _lexicon([(r.term, r.toxic, r.clean) for r in top.collect()], n_toxic, n_clean)
     words = dict(sorted(words.items(), key=lambda x: (-x[1], x[0]))[:MAX_TERMS])
     model = Model(words, stems)
+    beginnings = tuple(stems)
+
+    def behind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = {w for batch in batches for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if toxic for w in set(_WORD.findall(text.lower())) if len(w) >= FUZZY_LETTERS and w.startswith(beginnings)}
+        yield pa.RecordBatch.from_pydict({"word": pa.array(sorted(found), pa.string())})
+
+    # words of the bounded sample's toxic documents
+    model.forms = frozenset(r.word for r in sample.mapInArrow(behind, "word string").distinct().collect())
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = LexiconAutomaton(model)

@@ -76,3 +76,13 @@ def test_empty_tables_and_one_class(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.predicted for r in T.toxicity(df, none).collect()} == {0}
     assert T.toxicity(spark.createDataFrame([], DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_misspelled_forms_of_a_stem_family(spark):
+    docs, labels = corpus()
+    model = T.fit(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert any("zounderful".startswith(s) for s in model.stems) and "zounderful" not in model.words
+    a = T.LexiconAutomaton(model)
+    for word in ("zonderful", "zounnderful", "zoinderous", "ounderkin"):
+        assert a.hit(word)[1] == T.FUZZY and a.score(f"you {word} there") >= 0.5, word
+    assert a.hit("zounderful")[1] == 1.0

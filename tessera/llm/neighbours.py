@@ -97,8 +97,9 @@ class Block:
 def search(vectors: DataFrame, every: int = 20, k: int = 20, block_rows: int = BLOCK_ROWS, projections: int = PROJECTIONS, threshold: float = THRESHOLD, verify: float = VERIFY) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of vectors (vec_id, embedding) whose id is divisible by
     ``every``, the k nearest found; ties go to the smaller id. Rows with the query's own id are no candidates;
-    repeated rows are candidates each; an empty table gives no rows; other columns are ignored."""
-    rows = written(usable(vectors), "vectors")
+    repeated rows are candidates each, and queries each (a repeated id has the k nearest of each of its rows, ranked
+    together); an empty table gives no rows; other columns are ignored."""
+    rows = written(usable(vectors).withColumn("row", F.monotonically_increasing_id()), "vectors")
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     size = rows.agg(F.count("*").alias("n"), F.max(F.sqrt(norm2)).alias("radius"), F.max(F.size("v")).alias("dims")).first()
     n, radius, dims = size.n, size.radius or 0.0, size.dims or 0
@@ -108,36 +109,39 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, block_rows: int = B
     def gathered(table: pa.Table) -> pa.Table:
         number = table.column("block")[0].as_py()
         ids = np.asarray(table.column("id").combine_chunks(), dtype=np.int64)
-        return pa.table({"block": pa.array([number], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "data": pa.array([_matrix(table.column("v")).tobytes()], pa.binary())})
+        places = np.asarray(table.column("row").combine_chunks(), dtype=np.int64)
+        return pa.table({"block": pa.array([number], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "places": pa.array([places.tobytes()], pa.binary()), "data": pa.array([_matrix(table.column("v")).tobytes()], pa.binary())})
 
-    index = numbered.groupBy("block").applyInArrow(gathered, "block int, ids binary, data binary")
+    kind = "block int, ids binary, places binary, data binary"
+    index = numbered.groupBy("block").applyInArrow(gathered, kind)
     asked = rows.filter(F.pmod("id", F.lit(every)) == 0)
     parts = max(1, -(-asked.count() // QUERY_ROWS))
-    asked = asked.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")).groupBy("block").applyInArrow(gathered, "block int, ids binary, data binary")
-    asked = asked.select(F.col("ids").alias("query_ids"), F.col("data").alias("query_data"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    asked = asked.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")).groupBy("block").applyInArrow(gathered, kind)
+    asked = asked.select(F.col("ids").alias("query_ids"), F.col("places").alias("query_places"), F.col("data").alias("query_data"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         directions = _directions(dims, projections)
         held, block = None, None
         for batch in batches:
-            for number, ids, data, query_ids, queries in zip(*(batch.column(i) for i in range(5)), strict=True):
+            for number, ids, data, query_ids, places, queries in zip(*(batch.column(i) for i in range(6)), strict=True):
                 if held != number.as_py():
                     held = number.as_py()
                     block = Block(np.frombuffer(ids.as_py(), np.int64), np.frombuffer(data.as_py(), np.float64).reshape(-1, dims), radius, directions)
-                query_ids = np.frombuffer(query_ids.as_py(), np.int64)
+                query_ids, places = np.frombuffer(query_ids.as_py(), np.int64), np.frombuffer(places.as_py(), np.int64)
                 queries = np.frombuffer(queries.as_py(), np.float64).reshape(-1, dims)
                 # as long as the vectors, so that distances are small where inner products are large
                 scaled = queries * (radius / np.sqrt((queries * queries).sum(axis=1)))[:, None]
                 at = scaled @ directions[:-1]
-                out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
                 width = 0.4 * radius
                 for i, q in enumerate(query_ids):  # the next search begins a step narrower than this one ended
                     found, scores, width = block.search(queries[i], q, k, width / WIDEN, at[i], threshold, verify)
-                    out.append((np.full(len(found), q), found, scores))
+                    out.append((np.full(len(found), places[i]), np.full(len(found), q), found, scores))
                 columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
+                yield pa.RecordBatch.from_pydict({"query_row": pa.array(columns[0], pa.int64()), "query_id": pa.array(columns[1], pa.int64()), "vec_id": pa.array(columns[2], pa.int64()), "score": pa.array(columns[3], pa.float64())})
 
-    work = index.join(asked, "block").select("block", "ids", "data", "query_ids", "query_data")
-    found = work.mapInArrow(searched, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    work = index.join(asked, "block").select("block", "ids", "data", "query_ids", "query_places", "query_data")
+    found = work.mapInArrow(searched, "query_row long, query_id long, vec_id long, score double")
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), "vec_id"))
+    best = found.withColumn("place", rank("query_id", "query_row")).filter(F.col("place") <= k)
+    return best.withColumn("rank", rank("query_id")).select("query_id", "rank", "vec_id", "score")

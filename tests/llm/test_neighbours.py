@@ -60,3 +60,10 @@ def test_few_rows_and_empty(spark):
     assert N.search(spark.createDataFrame([], SCHEMA)).count() == 0
     twice = [data[0], data[0], data[1]]
     assert [v for v, _ in got(N.search(spark.createDataFrame(twice, SCHEMA)))[0]] == [1, 1]
+
+
+def test_repeated_query_rows_lose_no_neighbours(spark):
+    data = rows()[:60]
+    want = {v for v, _ in brute(data, 1000, 20)[0]}
+    found = got(N.search(spark.createDataFrame([data[0], data[0], *data], SCHEMA), every=1000, verify=1.0, block_rows=16))
+    assert {v for v, _ in found[0]} == want and len(found[0]) == 3 * 20

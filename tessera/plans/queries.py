@@ -280,6 +280,19 @@ def renumber_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.renumber_lines(t)
 
 
+@query()
+def merge_by_name_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two projects that share the customers with a balance from 0 to 5000, however many there are."""
+    t = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("nr"), F.col("c_name").alias("name"), "c_acctbal")
+    return relations.merge_by_name(t.filter("c_acctbal < 5000").drop("c_acctbal"), t.filter("c_acctbal >= 0").drop("c_acctbal"), "name", "nr")
+
+
+@query()
+def renumber_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All part sizes."""
+    return relations.renumber_lines(table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("mode")))
+
+
 # ---- geometry
 
 
@@ -473,6 +486,25 @@ def breadth_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.levels(e, e.agg(F.min("a").alias("node"))).filter("level <= 12")
 
 
+def _all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1_000_000_000_000).alias("b"))
+
+
+@query()
+def connected_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines as edges, all parts and suppliers as nodes. The recursive SQL is too slow here; a test holds it by brute force."""
+    e = _all_edges(spark, sf_dir)
+    parts, suppliers = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")), table(spark, sf_dir, "supplier").select(F.col("s_suppkey") + 1_000_000_000_000)
+    return graph.components(parts.union(suppliers).union(e.select("a")).union(e.select("b")).distinct(), e)
+
+
+@query()
+def breadth_first_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines as edges, all levels."""
+    e = _all_edges(spark, sf_dir)
+    return graph.levels(e, e.agg(F.min("a").alias("node")))
+
+
 @query("""
 WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts > lag(ts) OVER w + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS grp FROM g)
@@ -488,10 +520,10 @@ def shot_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RECTANGLES = "r AS (SELECT s_suppkey AS img_nr, CAST(s_suppkey % 10 * 37 AS DOUBLE) AS l, CAST(s_suppkey // 10 * 29 AS DOUBLE) AS t, CAST(s_suppkey % 10 * 37 + 60 + s_suppkey % 7 AS DOUBLE) AS rr, CAST(s_suppkey // 10 * 29 + 50 AS DOUBLE) AS b FROM supplier WHERE s_suppkey <= 100)"
 
 
-def _rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _rectangles(spark: SparkSession, sf_dir: str, which: str = "s_suppkey <= 100") -> DataFrame:
     k = F.col("s_suppkey")
     left, top = (k % 10 * 37).cast("double"), (F.floor(k / 10) * 29).cast("double")
-    return table(spark, sf_dir, "supplier").filter("s_suppkey <= 100").select(k.alias("img_nr"), left.alias("left"), top.alias("top"), (left + 60 + k % 7).alias("right"), (top + 50).alias("bottom"))
+    return table(spark, sf_dir, "supplier").filter(which).select(k.alias("img_nr"), left.alias("left"), top.alias("top"), (left + 60 + k % 7).alias("right"), (top + 50).alias("bottom"))
 
 
 @query(f"""
@@ -514,6 +546,19 @@ def geometric_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.shared_point(r, pairs)
 
 
+@query()
+def overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All suppliers."""
+    return coverage.symmetric_overlap(coverage.overlap_ratios(_rectangles(spark, sf_dir, "true")))
+
+
+@query()
+def geometric_points_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All suppliers."""
+    r = _rectangles(spark, sf_dir, "true")
+    return coverage.shared_point(r, matching.banded_pairs(r.select("img_nr"), "img_nr", 1).withColumnsRenamed({"a": "i", "b": "j"}))
+
+
 @query("SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_type, p_size) AS anchor FROM part")
 def lens_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.lens_anchor(table(spark, sf_dir, "part"), "p_partkey", "p_brand", "p_type", "p_size").select("p_partkey", "anchor")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,10 +16,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a temporary folder is made and set.
+    Where the session names none, a temporary folder is made and set if all tasks run on this machine (a local master); on a
+    cluster that would lose data, so it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -77,6 +81,20 @@ def discard(df: DataFrame) -> None:
     _remove(df.sparkSession, df._tessera_path)
 
 
+#: Bytes of a scan worth a task of their own.
+DEAL_BYTES = 2 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df, its rows dealt out if a plain scan has fewer splits than the cluster has cores (as a table of one row group has), though
+    there are ``DEAL_BYTES`` for more of them. Tables beyond some row groups are never shuffled."""
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString():
+        return df  # Spark has dealt it already
+    n = min(df.sparkSession.sparkContext.defaultParallelism, plan.optimizedPlan().stats().sizeInBytes() // DEAL_BYTES)
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def text_of(col: str = "text") -> Column:
     """The text column, null as empty."""
     return F.coalesce(F.col(col), F.lit(""))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from .common import text_of, written
+from .common import dealt, text_of, written
 
 WINDOW = 13
 #: Words of items in one automaton; it takes about 400 bytes a word in the driver and each worker.
@@ -149,10 +149,10 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
     """docs with n_words, and starts, ends (spans of words hit) and items (ids, sorted as strings).
 
     Columns of docs stay, but for clashes with these four names, which are replaced. Null text has no
-    words; an item without words hits nothing; repeated rows are each matched; empty tables give
-    empty results.
+    words; an item without words hits nothing; a null item_id counts as the id ""; repeated rows are each matched; empty
+    tables give empty results; a text of any length is read whole, word by word.
     """
-    docs = docs.drop("n_words", "starts", "ends", "items")
+    docs = dealt(docs.drop("n_words", "starts", "ends", "items"))
     names = [f.name for f in docs.schema.fields]
     at = names.index("text")
     out = docs

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import dealt
+
 PATH_BUCKETS, WORD_BUCKETS, HIDDEN = 1024, 64, 24
 LESSONS, STEPS, BATCH, SEED = 1200, 220, 48, 7
 #: Pages labelled together in a task.
@@ -116,7 +118,7 @@ _word_bucket: dict[str, int] = {}
 
 def _word_counts(text: str) -> np.ndarray:
     memo = _word_bucket
-    if len(memo) > 300_000:
+    if len(memo) > 200_000:
         memo.clear()
     words = _WORD.findall(text)
     for w in set(words).difference(memo):
@@ -347,7 +349,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text (its main text; empty if there is none) and n_chars (code points).
 
     Null html is empty; a null page_id or url stays null; repeated rows are each extracted; an empty table gives
-    no rows; other columns are ignored.
+    no rows; other columns are ignored. A very long page is read whole, its blocks labelled as one sequence.
     """
     shared = pages.sparkSession.sparkContext.broadcast(trained().p)  # about 0.8 MB
 
@@ -359,5 +361,6 @@ def extract(pages: DataFrame) -> DataFrame:
                 found = [blocks(h) if h else [] for h in some.column(2).to_pylist()]
                 texts = [" ".join(t for (_, t), main in zip(page, p >= 0.5, strict=True) if main) for page, p in zip(found, model.label(found), strict=True)]
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+        _word_bucket.clear()  # the worker lives on
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html")).mapInArrow(extracted, "page_id long, url string, text string, n_chars long")
+    return dealt(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html"))).mapInArrow(extracted, "page_id long, url string, text string, n_chars long")

@@ -33,6 +33,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 1)
 
 
+def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The instruction-data form of op5."""
+    return packing.pack_conversations(table(spark, sf_dir, "conversations"), tokenizer_path("word_bpe_49k.json"), 1)
+
+
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
@@ -53,7 +58,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_suffix_dedup, op3_decontamination, op4_toxicity, op5_packing, op6_licences, op7_token_output, op8_secrets, op9_neighbours, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_suffix_dedup, op3_decontamination, op4_toxicity, op5_packing, op6_licences, op7_token_output, op8_secrets, op9_neighbours, op10_near_dedup, pack_conversations)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS3 = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -75,8 +80,11 @@ FROM dw LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 
 def _kind_sql(number: int) -> str:
     name, pattern, group, least = secrets.KINDS[number]
+    begin = "s"
+    if name == "signed":  # no look-behind here: the character before belongs to the match, and the span begins behind it
+        pattern, group, begin = "(?:^|[^A-Za-z0-9_-])(" + pattern.replace("(?<![A-Za-z0-9_-])", "").replace("}+", "}") + ")", 1, "s + length(m) - length(v)"
     p = pattern.replace("'", "''")
-    return f"""SELECT doc_id, source, {number} AS kind, '{name}' AS name, m AS whole, v AS val, s AS start, s + length(m) AS stop FROM (
+    return f"""SELECT doc_id, source, {number} AS kind, '{name}' AS name, m AS whole, v AS val, {begin} AS start, s + length(m) AS stop FROM (
         SELECT doc_id, source, m[i] AS m, v[i] AS v, list_sum([length(x) FOR x IN b[1:i]]) + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0) AS s
         FROM (SELECT doc_id, source, m, v, b, unnest(range(1, len(m) + 1)) AS i FROM (
             SELECT doc_id, source, regexp_extract_all(text, '{p}', 0) AS m, regexp_extract_all(text, '{p}', {group}) AS v, string_split_regex(text, '{p}') AS b
@@ -86,17 +94,18 @@ def _kind_sql(number: int) -> str:
 
 OP8_SQL = f"""
 WITH cand AS ({" UNION ALL ".join(_kind_sql(k) for k in range(len(secrets.KINDS)))}),
-own AS (SELECT val, count(DISTINCT coalesce(source, chr(0))) AS owners FROM cand GROUP BY val),
-kept AS (SELECT doc_id, kind, name, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, owners,
-                owners <= {secrets.MAX_OWNERS} AND len(list_distinct(string_split(val, ''))) >= {secrets.MIN_CHARACTERS} AS live
+own AS (SELECT val, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT (coalesce(source, chr(0)), coalesce(CAST(doc_id AS VARCHAR), chr(0)))) AS repositories FROM cand GROUP BY val),
+kept AS (SELECT doc_id, kind, name, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, owners, repositories,
+                owners > {secrets.MAX_OWNERS} OR repositories > {secrets.MAX_REPOSITORIES} AS copied,
+                owners <= {secrets.MAX_OWNERS} AND repositories <= {secrets.MAX_REPOSITORIES} AND len(list_distinct(string_split(val, ''))) >= {secrets.MIN_CHARACTERS} AS live
          FROM cand JOIN own USING (val)),
 agg AS (SELECT doc_id, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS c,
                string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (kind < {len(secrets.BASE)}) AS base,
                string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans,
-               count(*) FILTER (live) AS n_live, count(*) FILTER (owners > {secrets.MAX_OWNERS}) AS n_copied
+               count(*) FILTER (live) AS n_live, count(*) FILTER (copied) AS n_copied, max(owners) AS o, max(repositories) AS r
         FROM kept WHERE kind < {len(secrets.BASE)} OR live GROUP BY doc_id)
 SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
-       coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+       coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(o, 0) AS max_owners, coalesce(r, 0) AS max_repositories
 FROM documents LEFT JOIN agg USING (doc_id)
 """
 

@@ -1,16 +1,16 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame functions only.
 
 One pass over the texts finds candidate spans and keeps their place and the hash of their value. The
-hashes are aggregated over the corpus by distinct repositories and owners: a value that few owners
-have is owner-specific, one that many have is a widely copied example. A candidate is *live-looking*
-if it is owner-specific and its characters are varied enough.
+hashes are aggregated over the corpus by distinct repositories and owners: a value that many owners have,
+or many repositories of whatever owners, is a widely copied example; others are owner-specific. A candidate is
+*live-looking* if it is owner-specific and its characters are varied enough.
 
 Spans of the base kinds (assign, access, hex) are always reported. The method adds spans of the kinds
 in ``ADDED`` where their value is live-looking. Place and counts are in code points.
 
 Null text is empty; a null owner or repository counts as one of its own; repeated rows are each
 reported (and are one repository if they share its id); an empty table gives no rows; other columns
-are ignored.
+are ignored. A text of any length is scanned whole; its matches are placed by running sums, in time proportional to their number.
 """
 
 from __future__ import annotations
@@ -30,14 +30,15 @@ BASE = [
 ADDED = [
     ("hosting", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
     ("chat", r"xox[abprs]-[A-Za-z0-9-]{20,}", 0, 25),
-    ("signed", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30),
+    # from the beginning of a run only, and without going back in it: else a long run of eyJ takes quadratic time
+    ("signed", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", 0, 30),
     ("private", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{40,}", 0, 60),
 ]
 KINDS = BASE + ADDED
 #: What any text with a candidate contains; looked for first.
 _ANY = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|gh[pousr]_|xox[abprs]-|eyJ|-----BEGIN"""
-#: A value that more owners have is a widely copied example; a live-looking value has so many different characters.
-MAX_OWNERS = 2
+#: A value that more owners or more repositories have is a widely copied example; a live-looking value has so many different characters.
+MAX_OWNERS, MAX_REPOSITORIES = 2, 20
 MIN_CHARACTERS = 8
 #: Parts into which the rows of one value are dealt for the join with its verdict.
 SALTS = 16
@@ -84,15 +85,16 @@ def ownership(spans: DataFrame) -> DataFrame:
     return each.groupBy("value").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
 
 
-def judged(found: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """row, doc_id of found, and the spans that are reported, with their verdicts as fields owners, repositories and live."""
+def judged(found: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+    """row, doc_id of found, and the spans that are reported, with their verdicts as fields owners, repositories, copied and live."""
     spans = placed(found)
     salts = F.explode(F.array(*(F.lit(k) for k in range(SALTS)))).alias("salt")
     verdicts = ownership(spans).select("*", salts)
     some = spans.withColumn("salt", F.pmod(F.xxhash64("row", "start"), F.lit(SALTS)).cast("int"))
-    live = (F.col("owners") <= max_owners) & F.col("varied")
+    copied = (F.col("owners") > max_owners) | (F.col("repositories") > max_repositories)
+    live = ~copied & F.col("varied")
     rows = some.join(verdicts, ["value", "salt"]).filter((F.col("kind") < len(BASE)) | live)
-    span = F.struct("start", "kind", "end", live.alias("live"), "owners", "repositories")
+    span = F.struct("start", "kind", "end", live.alias("live"), copied.alias("copied"), "owners", "repositories")
     by_row = rows.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("spans"))
     with_spans = found.filter(F.size("matches") > 0).select("row", "doc_id").join(by_row, "row", "left")
     empty = found.filter(F.size("matches") == 0).select("row", "doc_id", F.lit(None).alias("spans"))
@@ -105,10 +107,10 @@ def _text_of(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live (live-looking spans) and
-    n_copied (spans whose value is a widely copied example)."""
+    """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live (live-looking spans), n_copied (spans whose
+    value is a widely copied example), and the most owners and repositories that any of its spans' values has (0 without spans)."""
     rows = judged(candidates(docs, owner, repository))
-    spans = F.coalesce("spans", F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean,owners:bigint,repositories:bigint>>"))
+    spans = F.coalesce("spans", F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean,copied:boolean,owners:bigint,repositories:bigint>>"))
     rows = rows.select("doc_id", spans.alias("s"))
     count = lambda k: F.size(F.filter("s", lambda x: x["kind"] == k)).cast("long")
     base = F.filter("s", lambda x: x["kind"] < len(BASE))
@@ -116,7 +118,8 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") ->
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(_text_of(base).cast("binary"), 256).alias("base_sha256"), _text_of(F.col("s")).alias("spans"),
         F.size(F.filter("s", lambda x: x["live"])).cast("long").alias("n_live"),
-        F.size(F.filter("s", lambda x: x["owners"] > MAX_OWNERS)).cast("long").alias("n_copied"),
+        F.size(F.filter("s", lambda x: x["copied"])).cast("long").alias("n_copied"),
+        *(F.coalesce(F.array_max(F.col("s").getField(k)), F.lit(0).cast("long")).alias(f"max_{k}") for k in ("owners", "repositories")),
     )
 
 

@@ -8,10 +8,13 @@ there are so many, as one self-contained binary value (little-endian throughout)
     per block, and once more for the end: u64 byte offset from the first block
     blocks: ids of ``bits`` bits, lowest bit first, each block from a new byte
 
-``bits`` is the least number that holds the vocabulary. A block is found by its offset, so any range
-of ids is read without the rest (:func:`read_ids`), and unpacked by numpy. Spark's own writer and
-committer place the segments, so the files can be in any store that Spark writes to, and a lost
-executor costs the tasks that it ran.
+``bits`` is the least number that holds the vocabulary. Spark's own writer and committer place the segments, so the files
+can be in any store that Spark writes to, and a lost executor costs the tasks that it ran.
+
+Random access goes in three steps, none of which reads the rest: the shards' sizes (columns without ids) tell which places of
+which shard are asked for; ``ids_before`` and ``ids_after`` are pushed into the scan, which skips row groups and pages by their
+bounds; in a segment only the blocks that hold the range are unpacked, at their offsets (:func:`read_ids`). Values are written
+uncompressed (packed ids hardly shrink), so a segment's bytes stand in its file as they are.
 
 Null text counts as empty (the end id alone); repeated rows are kept, ordered by doc_id, then by
 their text; null doc_ids come first; an empty table gives empty files; other columns are ignored.
@@ -35,7 +38,7 @@ SEGMENT_IDS = 1 << 16
 BLOCK_IDS = 1 << 12
 _HEAD = struct.Struct("<4sBIQQ")
 _DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("end", "<u8")])
-SEGMENT_SCHEMA = "shard int, segment int, ids_before long, n_ids long, first_id long, first_hash long, data binary"
+SEGMENT_SCHEMA = "shard int, segment int, ids_before long, ids_after long, n_ids long, first_id long, first_hash long, data binary"
 
 
 def id_bits(vocabulary: int) -> int:
@@ -107,7 +110,7 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str, end_id: int, segmen
         count, first = 0, (None, None)
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "segment": pa.array([number], pa.int32()), "ids_before": pa.array([before], pa.int64()), "n_ids": pa.array([count], pa.int64()), "first_id": pa.array([first[0]], pa.int64()), "first_hash": pa.array([first[1]], pa.int64()), "data": pa.array([write_segment(held, bits)], pa.binary())})
+            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "segment": pa.array([number], pa.int32()), "ids_before": pa.array([before], pa.int64()), "ids_after": pa.array([before + count], pa.int64()), "n_ids": pa.array([count], pa.int64()), "first_id": pa.array([first[0]], pa.int64()), "first_hash": pa.array([first[1]], pa.int64()), "data": pa.array([write_segment(held, bits)], pa.binary())})
 
         for batch in batches:
             keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
@@ -121,20 +124,43 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str, end_id: int, segmen
                     number, before, count, held = number + 1, before + count, 0, []
         if held:
             yield row()
+        enc.release()
 
     text = text_of()
     ordered = docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
     with tidy(docs.sparkSession):
-        ordered.mapInArrow(segments, SEGMENT_SCHEMA).write.parquet(path)
+        ordered.mapInArrow(segments, SEGMENT_SCHEMA).write.option("compression", "uncompressed").parquet(path)
+
+
+def shard_bases(stored: DataFrame) -> DataFrame:
+    """shard, base (ids of the shards before it), n: a row for each partition of the writing job, so a small table; no ids are read."""
+    shards = stored.groupBy("shard").agg(F.sum("n_ids").alias("n"), F.min(F.struct("first_id", "first_hash")).alias("first"))
+    before = Window.orderBy("first", "shard").rowsBetween(Window.unboundedPreceding, -1)
+    return shards.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), "n")
+
+
+def read_range(spark: SparkSession, path: str, start: int, end: int) -> DataFrame:
+    """at, ids (little-endian unsigned 32-bit): the ids at places start to end of all, a row for each segment that has some."""
+    stored = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
+    asked = [(r.shard, start - r.base, end - r.base, r.base) for r in shard_bases(stored).filter((F.col("base") < end) & (F.col("base") + F.col("n") > start)).collect()]
+    wanted, base = F.lit(False), F.lit(None).cast("long")
+    for shard, lo, hi, b in asked:
+        wanted = wanted | ((F.col("shard") == shard) & (F.col("ids_before") < hi) & (F.col("ids_after") > lo))
+        base = F.when(F.col("shard") == shard, F.lit(b)).otherwise(base)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = read_ids(data.as_buffer(), max(0, start - first), end - first)
+                yield pa.RecordBatch.from_pydict({"at": pa.array([max(start, first)], pa.int64()), "ids": pa.array([ids.astype("<u4").tobytes()], pa.binary())})
+
+    return stored.filter(wanted).select((base + F.col("ids_before")).alias("first"), "data").mapInArrow(cut, "at long, ids binary")
 
 
 def read_packed(spark: SparkSession, path: str) -> DataFrame:
     """Per document of a written table: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     stored = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
-    shards = stored.groupBy("shard").agg(F.sum("n_ids").alias("n"), F.min(F.struct("first_id", "first_hash")).alias("first"))
-    # a row for each shard, as many as the writing job had partitions: one small task, and small to broadcast
-    before = Window.orderBy("first", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    base = shards.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    base = shard_bases(stored).drop("n")
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

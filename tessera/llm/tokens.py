@@ -15,7 +15,7 @@ from itertools import chain
 import numpy as np
 
 #: Entries of a worker's memo, about 180 bytes each, at which it becomes the old one, of which only what is met again is kept.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 250_000
 #: Characters of text handed to the library at once.
 BATCH_CHARS = 4_000_000
 
@@ -36,7 +36,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # the names of special tokens are ordinary text
+        # as the vocabularies' own description has it: the names of special tokens in a text are ordinary text, so a document can't
+        # forge the mark of its own end
+        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
         self.size = self.tokenizer.get_vocab_size()
@@ -111,6 +113,11 @@ class Encoder:
                 batch, chars = [], 0
         yield from self._batch(batch)
 
+    def release(self) -> None:
+        """Gives the memos back at the end of a partition: the worker lives on, and may serve other operators."""
+        self.memo, self.old = {}, {}
+        self.odd.clear()
+
     def _batch(self, texts: list[str]) -> Iterator[bytes]:
         if len(self.memo) > MEMO_ENTRIES:
             self.old, self.memo = self.memo, {}

@@ -2,7 +2,7 @@
 
 *Fit*, on at most ``MAX_LABELLED`` labelled rows (chosen by a hash of doc_id; rows whose crc32(doc_id as
 text) mod 5 is 0 are held out): words and word beginnings that mark toxic documents form the lexicon
-(at most ``MAX_TERMS``); the words that a beginning covers in toxic documents stay in the trie, so that their misspellings
+(all of them; their number is bounded by the sample); the words that a beginning covers in toxic documents stay in the trie, so that their misspellings
 are found; words of clean documents near a term are known words, not misspellings; a
 logistic regression on three sums of hit scores gives the probability.
 
@@ -28,10 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import dealt, text_of, written
 
 MAX_LABELLED = 20_000
-MAX_TERMS = 400
 #: A term is in this many toxic documents of the sample at least, at odds so many times those of clean ones,
 #: and so much likelier there than by chance (log of the likelihood ratio).
 LEAST_DOCUMENTS, LEAST_ODDS, LEAST_EVIDENCE = 3, 20.0, 12.0
@@ -39,7 +38,8 @@ FUZZY_LETTERS = 5
 FUZZY, QUOTED = 0.6, 0.25
 MISSPELLED = 0.25
 WINDOW_CHARS, WINDOW_WORDS = 80, 4
-MEMO_ENTRIES = 800_000
+#: Words whose look-up a task keeps, about 170 bytes each.
+MEMO_ENTRIES = 200_000
 FAMILY_HASHES = 8
 STEMS = (4, 5, 6)
 
@@ -284,9 +284,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Model:
     a, b = F.col("seen").cast("double"), F.col("clean").cast("double")
     evidence = a * F.log(a / (a + b) / share) + F.when(b > 0, b * F.log(b / (a + b) / (1 - share))).otherwise(0.0)
     counted = _counts(sample).filter((F.col("toxic") >= LEAST_DOCUMENTS) & (odds >= math.log(LEAST_ODDS)))
-    top = counted.filter(evidence >= LEAST_EVIDENCE).orderBy(F.round("toxic", 6).desc(), "term").limit(10 * MAX_TERMS)
-    words, stems = _lexicon([(r.term, r.toxic, r.clean) for r in top.collect()], n_toxic, n_clean)
-    words = dict(sorted(words.items(), key=lambda x: (-x[1], x[0]))[:MAX_TERMS])
+    top = counted.filter(evidence >= LEAST_EVIDENCE)  # terms of the bounded sample
+    words, stems = _lexicon(sorted((r.term, r.toxic, r.clean) for r in top.collect()), n_toxic, n_clean)
     model = Model(words, stems)
     beginnings = tuple(stems)
 
@@ -302,7 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Model:
         found = {w for batch in batches for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if not toxic for w in set(_WORD.findall(text.lower())) if (h := a.hit(w)) and h[1] == FUZZY}
         yield pa.RecordBatch.from_pydict({"word": pa.array(sorted(found), pa.string())})
 
-    # words one edit from one of MAX_TERMS terms: bounded by the terms and the alphabet
+    # words of the bounded sample's clean documents
     model.known = frozenset(r.word for r in sample.mapInArrow(near, "word string").distinct().collect())
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,8 +336,9 @@ def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.05, s
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (all columns) with a last column score; null text is scored as empty; repeated rows each; a column score of docs is replaced."""
-    docs = docs.drop("score")
+    """docs (all columns) with a last column score; null text is scored as empty; repeated rows each; a column score of docs is
+    replaced; a text of any length is scored whole."""
+    docs = dealt(docs.drop("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

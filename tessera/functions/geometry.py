@@ -70,6 +70,77 @@ def undo_radial(c: tuple[float, float, float, float], scale: float, rounds: int
     return step
 
 
+def vertical(c: tuple[float, float, float, float], scale: float) -> Transform:
+    """The radial polynomial along y alone, in |y| over scale; x stays."""
+
+    def step(p: Point) -> Point:
+        r = F.abs(p[1]) / scale
+        return p[0], p[1] * (c[0] + r * (c[1] + r * (c[2] + r * c[3])))
+
+    return step
+
+
+def undo_vertical(c: tuple[float, float, float, float], scale: float, rounds: int = 12) -> Transform:
+    """Inverse of :func:`vertical`, by the Newton steps of :func:`undo_radial` on the y axis."""
+    undo = undo_radial(c, scale, rounds)
+    return lambda p: (p[0], undo((F.lit(0.0), p[1]))[1])
+
+
+def deregister(c: tuple[float, float, float], scale: float) -> Transform:
+    """Moves x by |y| (c0 + c1 r + c2 r²), r being |y| over scale."""
+
+    def step(p: Point) -> Point:
+        r = F.abs(p[1]) / scale
+        return p[0] + F.abs(p[1]) * (c[0] + r * (c[1] + r * c[2])), p[1]
+
+    return step
+
+
+def radial_shift(c: tuple[float, float, float, float], scale: float, dx: float, dy: float, most: float = 1000.0) -> Transform:
+    """:func:`radial`, then a shift."""
+    return lambda p: chain(p, radial(c, scale, most), shift(dx, dy))
+
+
+def shift_scale_rotate(dx: float, dy: float, scale: float, angle: float) -> Transform:
+    """Moves by -(dx, dy), turns by angle (radians) and scales."""
+    cos, sin = math.cos(angle), math.sin(angle)
+
+    def step(p: Point) -> Point:
+        x, y = p[0] - dx, p[1] - dy
+        return (x * cos - y * sin) * scale, (x * sin + y * cos) * scale
+
+    return step
+
+
+def _turned(m: list[list[float]], v: tuple[Column, Column, Column]) -> tuple[Column, Column, Column]:
+    return tuple(row[0] * v[0] + row[1] * v[1] + row[2] * v[2] for row in m)
+
+
+def persp_sphere(m: list[list[float]], d: float) -> Transform:
+    """Turns the viewing ray of a point (equal angles) by the matrix m."""
+
+    def step(p: Point) -> Point:
+        r = F.sqrt(p[0] * p[0] + p[1] * p[1])
+        s = F.when(r == 0, 0.0).otherwise(F.sin(r / d) / F.nullif(r, F.lit(0.0)))
+        x, y, z = _turned(m, (s * p[0], s * p[1], F.cos(r / d)))
+        q = F.sqrt(x * x + y * y)
+        t = F.when(q == 0, 0.0).otherwise(d * F.atan2(q, z) / F.nullif(q, F.lit(0.0)))
+        return t * x, t * y
+
+    return step
+
+
+def persp_rect(m: list[list[float]], d: float, dx: float = 0.0, dy: float = 0.0) -> Transform:
+    """Turns the ray of a point of a plane at distance d, moved by (dx, dy), and meets the plane again; null where it doesn't."""
+
+    def step(p: Point) -> Point:
+        x, y, z = _turned(m, (p[0] + dx, p[1] + dy, F.lit(float(d))))
+        z = F.nullif(z, F.lit(0.0))
+        return x * d / z, y * d / z
+
+    return step
+
+
 def rect_to_erect(d: float) -> Transform:
     def step(p: Point) -> Point:
         return d * F.atan2(p[0], F.lit(d)), d * F.atan2(p[1], F.sqrt(d * d + p[0] * p[0]))
@@ -94,6 +165,122 @@ def erect_to_pano(d: float) -> Transform:
     return lambda p: (p[0], d * F.tan(p[1] / d))
 
 
+def rect_to_pano(d: float) -> Transform:
+    def step(p: Point) -> Point:
+        x = d * F.atan(p[0] / d)
+        return x, p[1] * F.cos(x / d)
+
+    return step
+
+
+def pano_to_rect(d: float) -> Transform:
+    return lambda p: (d * F.tan(p[0] / d), p[1] / F.cos(p[0] / d))
+
+
+#: The transverse cylinder is computed as the upright one, as the programs that write such projects do.
+transpano_to_erect, erect_to_transpano = pano_to_erect, erect_to_pano
+
+
+def sphere_to_rect(d: float) -> Transform:
+    """Fisheye (equal angles) to a plane; a point at a right angle or beyond goes far out."""
+
+    def step(p: Point) -> Point:
+        theta = F.sqrt(p[0] * p[0] + p[1] * p[1]) / d
+        rho = F.when(theta >= math.pi / 2, 1.6e16).when(theta == 0, 1.0).otherwise(F.tan(theta) / F.nullif(theta, F.lit(0.0)))
+        return rho * p[0], rho * p[1]
+
+    return step
+
+
+def rect_to_sphere(d: float) -> Transform:
+    def step(p: Point) -> Point:
+        r = F.sqrt(p[0] * p[0] + p[1] * p[1]) / d
+        theta = F.when(r == 0, 1.0).otherwise(F.atan(r) / F.nullif(r, F.lit(0.0)))
+        return theta * p[0], theta * p[1]
+
+    return step
+
+
+def pano_to_sphere(d: float) -> Transform:
+    def step(p: Point) -> Point:
+        s = d * F.sin(p[0] / d)
+        r = F.sqrt(s * s + p[1] * p[1])
+        theta = F.when(r == 0, 1.0).otherwise(d * F.atan2(r, d * F.cos(p[0] / d)) / F.nullif(r, F.lit(0.0)))
+        return theta * s, theta * p[1]
+
+    return step
+
+
+def sphere_to_pano(d: float) -> Transform:
+    def step(p: Point) -> Point:
+        r = F.sqrt(p[0] * p[0] + p[1] * p[1])
+        s = F.when(r == 0, 1.0 / d).otherwise(F.sin(r / d) / F.nullif(r, F.lit(0.0)))
+        x, z = s * p[0], F.cos(r / d)
+        return d * F.atan2(x, z), d * s * p[1] / F.nullif(F.sqrt(x * x + z * z), F.lit(0.0))
+
+    return step
+
+
+def erect_to_sphere_cp(d: float, b: float) -> Transform:
+    """Polar form about the upper pole: the angle from x, the radius from y moved by b (both over a right angle)."""
+
+    def step(p: Point) -> Point:
+        phi, theta = -p[0] / (d * math.pi / 2), -(p[1] + b) / (math.pi / 2)
+        return theta * F.cos(phi), theta * F.sin(phi)
+
+    return step
+
+
+def sphere_cp_to_erect(d: float, b: float) -> Transform:
+    return lambda p: (d * F.atan2(p[1], -p[0]), F.sqrt(p[0] * p[0] + p[1] * p[1]) - b)
+
+
+def pano_to_sphere_cp(d: float) -> Transform:
+    def step(p: Point) -> Point:
+        phi, theta = -p[0] / (d * math.pi / 2), math.pi / 2 + F.atan(p[1] / (d * math.pi / 2))
+        return d * theta * F.cos(phi), d * theta * F.sin(phi)
+
+    return step
+
+
+def sphere_cp_to_mirror(d: float, b: float) -> Transform:
+    """A mirror ball of radius b seen from afar, for a ray at the angle r / d."""
+
+    def step(p: Point) -> Point:
+        phi, rho = F.atan2(p[1], p[0]), b * F.sin(F.sqrt(p[0] * p[0] + p[1] * p[1]) / d / 2)
+        return -rho * F.cos(phi), rho * F.sin(phi)
+
+    return step
+
+
+def erect_to_mirror(d: float, b: float, b2: float) -> Transform:
+    def step(p: Point) -> Point:
+        phi, rho = p[0] / (d * math.pi / 2), b * F.sin(-(p[1] + b2) / (d * math.pi / 2) / 2)
+        return -rho * F.cos(phi), rho * F.sin(phi)
+
+    return step
+
+
+def pano_to_mirror(d: float, b: float) -> Transform:
+    def step(p: Point) -> Point:
+        phi = -p[0] / (d * math.pi / 2)
+        rho = b * F.sin((math.pi / 2 + F.atan(p[1] / (d * math.pi / 2))) / 2)
+        return rho * F.cos(phi), rho * F.sin(phi)
+
+    return step
+
+
+def mirror_to_sphere_cp(d: float, b: float) -> Transform:
+    """Null outside the ball."""
+
+    def step(p: Point) -> Point:
+        rho = F.sqrt(p[0] * p[0] + p[1] * p[1]) / b
+        theta, phi = 2 * F.asin(F.when(rho <= 1, rho)), F.atan2(p[1], p[0])
+        return d * theta * F.cos(phi), d * theta * F.sin(phi)
+
+    return step
+
+
 def sphere_to_erect(d: float) -> Transform:
     """Fisheye (equal angles) to longitude and latitude."""
 
@@ -128,6 +315,9 @@ def mercator_to_erect(d: float) -> Transform:
 
 
 def erect_to_transverse_mercator(d: float) -> Transform:
+    """x is d times the inverse hyperbolic tangent. The survey's source divides by the hyperbolic tangent, which its own inverse
+    doesn't undo; here the two are inverses."""
+
     def step(p: Point) -> Point:
         x, y = p[0] / d, p[1] / d
         b = F.cos(y) * F.sin(x)
@@ -172,6 +362,84 @@ def stereographic_to_erect(d: float) -> Transform:
     return step
 
 
+#: Image projections by number: rectilinear, cylinder, two fisheyes of equal angles, equirectangular.
+TO_ERECT: dict[int, Callable[[float], Transform]] = {0: rect_to_erect, 1: pano_to_erect, 2: sphere_to_erect, 3: sphere_to_erect, 4: lambda d: lambda p: p}
+FROM_ERECT: dict[int, Callable[[float], Transform]] = {0: erect_to_rect, 1: erect_to_pano, 2: erect_to_sphere, 3: erect_to_sphere, 4: lambda d: lambda p: p}
+
+
+def _of_kind(kind: Column, kinds: dict[int, Callable[[Column], Transform]], d: Column, p: Point) -> Point:
+    """The transform of the row's kind; null for kinds that aren't known."""
+    x = y = F.lit(None).cast("double")
+    for k, make in kinds.items():
+        q = make(d)(p)
+        x, y = F.when(kind == k, q[0]).otherwise(x), F.when(kind == k, q[1]).otherwise(y)
+    return x, y
+
+
+def _along(yaw: Column, pitch: Column, roll: Column, p: Point, d: Column, back: bool) -> Point:
+    """Turns an equirectangular point (d pixels a radian) by the angles (degrees), or back."""
+    lon, lat = p[0] / d, p[1] / d
+    x, y, z = F.sin(lon) * F.cos(lat), F.sin(lat), F.cos(lon) * F.cos(lat)
+
+    def turn(a: Column, u: Column, v: Column) -> Point:
+        return u * F.cos(a) - v * F.sin(a), u * F.sin(a) + v * F.cos(a)
+
+    a, b, c = F.radians(yaw), F.radians(pitch), F.radians(roll)
+    if back:
+        z, x = turn(-a, z, x)
+        y, z = turn(-b, y, z)
+        x, y = turn(-c, x, y)
+    else:
+        x, y = turn(c, x, y)
+        y, z = turn(b, y, z)
+        z, x = turn(a, z, x)
+    return d * F.atan2(x, z), d * F.atan2(y, F.sqrt(x * x + z * z))
+
+
+def _distance(kind: Column, hfov: Column, width: Column) -> Column:
+    """Pixels a radian on the axis."""
+    a = F.radians(hfov)
+    return F.when(kind == 0, width / 2 / F.tan(a / 2)).otherwise(width / a)
+
+
+def bound(p: Point, *steps: Transform) -> Point:
+    """:func:`chain` for steps that use a coordinate many times: each step's result is computed once and named, where chained expressions
+    would multiply."""
+    pair = F.struct(p[0].alias("x"), p[1].alias("y"))
+    for step in steps:
+        pair = F.get(F.transform(F.array(pair), _named(step)), F.lit(0))
+    return pair["x"], pair["y"]
+
+
+def _named(step: Transform) -> Callable[[Column], Column]:
+    def f(q: Column) -> Column:
+        x, y = step((q["x"], q["y"]))
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return f
+
+
+def image_to_panorama(p: Point, image: dict[str, Column], hfov: float, width: float, kind: int = 4) -> Point:
+    """A point of an image (pixels from its centre) in the panorama (pixels from its centre). image: its projection, hfov, width,
+    yaw, pitch, roll, as Columns, so each row may have another image; null for unknown projections."""
+    d = _distance(image["projection"], image["hfov"], image["width"])
+    to = _distance(F.lit(kind), F.lit(float(hfov)), F.lit(float(width)))
+    return bound(
+        p, lambda q: _of_kind(image["projection"], TO_ERECT, d, q), lambda q: (q[0] / d * to, q[1] / d * to),
+        lambda q: _along(image["yaw"], image["pitch"], image["roll"], q, to, False), FROM_ERECT[kind](to),
+    )
+
+
+def panorama_to_image(p: Point, image: dict[str, Column], hfov: float, width: float, kind: int = 4) -> Point:
+    """The inverse of :func:`image_to_panorama`."""
+    d = _distance(image["projection"], image["hfov"], image["width"])
+    to = _distance(F.lit(kind), F.lit(float(hfov)), F.lit(float(width)))
+    return bound(
+        p, TO_ERECT[kind](to), lambda q: _along(image["yaw"], image["pitch"], image["roll"], q, to, True),
+        lambda q: (q[0] / to * d, q[1] / to * d), lambda q: _of_kind(image["projection"], FROM_ERECT, d, q),
+    )
+
+
 def homography(h: tuple[float, ...]) -> Transform:
     """Nine coefficients, by rows; null where the point goes to infinity."""
 
@@ -192,6 +460,17 @@ def rotation(yaw: float, pitch: float, roll: float) -> list[list[float]]:
     return times(times(rz, ry), rx)
 
 
+def turned_angles(yaw: Column, pitch: Column, roll: Column, by: tuple[float, float, float]) -> tuple[Column, Column, Column]:
+    """Yaw, pitch and roll (degrees) after a turn of the whole panorama by other angles: the product of both rotations, taken apart."""
+    m = rotation(*by)
+    y, p, r = F.radians(yaw), F.radians(pitch), F.radians(roll)
+    cy, sy, cp, sp, cr, sr = F.cos(y), F.sin(y), F.cos(p), F.sin(p), F.cos(r), F.sin(r)
+    own = [[cy * cp, cy * sp * sr - sy * cr, cy * sp * cr + sy * sr], [sy * cp, sy * sp * sr + cy * cr, sy * sp * cr - cy * sr], [-sp, cp * sr, cp * cr]]
+    both = [[m[i][0] * own[0][k] + m[i][1] * own[1][k] + m[i][2] * own[2][k] for k in range(3)] for i in range(3)]
+    lean = F.greatest(F.least(-both[2][0], F.lit(1.0)), F.lit(-1.0))
+    return F.degrees(F.atan2(both[1][0], both[0][0])), F.degrees(F.asin(lean)), F.degrees(F.atan2(both[2][1], both[2][2]))
+
+
 def in_circle(x: Column, y: Column, cx: float, cy: float, r: float) -> Column:
     """Strictly inside."""
     return (x - cx) * (x - cx) + (y - cy) * (y - cy) < r * r

@@ -43,8 +43,21 @@ def shared_point(images: DataFrame, pairs: DataFrame, steps: int = 11) -> DataFr
 
 
 def lens_anchor(images: DataFrame, number: str, *same: str) -> DataFrame:
-    """images with anchor: the first image equal to each in the attributes (itself where it is the first)."""
-    return images.withColumn("anchor", F.min(number).over(Window.partitionBy(*same)))
+    """images with anchor: the first image equal to each in the attributes, null as equal to null (itself where it is the first).
+
+    First images are aggregated before the shuffle, and joined back in a way that Spark can split: a common lens is no hot task.
+    """
+    first = images.groupBy(*same).agg(F.min(number).alias("anchor")).withColumnsRenamed({c: f"_{c}" for c in same})
+    return images.join(first.hint("merge"), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same]).select(*images.columns, "anchor")
+
+
+def lens_assigned(images: DataFrame, number: str, same: list[str], red: str, blue: str) -> DataFrame:
+    """images with anchor, red and blue over the anchor's own (white balance stays an image's own, relative to its lens's first image)."""
+    known = lens_anchor(images, number, *same)
+    base = images.select(F.col(number).alias("anchor"), F.col(red).alias("_r"), F.col(blue).alias("_b"))
+    ratio = lambda c, b: F.coalesce(F.try_divide(F.col(c), F.col(b)), F.lit(1.0)).alias(c)
+    rest = [c for c in known.columns if c not in (red, blue)]
+    return known.join(base.hint("merge"), "anchor").select(*rest, ratio(red, "_r"), ratio(blue, "_b"))
 
 
 def possible_stacks(images: DataFrame, key: str, number: str, layer: Column) -> DataFrame:
@@ -109,6 +122,102 @@ def covariance(df: DataFrame, *axes: str) -> DataFrame:
     return df.agg(*(F.avg(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a in axes for b in axes if a <= b))
 
 
+def polygon_centre(poly: Column) -> Column:
+    """Centroid struct<x, y> of array<struct<x, y>>; null for an area of 0."""
+    turned = F.concat(F.slice(poly, 2, F.size(poly)), F.slice(poly, 1, 1))
+    part = lambda a, b: (a["x"] * b["y"] - b["x"] * a["y"])
+    along = lambda c: F.aggregate(F.zip_with(poly, turned, lambda a, b: (a[c] + b[c]) * part(a, b)), F.lit(0.0), lambda s, x: s + x)
+    area = F.nullif(polygon_area(poly) * 6, F.lit(0.0))
+    return F.when(area.isNotNull(), F.struct((along("x") / area).alias("x"), (along("y") / area).alias("y")))
+
+
+def output_boxes(images: DataFrame, place, steps: int = 20) -> DataFrame:
+    """img_nr, left, top, right, bottom of what an image covers in the panorama, from a grid of its points. place: (x, y) Columns to Columns, over
+    the image's columns and x, y (pixels from its centre); null points are outside. Images without a point are left out."""
+    grid = lambda name: F.explode(F.sequence(F.lit(0), F.lit(steps))).alias(name)
+    each = images.select("*", grid("_a")).select("*", grid("_b"))
+    x, y = place(((F.col("_a") / steps - 0.5) * F.col("width"), (F.col("_b") / steps - 0.5) * F.col("height")))
+    found = each.select("img_nr", x.alias("_x"), y.alias("_y")).filter("_x IS NOT NULL AND _y IS NOT NULL AND NOT isnan(_x) AND NOT isnan(_y)")
+    return found.groupBy("img_nr").agg(F.min("_x").alias("left"), F.min("_y").alias("top"), F.max("_x").alias("right"), F.max("_y").alias("bottom"))
+
+
+def fitted(boxes: DataFrame) -> DataFrame:
+    """One row: the centre and the size that hold all boxes (left, top, right, bottom) evenly about the middle: centre_x, centre_y, width, height."""
+    return boxes.agg(
+        ((F.min("left") + F.max("right")) / 2).alias("centre_x"), ((F.min("top") + F.max("bottom")) / 2).alias("centre_y"),
+        (2 * F.greatest(F.max(F.abs("left")), F.max(F.abs("right")))).alias("width"), (2 * F.greatest(F.max(F.abs("top")), F.max(F.abs("bottom")))).alias("height"),
+    )
+
+
+def covered_columns(boxes: DataFrame, full: int) -> DataFrame:
+    """column: of 0 to full - 1, those under some box; at most full rows are left after the first aggregation."""
+    spans = boxes.select(F.explode(F.sequence(F.floor("left"), F.ceil("right") - 1)).alias("c")).select(F.pmod("c", F.lit(full)).alias("column"))
+    return spans.distinct()
+
+
+def largest_rectangle(bitmap: DataFrame, x: str, y: str, inside: Column) -> DataFrame:
+    """left, top, right, bottom (right and bottom excluded), area: the largest rectangle of pixels that are all inside; of equal ones the first
+    from the top, then from the left. No row if none is.
+
+    Each row of pixels knows how far every column reaches up; a rectangle's top side is some column's reach, so for each row the
+    candidates are (column, its reach) widened to both sides. Rows are groups of the panorama's width, a fixed number.
+    """
+    import pandas as pd
+
+    runs = bitmap.select(F.col(x).cast("long").alias("x"), F.col(y).cast("long").alias("y"), F.coalesce(inside, F.lit(False)).alias("ok"))
+    w = Window.partitionBy("x").orderBy("y")
+    runs = runs.withColumn("g", F.sum((~F.col("ok")).cast("int")).over(w)).filter("ok")
+    reach = runs.withColumn("h", F.row_number().over(Window.partitionBy("x", "g").orderBy("y")))
+
+    def best(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("x")
+        row, out, stack = int(group["y"].iloc[0]), (0, 0, 0, 0), []
+        cells = [*zip(group["x"].tolist(), group["h"].tolist(), strict=True), (None, 0)]
+        last = None
+        for at, h in cells:
+            if last is not None and at != last + 1:
+                while stack:
+                    left, high = stack.pop()
+                    out = max(out, ((last + 1 - left) * high, -(row - high + 1), -left, last + 1))
+            start = at
+            while stack and stack[-1][1] > h:
+                left, high = stack.pop()
+                out = max(out, ((at - left) * high, -(row - high + 1), -left, at))
+                start = left
+            if at is not None:
+                stack.append((start, h))
+            last = at
+        area, top, left, right = out
+        return pd.DataFrame([(-left, -top, right, row + 1, area)], columns=["left", "top", "right", "bottom", "area"])
+
+    found = reach.groupBy("y").applyInPandas(best, "left long, top long, right long, bottom long, area long")
+    return found.orderBy(F.col("area").desc(), "top", "left").limit(1)
+
+
+def levelled(axes: DataFrame) -> tuple[float, float, float] | None:
+    """The direction least covered by the images' side axes (unit vectors x, y, z): the panorama's upright axis. None without images.
+
+    The nine mean products are one row; its eigenvectors are found on the driver.
+    """
+    import numpy as np
+
+    row = covariance(axes, "x", "y", "z").first()
+    if row is None or row["x_x"] is None:
+        return None
+    m = np.array([[row["_".join(sorted(a + b))] for b in "xyz"] for a in "xyz"])
+    _, vectors = np.linalg.eigh(m)
+    v = vectors[:, 0] * (1 if vectors[2, 0] >= 0 else -1)
+    return tuple(float(c) for c in v)
+
+
+def spread_masks_by_overlap(masks: DataFrame, overlaps: DataFrame, least: float = 0.0) -> DataFrame:
+    """Masks also for images (i, j, ratio) that overlap their own by more than least; equal ones once."""
+    e = overlaps.filter(F.col("ratio") > least)
+    ways = e.select(F.col("i").alias("img_nr"), F.col("j").alias("_to")).union(e.select("j", "i"))
+    other = masks.join(ways, "img_nr").withColumn("img_nr", F.col("_to")).select(*masks.columns)
+    return masks.union(other).distinct()
+
+
 def polygon_area(poly: Column) -> Column:
     """Signed area of array<struct<x, y>>."""
     turned = F.concat(F.slice(poly, 2, F.size(poly)), F.slice(poly, 1, 1))

@@ -66,6 +66,39 @@ def ransac(matches: DataFrame, keys: list[str], rounds: int = 1000, distance: fl
     return matches.groupBy(*keys).applyInPandas(fit, matches.schema)
 
 
+def tries_needed(sure: float, outliers: float, sample: int) -> int:
+    """Draws after which one is free of outliers with that probability."""
+    clean = (1 - outliers) ** sample
+    return 1 if clean >= 1 else int(np.ceil(np.log(1 - sure) / np.log(1 - clean)))
+
+
+def ransac_line(points: DataFrame, keys: list[str], distance: float, sure: float = 0.999, outliers: float = 0.3, seed: int = 1) -> DataFrame:
+    """keys, slope, offset, n, inliers: the line through two drawn points (x, y; no pair twice) that most points are near, then by least squares over
+    those. Groups of under two points, or without a line that isn't vertical, have none. The general draw-and-fit scheme with the
+    smallest model; :func:`ransac` is the one for homographies."""
+
+    def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        xy = group.sort_values(["x", "y"])[["x", "y"]].to_numpy(float)
+        n, best = len(xy), np.zeros(len(group), bool)
+        if n >= 2:
+            rng, seen = np.random.default_rng(seed), set()
+            for _ in range(tries_needed(sure, outliers, 2)):
+                i, j = sorted(rng.choice(n, 2, replace=False).tolist())
+                if (i, j) in seen or xy[i, 0] == xy[j, 0]:
+                    continue
+                seen.add((i, j))
+                slope = (xy[j, 1] - xy[i, 1]) / (xy[j, 0] - xy[i, 0])
+                ok = np.abs(xy[:, 1] - xy[i, 1] - slope * (xy[:, 0] - xy[i, 0])) < distance
+                best = ok if ok.sum() > best.sum() else best
+        if best.sum() < 2:
+            return pd.DataFrame([], columns=[*keys, "slope", "offset", "n", "inliers"])
+        slope, offset = np.polyfit(xy[best, 0], xy[best, 1], 1)
+        return pd.DataFrame([(*key, slope, offset, n, int(best.sum()))], columns=[*keys, "slope", "offset", "n", "inliers"])
+
+    kinds = dict(points.dtypes)
+    return points.groupBy(*keys).applyInPandas(fit, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", slope double, offset double, n long, inliers long")
+
+
 def greedy_stacks(overlaps: DataFrame, images: DataFrame, key: str = "project_id", threshold: float = 0.7) -> DataFrame:
     """key, img_nr, stack: the smallest image left opens a stack and takes all left that overlap it by more than threshold.
 

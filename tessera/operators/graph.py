@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .ranking import row_numbers
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -17,18 +20,26 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, component (the least node that can be reached); a node without edges is its own.
 
-    Labels are passed along edges and then followed once, so chains shorten by half a round.
+    Edges are rewired by turns: each node's larger neighbours to its least neighbour (large star), then each node's smaller
+    ones (small star), until every node points at its component's least node. A round halves the depth, rows are never more than
+    the edges, and both steps aggregate before they shuffle. A hub's neighbours meet its least one by a join that Spark can split.
     """
-    e = cut(both_ways(edges))
-    labels = cut(nodes.select("node", F.col("node").alias("component")))
+    e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    before = None
     while True:
-        best = e.join(labels, e.b == labels.node).groupBy("a").agg(F.min("component").alias("_m"))
-        new = labels.join(best, labels.node == best.a, "left").select("node", F.least("component", F.coalesce("_m", "component")).alias("_c"), "component")
-        jump = labels.select(F.col("node").alias("_c"), F.col("component").alias("_further"))
-        new = cut(new.join(jump, "_c", "left").select("node", F.least("_c", F.coalesce("_further", "_c")).alias("component"), F.col("component").alias("_old")))
-        labels = new.select("node", "component")
-        if new.filter("component <> _old").isEmpty():
-            return labels
+        near = e.union(e.select("b", "a"))
+        least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = near.filter("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = cut(large.distinct())
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least.hint("merge"), "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        e = cut(small.filter("a <> b").distinct())
+        # the same edges as before: sums of a 64-bit hash over distinct rows
+        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
+        if (now.n, now.h) == before:
+            break
+        before = (now.n, now.h)
+    return nodes.select("node").join(e, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("component"))
 
 
 def is_connected(components_: DataFrame) -> DataFrame:
@@ -39,14 +50,54 @@ def is_connected(components_: DataFrame) -> DataFrame:
 def levels(edges: DataFrame, start: DataFrame) -> DataFrame:
     """node, level: breadth-first distance from start (node)."""
     e = cut(both_ways(edges))
-    seen = cut(start.select("node", F.lit(0).alias("level")))
-    level = 0
+    front = cut(start.select("node", F.lit(0).alias("level")).distinct())
+    seen, level = [front], 0
     while True:
-        front = seen.filter(F.col("level") == level).select("node")
-        new = cut(e.join(front, e.a == front.node).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("level", F.lit(level + 1)))
-        if new.isEmpty():
-            return seen
-        seen, level = cut(seen.union(new)), level + 1
+        known = reduce(DataFrame.union, seen)
+        if len(seen) > 8:  # a deep graph: else the plan would grow by a table a level
+            seen = [known := cut(known)]
+        level += 1
+        new = e.join(front.select("node"), e.a == F.col("node")).select(F.col("b").alias("node")).distinct()
+        front = cut(new.join(known, "node", "left_anti").withColumn("level", F.lit(level)))
+        if front.isEmpty():
+            return known
+        seen.append(front)
+
+
+def visit_all(nodes: DataFrame, edges: DataFrame, start: DataFrame) -> DataFrame:
+    """node, component, level: breadth-first from start in its component, and from the least node in each other one."""
+    parts = cut(components(nodes, edges))
+    begun = parts.join(start.select("node").distinct(), "node", "left_semi").groupBy("component").agg(F.min("node").alias("_s"))
+    first = parts.select("component").distinct().join(begun, "component", "left").select(F.coalesce("_s", "component").alias("node"))
+    return parts.join(levels(edges, first), "node")
+
+
+def point_edges(points: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """a, b: images joined by a plain control point (mode 0) of two images, or by a link (img_nr, anchor)."""
+    e = points.filter("mode = 0 AND img1 <> img2").select(F.least("img1", "img2").alias("a"), F.greatest("img1", "img2").alias("b"))
+    if links is not None:
+        e = e.union(links.filter("img_nr <> anchor").select(F.least("img_nr", "anchor"), F.greatest("img_nr", "anchor")))
+    return e.distinct()
+
+
+def overlap_edges(overlaps: DataFrame, least: float = 0.001) -> DataFrame:
+    """a, b of pairs (i, j, ratio) that overlap by more than least."""
+    return overlaps.filter(F.col("ratio") > least).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+
+
+def blending_order(images: DataFrame, overlaps: DataFrame, reference: int) -> DataFrame:
+    """img_nr, level: order of blending, breadth-first over overlaps from the reference image (the first one if it isn't among them)."""
+    known = images.select(F.col("img_nr").alias("node"))
+    start = known.agg(F.coalesce(F.max(F.when(F.col("node") == reference, F.col("node"))), F.min("node")).alias("node"))
+    return visit_all(known, overlap_edges(overlaps), start).select(F.col("node").alias("img_nr"), "component", "level")
+
+
+def part_numbers(images: DataFrame, links: DataFrame) -> DataFrame:
+    """img_nr, part: images linked in a variable of a group (links: img_nr, anchor) are one part; parts are numbered from 0 by their first image."""
+    linked = links.select(F.col("img_nr").alias("a"), F.col("anchor").alias("b"))
+    parts = components(images.select(F.col("img_nr").alias("node")), linked)
+    numbers = row_numbers(parts.select("component").distinct(), "part", ["component"])
+    return parts.join(numbers, "component").select(F.col("node").alias("img_nr"), "part")
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], starts: str) -> DataFrame:
@@ -55,11 +106,40 @@ def islands(df: DataFrame, keys: list[str], order: list[str], starts: str) -> Da
     return df.withColumn("group", F.sum(F.col(starts).cast("int")).over(w))
 
 
-def sessions(df: DataFrame, keys: list[str], time: str, gap: str) -> DataFrame:
-    """keys, n, first, last: rows of a key whose times are at most gap apart, one after another.
+def sessions(df: DataFrame, keys: list[str], time: str, gap: str, least: int = 1) -> DataFrame:
+    """keys, n, first, last: rows of a key whose times are at most gap apart, one after another; sessions of fewer than least rows are left out.
 
+    Attributes that all rows of a session must share (camera, lens, size, focal length in hundredths) are keys.
     """
     before = F.lag(time).over(Window.partitionBy(*keys).orderBy(time))
     fresh = df.withColumn("_new", before.isNull() | (F.col(time) > before + F.expr(f"INTERVAL {gap}")))
     numbered = islands(fresh, keys, [time], "_new")
-    return numbered.groupBy(*keys, "group").agg(F.count("*").alias("n"), F.min(time).alias("first"), F.max(time).alias("last"))
+    return numbered.groupBy(*keys, "group").agg(F.count("*").alias("n"), F.min(time).alias("first"), F.max(time).alias("last")).filter(F.col("n") >= least)
+
+
+def first_matching_sessions(df: DataFrame, keys: list[str], time: str, order: list[str], gap_seconds: int) -> DataFrame:
+    """df with session (from 0 within its keys): rows in the given order join the first session whose span, widened by the gap at both ends,
+    holds their time; sessions are never joined, so the order matters. A key (one folder's images of one camera, say) is one group."""
+    import pandas as pd
+
+    def assign(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order, kind="stable")
+        spans: list[list[int]] = []
+        out = []
+        for t in group["_t"].tolist():
+            k = next((k for k, (a, b) in enumerate(spans) if a - gap_seconds <= t <= b + gap_seconds), len(spans))
+            if k == len(spans):
+                spans.append([t, t])
+            else:
+                spans[k] = [min(spans[k][0], t), max(spans[k][1], t)]
+            out.append(k)
+        return group.assign(session=out).drop(columns="_t")
+
+    timed = df.withColumn("_t", F.unix_seconds(time))
+    return timed.groupBy(*keys).applyInPandas(assign, df.withColumn("session", F.lit(0).cast("long")).schema)
+
+
+def split_session(df: DataFrame, keys: list[str], order: list[str], at: int, session: str = "session") -> DataFrame:
+    """df with the rows of each session from place ``at`` (from 0) on in a session of their own: session becomes (session, 0 or 1)."""
+    place = F.row_number().over(Window.partitionBy(*keys, session).orderBy(*order)) - 1
+    return df.withColumn("half", (place >= at).cast("int"))

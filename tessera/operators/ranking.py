@@ -49,3 +49,24 @@ def row_numbers(df: DataFrame, name: str, order: list[str]) -> DataFrame:
     before = sizes.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     placed = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
     return placed.join(F.broadcast(before), "_p").withColumn(name, F.col("_i") + F.col("_before")).drop("_p", "_i", "_before")
+
+
+def page(df: DataFrame, order: list[Column], skip: int, n: int) -> DataFrame:
+    """n rows after the first ``skip`` in order."""
+    return df.orderBy(*order).offset(skip).limit(n)
+
+
+def sorted_points(points: DataFrame, column: str, down: bool, ties: list[str]) -> DataFrame:
+    """points in order of a column, up or down; equal ones by ties."""
+    return points.orderBy(F.col(column).desc() if down else F.col(column), *ties)
+
+
+def seeded_sample(df: DataFrame, n: int, keys: list[str], row: list[str], seed: int = 1) -> DataFrame:
+    """n rows of each of keys by a hash of the row and a seed: the same draw wherever the rows are."""
+    return top(df, n, keys, [F.xxhash64(F.lit(seed), *row), *(F.col(c) for c in row)])
+
+
+def within(df: DataFrame, distance: str, most: float, n: int | None, keys: list[str], ties: list[str]) -> DataFrame:
+    """Rows nearer than most (strictly) and, of each key, the n nearest (all without n): the results of a radius search."""
+    near = df.filter(F.col(distance) < most)
+    return near if n is None else top(near, n, keys, [F.col(distance), *(F.col(c) for c in ties)])

@@ -17,6 +17,78 @@ def error_stats(df: DataFrame, error: str, *keys: str) -> DataFrame:
     return out
 
 
+def own_points(points: DataFrame, image: int) -> DataFrame:
+    """Points that count for an image's statistics: those with both ends in it (one end alone doesn't count)."""
+    return points.filter((F.col("img1") == image) & (F.col("img2") == image))
+
+
+def radii(points: DataFrame, images: DataFrame) -> DataFrame:
+    """radius: of both ends of each point, the distance from its image's centre over half the image's height."""
+    ends = points.select(F.col("img1").alias("img_nr"), F.col("x1").alias("x"), F.col("y1").alias("y")).union(points.select("img2", "x2", "y2"))
+    dx, dy, half = F.col("x") - F.col("width") / 2, F.col("y") - F.col("height") / 2, F.col("height") / 2
+    return ends.join(images.select("img_nr", "width", "height").hint("merge"), "img_nr").select("img_nr", (F.sqrt(dx * dx + dy * dy) / F.nullif(half, F.lit(0.0))).alias("radius"))
+
+
+def radial_stats(points: DataFrame, images: DataFrame) -> DataFrame:
+    """n, min, max, mean, variance of the radii of all points, and their 0.1 and 0.9 quantiles by place; one row."""
+    r = radii(points, images)
+    one = r.select("radius", F.lit(0).alias("_all"))
+    return error_stats(one, "radius", "_all").join(index_quantiles(one, "radius", {"q10": 0.1, "q90": 0.9}, "_all"), "_all").drop("_all")
+
+
+def exposure_range(df: DataFrame, value: str, group: str, *keys: str) -> DataFrame:
+    """keys, mean, range (largest less smallest, 0 without rows) and groups (how many different ones: lenses, stacks)."""
+    return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.coalesce(F.max(value) - F.min(value), F.lit(0.0)).alias("range"), F.countDistinct(group).alias("groups"))
+
+
+def boxes(df: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
+    """keys, left, right, top, bottom of a region's pixels (right and bottom included)."""
+    return df.groupBy(*keys).agg(F.min(x).alias("left"), F.max(x).alias("right"), F.min(y).alias("top"), F.max(y).alias("bottom"))
+
+
+def count_in_mask(df: DataFrame, mask: Column, *keys: str) -> DataFrame:
+    """keys, n: pixels for which the mask holds; none counts as 0."""
+    return df.groupBy(*keys).agg(F.count_if(F.coalesce(mask, F.lit(False))).alias("n"))
+
+
+def paint(df: DataFrame, value: str, order: list[str], mask: Column, *keys: str) -> DataFrame:
+    """keys and value of the last image in order (then of the largest value) whose mask holds there."""
+    return df.filter(mask).groupBy(*keys).agg(F.max_by(value, F.struct(*order, value)).alias(value))
+
+
+def window_stats(df: DataFrame, x: str, y: str, value: str, half: int, *keys: str) -> DataFrame:
+    """keys, x, y, n, mean, variance (of all, not of a sample) of the pixels within half of each pixel, borders cut: each pixel is sent to its
+    neighbours as sums by row, then by column."""
+    near = lambda c: F.explode(F.array(*(F.col(c) + k for k in range(-half, half + 1)))).alias(c)
+    sums = [F.sum(n).alias(n) for n in ("_n", "_s", "_q")]
+    v = F.col(value).cast("double")
+    rows = df.select(*keys, near(x), y, F.lit(1).alias("_n"), v.alias("_s"), (v * v).alias("_q")).groupBy(*keys, x, y).agg(*sums)
+    both = rows.select(*keys, x, near(y), "_n", "_s", "_q").groupBy(*keys, x, y).agg(*sums)
+    mean = F.col("_s") / F.col("_n")
+    out = df.select(*keys, x, y).distinct().join(both, [*keys, x, y])
+    return out.select(*keys, x, y, F.col("_n").alias("n"), mean.alias("mean"), F.greatest(F.col("_q") / F.col("_n") - mean * mean, F.lit(0.0)).alias("variance"))
+
+
+def best_scale(images: DataFrame, scale: Column, *keys: str) -> DataFrame:
+    """keys, scale: the largest that any image needs, 0 at least; without images 1 (in one row, if there are no keys)."""
+    return images.groupBy(*keys).agg(F.when(F.count("*") == 0, 1.0).otherwise(F.greatest(F.max(scale), F.lit(0.0))).alias("scale"))
+
+
+def queue_counts(jobs: DataFrame, status: str, failed: str, *keys: str) -> DataFrame:
+    """keys, n, failed: jobs, and those whose status is that."""
+    return jobs.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col(status) == failed).alias("failed"))
+
+
+def hdr_in_order(df: DataFrame, value: str, exposure: str, order: str, *keys: str) -> DataFrame:
+    """:func:`hdr_average` as a reducer that takes samples one by one: where none has weight, the value of the sample whose exposure was last
+    larger than the weight kept so far (which is the sample's weight, not its exposure)."""
+    step = lambda acc, s: F.when(s["m"] > acc["w"], F.struct((0.5 - F.abs(s["m"] - 0.5)).alias("w"), s["v"].alias("v"))).otherwise(acc)
+    start = F.struct(F.lit(0.0).alias("w"), F.lit(None).cast("double").alias("v"))
+    samples = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(exposure).cast("double").alias("m"), F.col(value).cast("double").alias("v"))))
+    w = hdr_weight(F.col(exposure))
+    return df.groupBy(*keys).agg(F.when(F.sum(w) > 0, F.try_divide(F.sum(w * F.col(value)), F.sum(w))).otherwise(F.aggregate(samples, start, step)["v"]).alias("hdr"))
+
+
 def index_quantiles(df: DataFrame, value: str, shares: dict[str, float], *keys: str) -> DataFrame:
     """keys and, for each name in shares, the value at place floor(share * n) of the sorted values (from 0; no interpolation).
 

@@ -66,3 +66,15 @@ def test_empty_documents(spark, tmp_path):
     none = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def test_extra_and_missing_columns_and_odd_rows(spark, tmp_path):
+    docs, _ = corpus(str(tmp_path), spark)
+    read = spark.read.parquet(f"{tmp_path}/documents.parquet").filter("doc_id < 40 OR doc_id >= 900")
+    odd = read.drop("n_chars", "source").selectExpr("*", "'r' AS rid", "1 AS spans", "'x' AS doc", "2.0 AS score", "3 AS label", "'s' AS starts")
+    odd = odd.union(odd.limit(2)).unionByName(odd.limit(1).selectExpr("CAST(NULL AS LONG) AS doc_id", "'a long text of no one' AS text", "lang", "rid", "spans", "doc", "score", "label", "starts"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, str(tmp_path))
+        assert out.columns == odd.columns, stage
+        ids = [r.doc_id for r in out.select("doc_id").collect()]
+        assert 900 in ids and 901 in ids and None in ids, stage

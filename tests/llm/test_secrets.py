@@ -43,3 +43,32 @@ def test_ownership_separates_examples_from_live_values(spark):
     assert S.redact(df).columns == df.columns and len(clean) == len(docs)
     assert clean[101].text == "[secret] and [secret]" and clean[100].text == "x [secret] y"
     assert clean[0].text == docs[0][1] and clean[102].row == "r" and clean[102].spans == 1
+
+
+def test_many_repositories_of_one_owner_are_a_copied_example(spark):
+    value = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"
+    docs = [(i, f"token = {value}", "one", "r", 1) for i in range(S.MAX_REPOSITORIES + 1)] + [(900, "token = 0a1b2c3d4e5f60718293a4b5c6d7e8f901234567", "one", "r", 1)]
+    got = {r.doc_id: r for r in S.scan(spark.createDataFrame(docs, DOCS)).collect()}
+    assert (got[0].n_live, got[0].n_copied, got[0].max_owners, got[0].max_repositories) == (0, 2, 1, S.MAX_REPOSITORIES + 1)
+    assert got[900].n_live == 2 and got[900].max_repositories == 1
+
+
+def test_scan_is_native(spark):
+    df = spark.createDataFrame([(1, "token = abcdef12", "a")], "doc_id long, text string, source string")
+    for out in (S.scan(df), S.redact(df)):
+        plan = out._jdf.queryExecution().toString()
+        assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_long_runs_take_time_in_proportion(spark):
+    text = "eyJ" * 200_000 + " eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P"
+    row = S.scan(spark.createDataFrame([(1, text, "a", "r", 1)], DOCS)).first()
+    assert row.spans == f"signed:600001:{len(text)}"
+
+
+def test_rows_that_are_too_many_to_broadcast(spark, monkeypatch):
+    docs = [(i, f"token = {i:02d}a1b2c3d4e5f60718293a4b5c6d7e8f9012345 end", f"o{i}", "r", 1) for i in range(20)] + [(99, None, None, None, None)]
+    df = spark.createDataFrame(docs, DOCS)
+    few = sorted(map(str, S.redact(df).collect()))
+    monkeypatch.setattr(S, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, S.redact(df).collect())) == few and "[secret]" in few[0]

@@ -60,3 +60,27 @@ def test_empty_and_long(spark):
     long = "".join(map(chr, rng.integers(97, 123, 700_000)))
     rows = S.repeats(spark.createDataFrame([(1, long, 0, "", ""), (2, "q" + long[300_000:301_000], 0, "", "")], DOCS)).collect()
     assert {(r.doc_id, r.n_removed, r.n_spans) for r in rows} == {(1, 1000, 1), (2, 1000, 1)}
+
+
+def test_names_that_collide_are_found_out(spark, monkeypatch):
+    """With names of a few bits different strings share them; the bytes tell, and with other names all is done again."""
+    real, seeds = S.joined, []
+
+    def coarse(*names):
+        seeds.append(1)
+        return real(*names) & np.uint64(0xFFFF << 40)
+
+    texts = corpus(5, 30)
+    chunks = [S.Chunk(b"".join(t.encode() for t in part if t), np.array([len(t.encode()) for t in part if t], np.int64)) for part in (texts[:15], texts[15:])]
+    good = S._passes(chunks[0], 1, 5, [None, None, None])
+    _, equal = S._claims(chunks[0], 1, [None, None, None])
+    assert equal and good
+    monkeypatch.setattr(S, "joined", coarse)
+    assert not S._claims(chunks[0], 1, [None, None, None])[1]
+    assert seeds
+
+
+def test_catalog_is_left_as_it_was(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert S.repeats(spark.createDataFrame([(1, "a" * 500, 0, "", "")], DOCS)).first().n_removed == 500
+    assert {t.name for t in spark.catalog.listTables()} == before

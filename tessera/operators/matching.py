@@ -38,12 +38,21 @@ def two_nearest(queries: DataFrame, targets: DataFrame, block: int = 4096) -> Da
         other, b = _vectors(right)
         order = np.argsort(other, kind="stable")
         other, b = other[order], b[order]
-        rows: list[tuple[int, int, float]] = []
-        for i, x in zip(ids.tolist(), a, strict=True):
-            d = ((b - x) ** 2).sum(axis=1) if len(b) else np.zeros(0)
-            rows += [(i, int(other[k]), float(d[k])) for k in np.argsort(d, kind="stable")[:2]]
-        columns = list(zip(*rows, strict=True)) or [(), (), ()]
-        return pa.table({"q": pa.array(columns[0], pa.int64()), "t": pa.array(columns[1], pa.int64()), "d": pa.array(columns[2], pa.float64())})
+        if len(ids) and len(other):
+            # one matrix product gives distances up to rounding; those that may be among the two least are computed exactly
+            squares = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :]
+            about = squares - 2 * (a @ b.T)
+            second = np.partition(about, min(1, len(other) - 1), axis=1)[:, min(1, len(other) - 1)]
+            rows, columns = np.nonzero(about <= (second + 1e-9 * squares.max(axis=1))[:, None])
+            d = ((a[rows] - b[columns]) ** 2).sum(axis=1)
+            sorted_ = np.lexsort((columns, d, rows))
+            rows, columns, d = rows[sorted_], columns[sorted_], d[sorted_]
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            keep = place < 2
+            rows, columns, d = rows[keep], columns[keep], d[keep]
+        else:
+            rows, columns, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return pa.table({"q": pa.array(ids[rows], pa.int64()), "t": pa.array(other[columns], pa.int64()), "d": pa.array(d, pa.float64())})
 
     near = q.groupBy("i", "j").cogroup(t.groupBy("i", "j")).applyInArrow(nearest, "q long, t long, d double")
     ranked = near.withColumn("_n", F.row_number().over(Window.partitionBy("q").orderBy("d", "t"))).filter("_n <= 2")

@@ -37,9 +37,9 @@ def reach(start):
 
 def test_graphs(spark, tables):
     nodes = {p for p, _ in PARTS} | {s + FAR for s in SUPPLIERS}
-    got = {r.node: r.component for r in Q.connected_components_whole(spark, tables).collect()}
+    got = {r.node: r.component for r in Q.connected_components(spark, tables).collect()}
     assert got == {n: min(reach(n)) for n in nodes}
-    levels = {r.node: r.level for r in Q.breadth_first_whole(spark, tables).collect()}
+    levels = {r.node: r.level for r in Q.breadth_first(spark, tables).collect()}
     assert levels == reach(1) and max(levels.values()) == 14
 
 
@@ -55,8 +55,8 @@ def test_rectangles(spark, tables):
                 want[pair] = max(want.get(pair, 0), n / 100)
         if i + 1 in r and any(inside(left + (right - left) * a / 10, top + (bottom - top) * b / 10, i + 1) for a in range(11) for b in range(11)):
             points.add((i, i + 1))
-    assert {(x.i, x.j): x.ratio for x in Q.overlap_whole(spark, tables).collect()} == pytest.approx(want)
-    got = Q.geometric_points_whole(spark, tables).collect()
+    assert {(x.i, x.j): x.ratio for x in Q.overlap(spark, tables).collect()} == pytest.approx(want)
+    got = Q.geometric_points(spark, tables).collect()
     assert {(x.i, x.j) for x in got} == points and all(inside(x.x, x.y, x.j) for x in got)
 
 
@@ -64,6 +64,6 @@ def test_relations(spark, tables):
     old = {n: k for k, n, b in CUSTOMERS if b < 5000}
     fresh = [n for _, n, b in CUSTOMERS if b >= 0 and n not in old]
     want = {n: old.get(n) or max(old.values()) + 1 + fresh.index(n) for _, n, b in CUSTOMERS if b >= 0}
-    assert {r["name"]: r.merged for r in Q.merge_by_name_whole(spark, tables).collect()} == want
-    sizes = sorted({s for _, s in PARTS if s > 2})
-    assert {r.p_partkey: r.mode for r in Q.renumber_lines_whole(spark, tables).collect()} == {p: sizes.index(s) + 3 if s > 2 else s for p, s in PARTS}
+    assert {r["name"]: r.merged for r in Q.merge_by_name(spark, tables).collect()} == want
+    sizes = sorted({s for _, s in PARTS if s > 0})
+    assert {r.p_partkey: r.mode for r in Q.renumber_lines(spark, tables).collect()} == {p: sizes.index(s) + 3 if s > 0 else s for p, s in PARTS}

@@ -3,19 +3,20 @@
 The automaton of all items (words as symbols; no match runs from one item into the next) is built on
 the driver from a block of at most ``BLOCK_WORDS`` words, broadcast, and each document's words are
 streamed through it: after each word it knows the longest suffix read that some item contains. Where
-that is at least a window long, the words of the match are hit. Benchmarks of more words take several
-blocks, one pass each. Documents are never shuffled.
+that is at least a window long, the words of the match are hit. Documents aren't shuffled. Benchmarks of more words take several
+blocks, a pass over the texts each; their matches are kept by row number and put beside the documents at the end.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import repeat
+from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -153,50 +154,62 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
     tables give empty results; a text of any length is read whole, word by word.
     """
     docs = dealt(docs.drop("n_words", "starts", "ends", "items"))
-    names = [f.name for f in docs.schema.fields]
-    at = names.index("text")
-    out = docs
-    for k, items in enumerate(blocks_of(benchmark, block_words)):
-        shared = docs.sparkSession.sparkContext.broadcast(Automaton(items, window))
-        if k:
-            out = written(out, "matches")
-
-        def matched(batches: Iterator[pa.RecordBatch], shared=shared, more=bool(k)) -> Iterator[pa.RecordBatch]:
-            automaton = shared.value
-            for batch in batches:
-                counts, starts, ends, items = [], [], [], []
-                before = [batch.column(i).to_pylist() for i in range(len(names) + 1, len(names) + 4)] if more else None
-                for i, text in enumerate(batch.column(at).cast(_binary(batch.column(at).type)).to_pylist()):
-                    w = words(text or b"")
-                    spans, found = automaton.match(w)
-                    if more:
-                        spans = _union(spans, list(zip(before[0][i], before[1][i], strict=True)))
-                        found = found | set(before[2][i])
-                    counts.append(len(w))
-                    starts.append([a for a, _ in spans])
-                    ends.append([b for _, b in spans])
-                    items.append(sorted(found))
-                columns = [pa.array(counts, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(batch.columns[: len(names)] + columns, [*names, "n_words", "starts", "ends", "items"])
-
-        out = out.mapInArrow(matched, StructType(docs.schema.fields + _parse_datatype_string(MATCHES).fields))
-    return out
+    kinds = _parse_datatype_string(MATCHES).fields
+    blocks = blocks_of(benchmark, block_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:  # matches stand beside the documents, which nothing moves
+        return docs.mapInArrow(_matcher(first, window, docs.sparkSession, docs.columns.index("text"), len(docs.columns)), StructType(docs.schema.fields + kinds))
+    # more blocks: a pass each over numbered texts, of which only matches are written; then they are put together by number
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")), "numbered")
+    texts = rows.select("row", F.col("doc.text").alias("text"))
+    passes = []
+    for k, items in enumerate(chain([first, second], blocks)):
+        found = texts.mapInArrow(_matcher(items, window, docs.sparkSession, 1, 2), StructType([*texts.schema.fields, *kinds])).drop("text")
+        passes.append(written(found if k == 0 else found.filter(F.size("items") > 0), "matches"))
+    span = F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))
+    both = reduce(DataFrame.union, passes).groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_sort(span).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    both = both.select("row", "n_words", _joined_spans(F.col("spans")).alias("spans"), "items")
+    whole = rows.join(both, "row").select("doc.*", "n_words", F.col("spans.starts").alias("starts"), F.col("spans.ends").alias("ends"), "items")
+    return whole
+
+
+def _matcher(items: list[tuple[str, bytes]], window: int, spark: SparkSession, at: int, n: int):
+    """A function of Arrow batches: their first n columns, then the matches of the text in column at with the items."""
+    shared = spark.sparkContext.broadcast(Automaton(items, window))
+
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = shared.value
+        for batch in batches:
+            counts, starts, ends, found = [], [], [], []
+            for text in batch.column(at).cast(_binary(batch.column(at).type)).to_pylist():
+                w = words(text or b"")
+                spans, hit = automaton.match(w)
+                counts.append(len(w))
+                starts.append([a for a, _ in spans])
+                ends.append([b for _, b in spans])
+                found.append(sorted(hit))
+            columns = [pa.array(counts, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(batch.columns[:n] + columns, [*batch.schema.names[:n], "n_words", "starts", "ends", "items"])
+
+    return matched
+
+
+def _joined_spans(spans: Column) -> Column:
+    """Sorted spans (starts, ends) as one array, those that meet as one."""
+
+    def add(done: Column, s: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        longer = F.struct(last["starts"].alias("starts"), F.greatest(last["ends"], s["ends"]).alias("ends"))
+        apart = (F.size(done) == 0) | (s["starts"] > last["ends"])
+        return F.when(apart, F.concat(done, F.array(s))).otherwise(F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer)))
+
+    return F.aggregate(spans, F.array().cast("array<struct<starts:bigint,ends:bigint>>"), add)
 
 
 def _binary(kind: pa.DataType) -> pa.DataType:
     return pa.large_binary() if pa.types.is_large_string(kind) else pa.binary()
 
 
-def _union(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for start, end in sorted(a + b):
-        if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
-        else:
-            out.append((start, end))
-    return out
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256 and contaminated (a twentieth of its words hit, or more)."""
     m = find_matches(docs.select("doc_id", "text"), benchmark, window, block_words)

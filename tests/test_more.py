@@ -95,7 +95,7 @@ def test_more_transforms_have_inverses(spark):
     df, d, turn = spark.createDataFrame(points, "x double, y double"), 120.0, G.rotation(10, 20, 30)
     back = [list(r) for r in zip(*turn, strict=True)]
     pairs = [(G.rect_to_pano(d), G.pano_to_rect(d)), (G.sphere_to_rect(d), G.rect_to_sphere(d)), (G.sphere_to_pano(d), G.pano_to_sphere(d)), (G.persp_sphere(turn, d), G.persp_sphere(back, d)), (G.persp_rect(turn, d), G.persp_rect(back, d)), (G.vertical((0.98, 0.01, 0.0, -0.01), 100.0), G.undo_vertical((0.98, 0.01, 0.0, -0.01), 100.0))]
-    columns = [c.alias(f"{k}{a}") for k, (there, again) in enumerate(pairs) for c, a in zip(G.chain((F.col("x"), F.col("y")), there, again), "xy", strict=True)]
+    columns = [c.alias(f"{k}{a}") for k, (there, again) in enumerate(pairs) for c, a in zip(G.bound((F.col("x"), F.col("y")), there, again), "xy", strict=True)]
     for (x, y), r in zip(points, df.select(*columns).collect(), strict=True):
         for k in range(len(pairs)):
             assert math.isclose(r[2 * k], x, abs_tol=1e-6) and math.isclose(r[2 * k + 1], y, abs_tol=1e-6), k

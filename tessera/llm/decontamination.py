@@ -9,7 +9,6 @@ blocks, a pass over the texts each; their matches are kept by row number and put
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import reduce
 from itertools import chain, repeat

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, give_back, written
 
 WORDS = 5
 SIMILAR = (75, 100)
@@ -45,7 +45,8 @@ BLOCK = 256
 #: Ids that are broadcast, to fetch texts without a shuffle of all of them, at most; more take a shuffle.
 BROADCAST_IDS = 1_000_000
 MAX_ROUNDS = 12
-MEMO_ENTRIES = 250_000
+#: Words whose hashes a worker keeps while it reads a partition, about 130 bytes each.
+MEMO_ENTRIES = 150_000
 
 #: Two different leasts fall in one register of the sketch: the same leading zeros (a third), the same mantissa.
 BY_CHANCE = 1 / 3 / (1 << SKETCH_MANTISSA)
@@ -145,6 +146,16 @@ def _registers(n: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return rows
 
 
+def _utf8(column: pa.Array) -> list[bytes]:
+    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+
+
+def _split(small: DataFrame) -> DataFrame:
+    """The side of a join that has one row a key. Both sides are sorted, so that Spark splits a hot key of the other side over
+    tasks (skew join); with a hash or broadcast join after the shuffle its rows would stay in one task."""
+    return small.hint("merge")
+
+
 def numbered(docs: DataFrame, *names: str) -> DataFrame:
     """rid (a number of the row), doc (the named columns): written to the shared folder, as the number must not change."""
     return written(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc")), "numbered")
@@ -157,9 +168,8 @@ def signatures(rows: DataFrame) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                texts = batch.column(2)
                 n, d1, d2, keys, sketches = [], [], [], [], []
-                for text in texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_pylist():
+                for text in _utf8(batch.column(2)):
                     s = shingles(text)
                     n.append(len(s))
                     digest = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
@@ -169,6 +179,8 @@ def signatures(rows: DataFrame) -> DataFrame:
                     sketches.append((sketch(s).tobytes() if len(s) > EXACT else s.tobytes().ljust(SKETCH, b"\0")) if len(s) else None)
                 columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "n", "d1", "d2", "keys", "sketch"])
+        _memo.clear()
+        give_back()
 
     texts = rows.select("rid", "doc.doc_id", F.coalesce("doc.text", F.lit("")).alias("text"))
     return written(texts.mapInArrow(sign, "rid long, doc_id long, n long, d1 long, d2 long, keys array<bigint>, sketch binary"), "signatures")
@@ -189,37 +201,46 @@ def _close(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     sketches = sigs.select("rid", "n", "sketch")
-    joined = pairs.join(sketches.withColumnsRenamed({"rid": "a", "n": "n_x", "sketch": "x"}), "a").join(sketches.withColumnsRenamed({"rid": "b", "n": "n_y", "sketch": "y"}), "b")
+    joined = pairs.join(_split(sketches.withColumnsRenamed({"rid": "a", "n": "n_x", "sketch": "x"})), "a").join(_split(sketches.withColumnsRenamed({"rid": "b", "n": "n_y", "sketch": "y"})), "b")
     return joined.select("a", "b", "x", "y", "n_x", "n_y").mapInArrow(passed, "a long, b long")
 
 
-def _texts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """rid, text of the documents in pairs."""
+def _sets(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """rid, s (the sorted hashes of its shingles) of the documents in pairs, written to the shared folder."""
     need = written(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "rid"), "needed")
     need = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
-    return rows.join(need, "rid", "left_semi").select("rid", F.coalesce("doc.text", F.lit("")).alias("text"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in _utf8(batch.column(1))], pa.binary())], ["rid", "s"])
+        _memo.clear()
+        give_back()
+
+    texts = rows.join(need, "rid", "left_semi").select("rid", F.coalesce("doc.text", F.lit("")).alias("text"))
+    return written(texts.mapInArrow(hashed, "rid long, s binary"), "sets")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar."""
+    """Pairs (a, b) whose full sets are similar, written to the shared folder. Pair rows hold hashes, never texts."""
     share, of = SIMILAR
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, np.ndarray | None] = (None, None)
         for batch in batches:
             keep = []
-            for b, x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if last[0] != b:  # pairs of one hub come together
-                    last = (b, shingles(y.encode()))
-                s = shingles(x.encode())
-                both = len(np.intersect1d(s, last[1], assume_unique=True))
-                keep.append(of * both >= share * (len(s) + len(last[1]) - both))
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                keep.append(of * both >= share * (len(s) + len(t) - both))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    texts = _texts(pairs, rows)
-    joined = pairs.join(texts.withColumnsRenamed({"rid": "a", "text": "x"}), "a").join(texts.withColumnsRenamed({"rid": "b", "text": "y"}), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long")
+    sets = _sets(pairs, rows)
+    joined = pairs.join(_split(sets.withColumnsRenamed({"rid": "a", "s": "x"})), "a").join(_split(sets.withColumnsRenamed({"rid": "b", "s": "y"})), "b")
+    found = written(joined.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"), "verified")
+    discard(sets)
+    return found
 
 
 def components(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
@@ -230,10 +251,10 @@ def components(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
     edges = written(both.filter("a <> b").distinct(), "links")
     labels = written(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("rid"), F.least("a", "m").alias("label")), "labels")
     while True:
-        near = edges.join(labels, edges.b == labels.rid).groupBy("a").agg(F.min("label").alias("m"))
+        near = edges.join(_split(labels), edges.b == labels.rid).groupBy("a").agg(F.min("label").alias("m"))
         moved = labels.join(near, labels.rid == near.a).select("rid", F.least("label", "m").alias("to"), F.col("label").alias("was"))
         jump = labels.select(F.col("rid").alias("to"), F.col("label").alias("further"))
-        new = written(moved.join(jump, "to", "left").select("rid", F.least(F.coalesce("further", "to"), "to").alias("label"), "was"), "labels")
+        new = written(moved.join(_split(jump), "to", "left").select("rid", F.least(F.coalesce("further", "to"), "to").alias("label"), "was"), "labels")
         labels = new.select("rid", "label")
         if not new.filter("label <> was").head(1):
             return labels
@@ -244,7 +265,7 @@ def _buckets(sigs: DataFrame) -> DataFrame:
 
     rows = sigs.select("rid", "n", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    return written(rows.join(written(shared, "keys"), "key"), "buckets")
+    return written(rows.join(_split(written(shared, "keys")), "key"), "buckets")
 
 
 def _left(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -253,7 +274,7 @@ def _left(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
         return buckets.withColumn("label", F.col("rid"))
     now = written(buckets.join(labels, "rid", "left").select("key", "rid", "n", F.coalesce("label", "rid").alias("label")), "labelled")
     several = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    return written(now.join(written(several, "several"), "key"), "left")
+    return written(now.join(_split(written(several, "several")), "key"), "left")
 
 
 def _star(left: DataFrame, turn: int) -> DataFrame:
@@ -261,15 +282,15 @@ def _star(left: DataFrame, turn: int) -> DataFrame:
     order = F.struct(F.xxhash64("rid", F.lit(turn)).alias("o") if turn else F.col("rid").alias("o"), "rid", "label", "n")
     hubs = written(left.groupBy("key").agg(F.min(order).alias("h")).select("key", F.col("h.rid").alias("b"), F.col("h.label").alias("hub_label"), F.col("h.n").alias("hub_n")), "hubs")
     sizes = SIMILAR[1] * F.least("n", "hub_n") >= SIMILAR[0] * F.greatest("n", "hub_n")
-    return left.join(hubs, "key").filter("label <> hub_label").filter(sizes).select(F.col("rid").alias("a"), "b").distinct()
+    return left.join(_split(hubs), "key").filter("label <> hub_label").filter(sizes).select(F.col("rid").alias("a"), "b").distinct()
 
 
 def _rest(left: DataFrame, sigs: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components in one bucket whose estimate, or exact index, passes, found block by block."""
     hubs = left.groupBy("key").agg(F.min(F.struct("rid", "label")).alias("h"), F.count("*").alias("m"))
-    mine = left.join(written(hubs.select("key", F.col("h.label").alias("main"), "m"), "mains"), "key")
+    mine = left.join(_split(written(hubs.select("key", F.col("h.label").alias("main"), "m"), "mains")), "key")
     outside = mine.groupBy("key").agg(F.sum((F.col("label") != F.col("main")).cast("long")).alias("o"))
-    mine = written(mine.join(written(outside, "outside"), "key").join(sigs.select("rid", "keys", "sketch"), "rid"), "members")
+    mine = written(mine.join(_split(written(outside, "outside")), "key").join(sigs.select("rid", "keys", "sketch"), "rid"), "members")
     members, outer = F.ceil(F.col("m") / BLOCK).cast("int"), F.ceil(F.col("o") / BLOCK).cast("int")
     part = lambda n: F.pmod(F.xxhash64("rid"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
@@ -328,7 +349,7 @@ def linked(sigs: DataFrame, rows: DataFrame) -> DataFrame | None:
             return labels
         if turn and size.pairs <= 4 * size.rows:
             break  # few pairs are left: they are looked at one by one
-        links = written(_verified(written(_close(_star(left, turn), sigs), "close"), rows), "verified")
+        links = _verified(written(_close(_star(left, turn), sigs), "close"), rows)
         if not links.head(1):
             break
         labels = components(links, labels)
@@ -337,7 +358,7 @@ def linked(sigs: DataFrame, rows: DataFrame) -> DataFrame | None:
             break
         known = merged
     left = _left(buckets, labels)
-    links = written(_verified(written(_rest(left, sigs), "close"), rows), "verified")
+    links = _verified(written(_rest(left, sigs), "close"), rows)
     return components(links, labels) if links.head(1) else labels
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import decontamination, html_text, licences, near_dedup, neighbours, packing, secrets, suffix_dedup, token_output, toxicity
 from .tokens import tokenizer_path

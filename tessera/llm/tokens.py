@@ -14,8 +14,10 @@ from itertools import chain
 
 import numpy as np
 
+from .common import give_back
+
 #: Entries of a worker's memo, about 180 bytes each, at which it becomes the old one, of which only what is met again is kept.
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 600_000
 #: Characters of text handed to the library at once.
 BATCH_CHARS = 4_000_000
 
@@ -117,6 +119,7 @@ class Encoder:
         """Gives the memos back at the end of a partition: the worker lives on, and may serve other operators."""
         self.memo, self.old = {}, {}
         self.odd.clear()
+        give_back()
 
     def _batch(self, texts: list[str]) -> Iterator[bytes]:
         if len(self.memo) > MEMO_ENTRIES:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt, text_of, written
+from .common import dealt, give_back, text_of, written
 
 MAX_LABELLED = 20_000
 #: A term is in this many toxic documents of the sample at least, at odds so many times those of clean ones,
@@ -347,6 +347,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             scores = [a.score(t or "") for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
+        del a
+        give_back()
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 

@@ -120,3 +120,26 @@ def test_sets_kept_whole_are_compared_exactly():
         rows = [D.sketch(s).tobytes() if len(s) > D.EXACT else s.tobytes().ljust(D.SKETCH, b"\0") for s in (a, b)]
         rows = [np.frombuffer(r, np.uint8).reshape(1, -1) for r in rows]
         assert D._may_link(np.array([n]), np.array([m]), *rows)[0] == (100 * both >= 75 * (n + m - both))
+
+
+def test_no_link_is_lost_at_the_threshold():
+    """Pairs of exactly 0.75: how many have no shared band, or an estimate too low to be looked at. README gives the figures of a larger run."""
+    rng = np.random.default_rng(11)
+    lost, lowest = 0, 1.0
+    for n in (132, 400, 1200, 4000):
+        for _ in range(120):
+            x = np.unique(rng.integers(1, 1 << 63, n + 100).astype(np.uint64) << np.uint64(1))[: n // 8 * 8]
+            rng.shuffle(x)
+            both, own = len(x) * 6 // 8, len(x) // 8  # 6/8 shared, 1/8 each: 0.75
+            a, b = np.sort(x[: both + own]), np.sort(np.concatenate([x[:both], x[both + own :]]))
+            e = float(D.estimate(D.sketch(a), D.sketch(b)))
+            lowest = min(lowest, e)
+            lost += e < D.LEAST_ESTIMATE or not (D.band_keys(a) == D.band_keys(b)).any()
+    assert lost == 0 and lowest > 0.69
+
+
+def test_ids_that_are_too_many_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(D, "BROADCAST_IDS", 0)
+    docs = corpus(6, 60)
+    got = D.near_duplicates(spark.createDataFrame(docs, DOCS)).collect()
+    assert sorted(str(tuple(r)) for r in got) == brute(docs)

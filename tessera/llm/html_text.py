@@ -273,6 +273,9 @@ class Labeller:
 #: How templates name what holds the main text, and what doesn't.
 MAIN = ["<article>", "<main>", '<div class="article">', '<div class="post-content">', '<div id="content">', '<section class="entry">', '<div class="story body">', '<article class="post">', '<main id="main"><article>', '<div role="main">']
 OTHER = ["<nav>", "<header>", "<footer>", "<aside>", '<div class="ad">', '<div class="ads banner">', '<div class="advert">', '<div id="sidebar">', '<ul class="menu">', '<div class="cookie-notice">', '<div class="notice">', '<div class="related">', '<div class="share social">', "<form>", '<div id="footer">', '<div class="header">', '<div class="breadcrumb nav">', '<div class="newsletter promo">', '<div class="navigation">', '<div class="popup">']
+#: Cells of table layouts, beside the main text and around it.
+SIDE_CELLS = ['<td class="leftnav">', '<td width="150">', '<td class="side">', '<td id="left">', '<td class="links">', "<td>"]
+MAIN_CELLS = ['<td class="content">', '<td id="main">', '<td valign="top">', '<td class="text">', "<td>"]
 REMARKS = ['<div class="comments">', '<section id="comments">', '<ol class="comment-list">', '<div class="comment">']
 
 
@@ -320,6 +323,15 @@ def lesson(rng: np.random.Generator) -> tuple[list[tuple[tuple, str]], np.ndarra
             body += other(pick(OTHER))
     if rng.random() < 0.15:
         body += other(pick(REMARKS))
+    if rng.random() < 0.12:  # a table layout: links in a cell beside the main text, without markup that says so
+        link = lambda: f'<a href="/x">{words(1, 3)}</a>'
+        between = ["<br>", " | ", "<p>", "</div><div>"][rng.integers(0, 4)]
+        links = between.join(link() for _ in range(rng.integers(2, 9)))
+        cells = [f"{pick(SIDE_CELLS)}<div>{links}</div></td>", f"{pick(MAIN_CELLS)}{body}</td>"]
+        head = f"<tr><td colspan=2>{link()} {link()} {link()}</td></tr>" if rng.random() < 0.3 else ""
+        foot = f"<tr><td colspan=2>&copy; {words(2, 8)}</td></tr>" if rng.random() < 0.5 else ""
+        body = f"<table>{head}<tr>{''.join(cells if rng.random() < 0.8 else cells[::-1])}</tr>{foot}</table>"
+        return _labelled(f"<html><head><title>{words(2, 8)}</title></head><body>{body}</body></html>", mark)
     holder = pick(MAIN) if rng.random() < 0.6 else "<article>"
     parts = [other(pick(OTHER)) for _ in range(rng.integers(0, 5))]
     if rng.random() < 0.6:
@@ -333,6 +345,11 @@ def lesson(rng: np.random.Generator) -> tuple[list[tuple[tuple, str]], np.ndarra
     inner = "".join(parts)
     inner = f'<div id="page" class="wrapper">{inner}</div>' if rng.random() < 0.4 else inner
     page = f"<!DOCTYPE html><html><head><title>{words(2, 8)}</title><style>p{{}}</style></head><body>{inner}</body></html>"
+    return _labelled(page, mark)
+
+
+def _labelled(page: str, mark: str) -> tuple[list[tuple[tuple, str]], np.ndarray]:
+    """Blocks of a page without the mark, and which had it."""
     found = blocks(page)
     return [(p, t.replace(mark, "").strip()) for p, t in found], np.array([mark in t for _, t in found], np.float32)
 

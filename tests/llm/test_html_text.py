@@ -36,3 +36,10 @@ def test_pages_of_the_table(spark):
     for r, got in zip(pages.orderBy("page_id").collect(), H.extract(pages).orderBy("page_id").collect(), strict=True):
         inside = [t for path, t in H.blocks(r.html) if any(e[0] == "article" for e in path)]
         assert got.text == " ".join(inside)
+
+
+def test_menus_of_table_layouts():
+    for side, main in (('<td class="leftnav">', '<td class="content">'), ("<td>", "<td>"), ('<td width="150">', '<td valign="top">')):
+        page = f'<html><head><title>T</title></head><body><table><tr>{side}<a href="/a">Home page</a><br><a href="/b">Our products</a></td>{main}<h1>Head line</h1><p>This is the main text of the page, which goes on for a while.</p><p>And a second one that is long enough, too.</p></td></tr></table></body></html>'
+        found = H.blocks(page)
+        assert [t for (_, t), p in zip(found, H.trained().label([found])[0], strict=True) if p >= 0.5] == ["Head line", "This is the main text of the page, which goes on for a while.", "And a second one that is long enough, too."]

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, give_back, written
+from .tokens import forget
 
 WORDS = 5
 SIMILAR = (75, 100)
@@ -165,6 +166,7 @@ def signatures(rows: DataFrame) -> DataFrame:
     """rid, doc_id, n, d1, d2 (digest of the set), keys, sketch: written to the shared folder."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)

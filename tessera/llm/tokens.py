@@ -116,9 +116,7 @@ class Encoder:
         yield from self._batch(batch)
 
     def release(self) -> None:
-        """Gives the memos back at the end of a partition: the worker lives on, and may serve other operators."""
-        self.memo, self.old = {}, {}
-        self.odd.clear()
+        """At the end of a partition: what the batches took goes back to the system; the memos, of bounded size, stay for the next one."""
         give_back()
 
     def _batch(self, texts: list[str]) -> Iterator[bytes]:
@@ -158,6 +156,13 @@ class Encoder:
                 yield b"".join(map(memo.__getitem__, p))
 
 
+def forget() -> None:
+    """Gives up this process's encoders and their memos: called by tasks of other operators, whose worker may have served this one before."""
+    if _encoders:
+        _encoders.clear()
+        give_back()
+
+
 def encoder(path: str) -> Encoder:
     """The encoder of this process for the vocabulary file."""
     if path not in _encoders:

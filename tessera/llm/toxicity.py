@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import dealt, give_back, text_of, written
+from .tokens import forget
 
 MAX_LABELLED = 20_000
 #: A term is in this many toxic documents of the sample at least, at odds so many times those of clean ones,
@@ -343,6 +344,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         a = LexiconAutomaton(shared.value)
         for batch in batches:
             scores = [a.score(t or "") for t in batch.column(at).to_pylist()]

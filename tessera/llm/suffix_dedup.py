@@ -295,14 +295,15 @@ def _claims(chunk: Chunk, parts: int, got: list) -> tuple[list[tuple], bool]:
     for kind, (names, at, sizes, repeated) in enumerate(_passes(chunk, parts, 5, got)):
         ends = at + sizes
         before = names.before[names.which] if len(at) else np.zeros(0, np.int64)
-        sent = np.flatnonzero(repeated & (before >= 0))
+        # the first place of a name is sent; the others in this chunk are compared with it here
+        first = np.minimum.reduceat(names.order, names.starts)[names.which] if len(at) else np.zeros(0, np.int64)
+        sent = np.flatnonzero(repeated & (before >= 0) & (first == np.arange(len(at))))
         sent = sent[np.lexsort((at[sent], before[sent]))]
         for run in _runs(at[sent], ends[sent], before[sent]):
             k = sent[run]
             a, b = int(at[k[0]]), int(ends[k].max())
             rows.append((int(before[k[0]]), kind, (at[k] - a).tolist(), sizes[k].tolist(), names.names[k].tobytes(), chunk.data[a:b]))
         # within the chunk: each place but the first of a name against the first, as long as both go on together
-        first = np.minimum.reduceat(names.order, names.starts)[names.which] if len(at) else np.zeros(0, np.int64)
         own = np.flatnonzero(first != np.arange(len(at)))
         for run in _runs(at[own], ends[own], at[own] - at[first[own]]):
             k = own[run]

@@ -49,7 +49,7 @@ def test_repeats_agree_with_brute_force(spark, seed, chunk, part):
     texts = corpus(seed)
     ids = [None if i == 3 else 4 if i == 5 else i for i in range(len(texts))]
     df = spark.createDataFrame([(d, t, 1, "x", "y") for d, t in zip(ids, texts, strict=True)], DOCS)
-    got = S.repeats(df, chunk, part).drop("begins", "ends").collect()
+    got = S.repeats(df, chunk, part, confirm=True).drop("begins", "ends").collect()
     want = [(d, *w) for d, w in zip(ids, brute(texts), strict=True)]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 

@@ -157,7 +157,7 @@ def covered_columns(boxes: DataFrame, full: int) -> DataFrame:
 
 def largest_rectangle(bitmap: DataFrame, x: str, y: str, inside: Column) -> DataFrame:
     """left, top, right, bottom (right and bottom excluded), area: the largest rectangle of pixels that are all inside; of equal ones the first
-    from the top, then from the left. No row if none is.
+    from the top, then from the left, then the one that ends higher. No row if none is.
 
     Each row of pixels knows how far every column reaches up; a rectangle's top side is some column's reach, so for each row the
     candidates are (column, its reach) widened to both sides. Rows are groups of the panorama's width, a fixed number.
@@ -191,7 +191,7 @@ def largest_rectangle(bitmap: DataFrame, x: str, y: str, inside: Column) -> Data
         return pd.DataFrame([(-left, -top, right, row + 1, area)], columns=["left", "top", "right", "bottom", "area"])
 
     found = reach.groupBy("y").applyInPandas(best, "left long, top long, right long, bottom long, area long")
-    return found.orderBy(F.col("area").desc(), "top", "left").limit(1)
+    return found.orderBy(F.col("area").desc(), "top", "left", "bottom", "right").limit(1)
 
 
 def levelled(axes: DataFrame) -> tuple[float, float, float] | None:

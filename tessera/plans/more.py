@@ -65,27 +65,27 @@ ar AS (SELECT image, x, y, f, a, v, row_number() OVER (PARTITION BY image, f ORD
 o AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY f, a) AS k FROM ar WHERE r <= 2),
 p AS (SELECT image, any_value(x) AS x, any_value(y) AS y, count(*) AS n, {", ".join(f"max({c}) FILTER (k = {k}) AS {c}{k}" for k in (1, 2, 3, 4) for c in "fav")} FROM o GROUP BY 1),
 d AS (SELECT *, abs(y) < 0.001 AS u, (f2 - f1) * (a3 - a1) - (f3 - f1) * (a2 - a1) AS area FROM p)
-SELECT image, n, round(CASE n WHEN 1 THEN CASE WHEN abs(f1 - x) <= 0.075 * x AND (u OR abs(a1 - y) < 0.3) THEN v1 END
+SELECT i.image, coalesce(n, 0) AS n, value FROM i LEFT JOIN (SELECT image, n, round(CASE n WHEN 1 THEN CASE WHEN abs(f1 - x) <= 0.075 * x AND (u OR abs(a1 - y) < 0.3) THEN v1 END
     WHEN 2 THEN CASE WHEN abs(f1 - f2) < 0.001 THEN CASE WHEN u THEN v1 WHEN a1 - 0.3 <= y AND y <= a2 + 0.3 THEN {_line("y", "a1", "v1", "a2", "v2")} END
         WHEN {_reach("f1", "f2")} AND (u OR abs({_line("x", "f1", "a1", "f2", "a2")} - y) < 0.3) THEN {_line("x", "f1", "v1", "f2", "v2")} END
     WHEN 3 THEN CASE WHEN {_reach("f1", "f3")} THEN CASE WHEN abs(area) < 1e-6 THEN v1 ELSE v1 + ((x - f1) * ((v2 - v1) * (a3 - a1) - (a2 - a1) * (v3 - v1)) + (y - a1) * ((f2 - f1) * (v3 - v1) - (v2 - v1) * (f3 - f1))) / area END END
     WHEN 4 THEN CASE WHEN {_reach("f1", "f3")} THEN CASE WHEN u THEN {_line("x", "f1", "v1", "f3", "v3")}
         WHEN a1 - 0.3 <= y AND y <= a2 + 0.3 AND a3 - 0.3 <= y AND y <= a4 + 0.3 THEN {_line("x", "f1", f"({_line('y', 'a1', 'v1', 'a2', 'v2')})", "f3", f"({_line('y', 'a3', 'v3', 'a4', 'v4')})")} END END END, 4) AS value
-FROM d
+FROM d) USING (image)
 """)
 def lens_vignetting_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vignetting rows of one to four kinds."""
+    """Vignetting rows of none to four kinds."""
     k = F.col("p_partkey")
     t = table(spark, sf_dir, "part").select(F.floor(k / 4).alias("lens"), (F.col("p_size") % 3 + 20.0).alias("focallength"), (k * 7 % 5 * 0.5 + 2.0).alias("aperture"), F.col("p_retailprice").alias("value"), (k % 3 + 1).alias("weight"))
     c = F.col("c_custkey")
     images = table(spark, sf_dir, "customer").select(c.alias("image"), F.floor(c / 3).alias("lens"), (c % 8 * 0.5 + 19.5).alias("x"), F.when(c % 5 == 0, 0.0).otherwise(c % 9 * 0.25 + 2.0).alias("y"))
-    known = t.select("lens").distinct()
-    found = lens.look_up_vignetting(images.join(known, "lens", "left_semi"), "image", "lens", "x", "y", t, ["value"], "weight")
+    found = lens.look_up_vignetting(images, "image", "lens", "x", "y", t, ["value"], "weight")
     means = statistics.weighted_mean(t, "weight", ["value"], "lens", "focallength", "aperture").drop("value")
     # how many rows each image met, from the plain rule: the two nearest of each level
     first = ranking.top(images.join(means.select("lens", "focallength").distinct(), "lens"), 2, ["image"], [F.abs(F.col("focallength") - F.col("x")), F.col("focallength")])
     both = ranking.top(first.join(means, ["lens", "focallength"]), 2, ["image", "focallength"], [F.abs(F.col("aperture") - F.col("y")), F.col("aperture")])
-    return found.join(both.groupBy("image").agg(F.count("*").alias("n")), "image").select("image", "n", F.round("value", 4).alias("value"))
+    met = both.groupBy("image").agg(F.count("*").alias("n"))
+    return images.select("image").join(found, "image", "left").join(met, "image", "left").select("image", F.coalesce("n", F.lit(0)).alias("n"), F.round("value", 4).alias("value"))
 
 
 @query("""
@@ -633,7 +633,7 @@ _BITS = "m AS (SELECT l_partkey % 24 AS x, l_suppkey % 20 AS y, sum(l_linenumber
 @query(f"""
 WITH {_BITS}, c AS (SELECT a.a AS l, b.b + 1 AS r, t.t AS t, u.u + 1 AS b FROM range(24) a(a), range(24) b(b), range(20) t(t), range(20) u(u) WHERE b.b >= a.a AND u.u >= t.t),
 f AS (SELECT l, r, t, b, (r - l) * (b - t) AS area FROM c JOIN m ON ok AND x >= l AND x < r AND y >= t AND y < b GROUP BY ALL HAVING count(*) = (r - l) * (b - t))
-SELECT l AS "left", t AS top, r AS "right", b AS bottom, area FROM f ORDER BY area DESC, t, l LIMIT 1
+SELECT l AS "left", t AS top, r AS "right", b AS bottom, area FROM f ORDER BY area DESC, t, l, b, r LIMIT 1
 """)
 def largest_rectangle(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 24).alias("x"), (F.col("l_suppkey") % 20).alias("y")).agg((F.sum("l_linenumber") % 7 > 0).alias("ok"))
@@ -729,7 +729,11 @@ def exif_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- graphs and plans
 
 
-@query("SELECT true AS connected")
+@query("""
+WITH RECURSIVE e AS (SELECT n_nationkey + 100 AS a, n_regionkey AS b FROM nation UNION ALL SELECT r_regionkey, r_regionkey - 1 FROM region WHERE r_regionkey > 0),
+n AS (SELECT a AS n FROM e UNION SELECT b FROM e), r AS (SELECT min(n) AS n FROM n UNION SELECT CASE WHEN e.a = r.n THEN e.b ELSE e.a END FROM r JOIN e ON e.a = r.n OR e.b = r.n)
+SELECT (SELECT count(*) FROM n) > 0 AND (SELECT count(*) FROM n) = (SELECT count(*) FROM r WHERE n IS NOT NULL) AS connected
+""")
 def is_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations and regions, joined by their keys and all regions in a row, are one component."""
     n = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 100).alias("a"), F.col("n_regionkey").alias("b"))
@@ -791,15 +795,15 @@ def ransac_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT s_suppkey AS cp_id FROM supplier WHERE (s_suppkey % 10) * 10.0 > 20 AND (s_suppkey % 10) * 10.0 < 60 AND s_suppkey % 4 * 10.0 > 5 AND s_suppkey % 4 * 10.0 < 25 AND s_nationkey < 20
+SELECT s_suppkey AS cp_id FROM supplier WHERE (s_suppkey % 10) * 10.0 >= 20 AND (s_suppkey % 10) * 10.0 < 60 AND s_suppkey % 4 * 10.0 > 5 AND s_suppkey % 4 * 10.0 < 25 AND s_nationkey < 20
 """)
 def points_in_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points an end of which is in a mask of its image."""
+    """Points an end of which is in a mask of its image; of a mask's border, the left and upper sides belong to it."""
     k = F.col("s_suppkey")
     points = table(spark, sf_dir, "supplier").select(k.alias("cp_id"), F.col("s_nationkey").alias("img1"), (k % 10 * 10.0).alias("x1"), (k % 4 * 10.0).alias("y1"), F.lit(-1).alias("img2"), F.lit(0.0).alias("x2"), F.lit(0.0).alias("y2"))
     corner = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
     masks = table(spark, sf_dir, "nation").filter("n_nationkey < 20").select(F.col("n_nationkey").alias("img_nr"), F.array(corner(20.0, 5.0), corner(60.0, 5.0), corner(60.0, 25.0), corner(20.0, 25.0)).alias("poly"))
-    return relations.in_masks(points.filter("x1 <> 20 AND x1 <> 60"), masks).select("cp_id")
+    return relations.in_masks(points, masks).select("cp_id")
 
 
 @query("SELECT s_suppkey AS img_nr, s_nationkey % 4 AS kind FROM supplier UNION SELECT s_suppkey, 9 FROM supplier WHERE s_acctbal > 0")

@@ -15,6 +15,7 @@ from __future__ import annotations
 import html as _html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,7 +35,14 @@ PAGES = 128
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg math iframe object".split())
-CLOSES_ITSELF = frozenset("p li dt dd tr td th option".split())
+#: What an opening tag ends where its end tag was left out, and what it doesn't look beyond.
+IMPLIED = {
+    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",)),
+    "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tr": (("tr",), ("table",)),
+    "tbody": (("thead", "tbody"), ("table",)), "tfoot": (("thead", "tbody"), ("table",)),
+}
+#: Blocks times pages whose inputs are held at once; longer pages are read piece by piece.
+CELLS = 1 << 16
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -51,12 +59,43 @@ def _element(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(names)
 
 
-def blocks(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str]]:
-    """(path, text) of the leaf blocks of a page, in order; text with character references decoded and white space joined."""
-    out: list[tuple[tuple, str]] = []
-    stack: list[tuple[str, ...]] = []
+@lru_cache(maxsize=20_000)
+def _buckets_of(names: tuple[str, ...]) -> frozenset[int]:
+    return frozenset(zlib.crc32(n.encode()) % PATH_BUCKETS for n in names)
+
+
+@lru_cache(maxsize=20_000)
+def _joined(outer: frozenset[int], own: frozenset[int]) -> frozenset[int]:
+    """One set for all elements that stand alike, instead of one each."""
+    return outer if own <= outer else outer | own
+
+
+class Path:
+    """An open element and, through its parent, those around it; a page's paths share their nodes. Iterates from the outermost element. ``buckets``
+    are the hashed names of all of them, the parent's own set where the element adds none, so that depth takes no room."""
+
+    __slots__ = ("element", "parent", "buckets")
+
+    def __init__(self, element: tuple[str, ...], parent: Path | None):
+        self.element, self.parent = element, parent
+        self.buckets = _joined(parent.buckets if parent else frozenset(), _buckets_of(element))
+
+    def __iter__(self) -> Iterator[tuple[str, ...]]:
+        found, node = [], self
+        while node is not None:
+            found.append(node.element)
+            node = node.parent
+        return reversed(found)
+
+
+def blocks(page: str) -> list[tuple[Path | tuple, str]]:
+    """(path, text) of the leaf blocks of a page, in order; text with character references decoded and white space joined. Time and room are in
+    proportion to the page, whatever it leaves open or closes for nothing."""
+    out: list[tuple[Path | tuple, str]] = []
+    stack: list[Path] = []
+    opened: Counter[str] = Counter()
     held: list[str] = []
-    path: tuple | None = None
+    path: Path | tuple | None = None
     at, size = 0, len(page)
 
     def end() -> None:
@@ -72,9 +111,21 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str]]:
         nonlocal path
         if text and (held or not text.isspace()):
             if path is None:
-                path = tuple(stack)
+                path = stack[-1] if stack else ()
             held.append(text)
 
+    def close(tags: tuple[str, ...], within: tuple[str, ...] = ()) -> None:
+        """Ends the nearest open element of tags, and what is open in it, unless one of within comes first."""
+        if any(opened[t] for t in tags):
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i].element[0] in tags:
+                    for node in stack[i:]:
+                        opened[node.element[0]] -= 1
+                    del stack[i:]
+                    return
+                if stack[i].element[0] in within:
+                    return
+
     while at < size:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -88,29 +139,33 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str]]:
         tag, closing = tag.lower(), bool(m[1] or m[4])
         if tag in INLINE:
             if tag == "a" and not closing and not held:
-                path = (*stack, _element(tag, ""))  # a block that begins with a link
+                path = Path(_element(tag, ""), stack[-1] if stack else None)  # a block that begins with a link
             continue
         end()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            close((tag,))
         elif tag in RAW:
-            close = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else size
+            ending = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at)
+            at = ending.end() if ending else size
         elif tag not in VOID:
-            if tag in CLOSES_ITSELF and stack and stack[-1][0] == tag:
-                stack.pop()
-            stack.append(_element(tag, m[3] or m[6] or ""))
+            if tag == "p" and stack and stack[-1].element[0] == "p":
+                close(("p",))
+            elif tag in IMPLIED:
+                close(*IMPLIED[tag])
+            stack.append(Path(_element(tag, m[3] or m[6] or ""), stack[-1] if stack else None))
+            opened[tag] += 1
     end()
     return out
 
 
-@lru_cache(maxsize=50_000)
-def _path_buckets(path: tuple[tuple[str, ...], ...]) -> np.ndarray:
-    names = {n for element in path for n in element} | ({"leaf:" + path[-1][0]} if path else {"leaf:"})
-    return np.array(sorted({zlib.crc32(n.encode()) % PATH_BUCKETS for n in names}), dtype=np.int64)
+def _key(path: Path | tuple) -> tuple[frozenset[int], str]:
+    """What the labeller reads of a path: all its names, and the innermost tag."""
+    return (path.buckets, path.element[0]) if isinstance(path, Path) else (frozenset(), "")
+
+
+def _path_buckets(path: Path | tuple) -> np.ndarray:
+    buckets, leaf = _key(path)
+    return np.array(sorted(buckets | {zlib.crc32(f"leaf:{leaf}".encode()) % PATH_BUCKETS}), dtype=np.int64)
 
 
 _word_bucket: dict[str, int] = {}
@@ -149,21 +204,24 @@ class Labeller:
 
     def inputs(self, page: list[tuple[tuple, str]]) -> np.ndarray:
         """Projected inputs of both directions, a row for each block."""
-        if len(self._paths) > 50_000:
+        if len(self._paths) > 10_000:
             self._paths.clear()
         weights = np.concatenate([self.p["xf"], self.p["xb"]], axis=1) if not hasattr(self, "_w") else self._w
         self._w = weights
         rows = []
         for path, _ in page:
-            if path not in self._paths:
-                self._paths[path] = weights[_path_buckets(path)].sum(axis=0)
-            rows.append(self._paths[path])
+            key = _key(path)
+            if key not in self._paths:
+                self._paths[key] = weights[_path_buckets(path)].sum(axis=0)
+            rows.append(self._paths[key])
         return np.stack(rows) + np.stack([_word_counts(t) for _, t in page]) @ weights[PATH_BUCKETS:]
 
-    def run(self, z: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """Hidden states (time, batch, hidden) for projected inputs (time, batch, 4 hidden)."""
+    def run(self, z: np.ndarray, d: str, keep: list | None = None, carry: list | None = None) -> np.ndarray:
+        """Hidden states (time, batch, hidden) for projected inputs (time, batch, 4 hidden). carry: state and cell to begin with, if any, and then those at the end."""
         h, u = HIDDEN, self.p["u" + d]
         state = cell = np.zeros((z.shape[1], h), np.float32)
+        if carry:
+            state, cell = carry
         out = np.empty((*z.shape[:2], h), np.float32)
         z = z + self.p["b" + d]
         for t in range(len(z)):
@@ -177,8 +235,29 @@ class Labeller:
             out[t] = state
             if keep is not None:
                 keep.append((gates, g, before, th, old))
+        if carry is not None:
+            carry[:] = state, cell
         return out
 
+    def _in_pieces(self, pages: list[list], sizes: np.ndarray) -> np.ndarray:
+        """p(main text) (time, page) for pages whose inputs are too many to be held: each direction goes through them piece by piece, and only what it adds to
+        a block's score is kept."""
+        score = np.full((sizes.max(), len(pages)), self.p["c"][0], np.float32)
+        step, h = max(1, CELLS // len(pages)), HIDDEN
+        for d, half, share in (("f", slice(0, 4 * h), self.p["o"][:h]), ("b", slice(4 * h, 8 * h), self.p["o"][h:])):
+            carry: list = []
+            for at in range(0, len(score), step):
+                z = np.zeros((min(step, len(score) - at), len(pages), 4 * h), np.float32)
+                spans = [(at, min(at + step, n)) if d == "f" else (max(0, n - at - step), n - at) for n in sizes]
+                for k, (a, b) in enumerate(spans):
+                    if a < b:
+                        z[: b - a, k] = self.inputs(pages[k][a:b])[:: 1 if d == "f" else -1, half]
+                out = (self.run(z, d, carry=carry) @ share)[:, :, 0]
+                for k, (a, b) in enumerate(spans):
+                    if a < b:
+                        score[a:b, k] += out[: b - a, k][:: 1 if d == "f" else -1]
+        return _sigmoid(score)
+
     def _reversed(self, z: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Each sequence back to front, in place of itself."""
         out = z.copy()
@@ -199,12 +278,15 @@ class Labeller:
                 end += 1
             some = full[at:end]
             sizes = np.array([len(pages[i]) for i in some])
-            z = np.zeros((sizes.max(), len(some), 8 * HIDDEN), np.float32)
-            for k, i in enumerate(some):
-                z[: sizes[k], k] = self.inputs(pages[i])
-            f = self.run(z[:, :, : 4 * HIDDEN], "f")
-            b = self._reversed(self.run(self._reversed(z[:, :, 4 * HIDDEN :], sizes), "b"), sizes)
-            p = _sigmoid(np.concatenate([f, b], axis=2) @ self.p["o"] + self.p["c"])[:, :, 0]
+            if sizes.max() * len(some) > CELLS:
+                p = self._in_pieces([pages[i] for i in some], sizes)
+            else:
+                z = np.zeros((sizes.max(), len(some), 8 * HIDDEN), np.float32)
+                for k, i in enumerate(some):
+                    z[: sizes[k], k] = self.inputs(pages[i])
+                f = self.run(z[:, :, : 4 * HIDDEN], "f")
+                b = self._reversed(self.run(self._reversed(z[:, :, 4 * HIDDEN :], sizes), "b"), sizes)
+                p = _sigmoid(np.concatenate([f, b], axis=2) @ self.p["o"] + self.p["c"])[:, :, 0]
             for k, i in enumerate(some):
                 out[i] = p[: sizes[k], k]
             at = end
@@ -366,7 +448,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text (its main text; empty if there is none) and n_chars (code points).
 
     Null html is empty; a null page_id or url stays null; repeated rows are each extracted; an empty table gives
-    no rows; other columns are ignored. A very long page is read whole, its blocks labelled as one sequence.
+    no rows; other columns are ignored. A very long page is read whole, its blocks labelled as one sequence, piece by piece.
     """
     shared = pages.sparkSession.sparkContext.broadcast(trained().p)  # about 0.8 MB
 

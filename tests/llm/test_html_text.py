@@ -1,3 +1,6 @@
+import time
+import tracemalloc
+
 import numpy as np
 
 from tessera.llm import html_text as H
@@ -43,3 +46,32 @@ def test_menus_of_table_layouts():
         page = f'<html><head><title>T</title></head><body><table><tr>{side}<a href="/a">Home page</a><br><a href="/b">Our products</a></td>{main}<h1>Head line</h1><p>This is the main text of the page, which goes on for a while.</p><p>And a second one that is long enough, too.</p></td></tr></table></body></html>'
         found = H.blocks(page)
         assert [t for (_, t), p in zip(found, H.trained().label([found])[0], strict=True) if p >= 0.5] == ["Head line", "This is the main text of the page, which goes on for a while.", "And a second one that is long enough, too."]
+
+
+def test_end_tags_left_out():
+    page = "<table><tr><td class=menu>a<td>b<tr><td>c<table><tr><td>d</table><td>e</table><ul><li>f<div>g<li>h</ul><dl><dt>i<dd>j<dt>k</dl><select><option>l<option>m</select>n</b></i></nav>o"
+    paths = {t: [e[0] for e in path] for path, t in H.blocks(page)}
+    assert paths["b"] == ["table", "tr", "td"] == paths["c"] == paths["e"] and paths["d"] == ["table", "tr", "td"] * 2
+    assert paths["h"] == ["ul", "li"] and paths["j"] == ["dl", "dd"] and paths["k"] == ["dl", "dt"] and paths["m"] == ["select", "option"] and paths["n"] == paths["o"] == []
+
+
+def test_long_pages_take_room_in_proportion():
+    """Rows without end tags, elements that are never closed, and closing tags for nothing."""
+    H.trained()
+    for unit in ("<tr><td>a<td>bb", "<div>a<section>bb", "<div class=x>a</section>"):
+        page = "<html><body><table>" + unit * (5_000_000 // len(unit))
+        begun = time.monotonic()
+        tracemalloc.start()
+        found = H.blocks(page)
+        used = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(found) >= 200_000 and used < 200_000_000 and time.monotonic() - begun < 120
+
+
+def test_pieces_of_long_pages_give_the_same_labels(monkeypatch):
+    rng = np.random.default_rng(5)
+    pages = [H.lesson(rng)[0] * 3 for _ in range(20)] + [[]]
+    whole = H.trained().label(pages)
+    monkeypatch.setattr(H, "CELLS", 40)
+    for a, b in zip(whole, H.trained().label(pages), strict=True):
+        assert len(a) == len(b) and np.allclose(a, b, atol=1e-4)

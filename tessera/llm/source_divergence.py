@@ -31,7 +31,7 @@ SMOOTH = 5
 UNIT = 1_000_000_000
 RANKS = 50
 HEAVY = 8
-TILE_GROUPS, TILE_TERMS = 64, 4096
+TILE_GROUPS, TILE_TERMS = 64, 512
 #: Entries of a task's counters before they are sent on.
 ENTRIES = 200_000
 PIECE = 1 << 20

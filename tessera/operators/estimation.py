@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Draws that are solved at once.
-DRAWS = 50
+from ..session import cut
+from .consensus import Homography, Line, consensus, near
+from .statistics import line_fit
 
 
 def solve_homography(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
@@ -22,48 +23,12 @@ def solve_homography(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
     return np.append(x, 1.0).reshape(3, 3) if rank == 8 else None
 
 
-def _solve_all(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """solve_homography for many draws (draw, point, 2) at once; only the draws that determine one."""
-    k, n = a.shape[:2]
-    m = np.zeros((k, 2 * n, 8))
-    m[:, 0::2, 0:2], m[:, 0::2, 2] = a, 1
-    m[:, 1::2, 3:5], m[:, 1::2, 5] = a, 1
-    m[:, 0::2, 6:8], m[:, 1::2, 6:8] = -a * b[..., :1], -a * b[..., 1:]
-    u, s, v = np.linalg.svd(m, full_matrices=False)
-    full = s[:, -1] > s[:, 0] * np.finfo(float).eps * max(m.shape[1:])
-    u, s, v, b = u[full], s[full], v[full], b[full]
-    x = (v.transpose(0, 2, 1) @ ((u.transpose(0, 2, 1) @ b.reshape(-1, 2 * n, 1)) / s[..., None]))[..., 0]
-    return np.concatenate([x, np.ones((len(x), 1))], axis=1).reshape(-1, 3, 3)
-
-
-def _inliers(h: np.ndarray, a: np.ndarray, b: np.ndarray, distance: float) -> np.ndarray:
-    p = np.column_stack([a, np.ones(len(a))]) @ h.T
-    with np.errstate(divide="ignore", invalid="ignore"):
-        q = p[:, :2] / p[:, 2:]
-        return ((q - b) ** 2).sum(axis=1) < distance * distance
-
-
 def ransac(matches: DataFrame, keys: list[str], rounds: int = 1000, distance: float = 50.0, sample: int = 5, least: int = 6, seed: int = 1) -> DataFrame:
     """Matches (keys, id, x1, y1, x2, y2) that fit their group's best homography; groups with under ``least`` matches, or
-    more than half of them outliers, are dropped. Draws are seeded, so results repeat."""
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id")
-        a, b = group[["x1", "y1"]].to_numpy(float), group[["x2", "y2"]].to_numpy(float)
-        if len(a) < max(least, sample):
-            return group.iloc[:0]
-        rng, best = np.random.default_rng(seed), np.zeros(len(a), bool)
-        for at in range(0, rounds, DRAWS):
-            some = np.array([rng.choice(len(a), sample, replace=False) for _ in range(min(DRAWS, rounds - at))])
-            for h in _solve_all(a[some], b[some]):
-                ok = _inliers(h, a, b, distance)
-                if ok.sum() > best.sum():
-                    best = ok
-            if best.all():
-                break
-        return group[best] if 2 * best.sum() >= len(a) and best.sum() >= least else group.iloc[:0]
-
-    return matches.groupBy(*keys).applyInPandas(fit, matches.schema)
+    more than half of them outliers, are dropped. Draws follow from the ids and the seed, so results repeat."""
+    model = Homography(sample)
+    found = consensus(matches, keys, "id", model, distance, rounds, seed)
+    return near(matches, keys, found.filter((2 * F.col("inliers") >= F.col("n")) & (F.col("inliers") >= least)), model, distance)
 
 
 def tries_needed(sure: float, outliers: float, sample: int) -> int:
@@ -73,30 +38,15 @@ def tries_needed(sure: float, outliers: float, sample: int) -> int:
 
 
 def ransac_line(points: DataFrame, keys: list[str], distance: float, sure: float = 0.999, outliers: float = 0.3, seed: int = 1) -> DataFrame:
-    """keys, slope, offset, n, inliers: the line through two drawn points (x, y; no pair twice) that most points are near, then by least squares over
-    those. Groups of under two points, or without a line that isn't vertical, have none. The general draw-and-fit scheme with the
-    smallest model; :func:`ransac` is the one for homographies."""
-
-    def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        xy = group.sort_values(["x", "y"])[["x", "y"]].to_numpy(float)
-        n, best = len(xy), np.zeros(len(group), bool)
-        if n >= 2:
-            rng, seen = np.random.default_rng(seed), set()
-            for _ in range(tries_needed(sure, outliers, 2)):
-                i, j = sorted(rng.choice(n, 2, replace=False).tolist())
-                if (i, j) in seen or xy[i, 0] == xy[j, 0]:
-                    continue
-                seen.add((i, j))
-                slope = (xy[j, 1] - xy[i, 1]) / (xy[j, 0] - xy[i, 0])
-                ok = np.abs(xy[:, 1] - xy[i, 1] - slope * (xy[:, 0] - xy[i, 0])) < distance
-                best = ok if ok.sum() > best.sum() else best
-        if best.sum() < 2:
-            return pd.DataFrame([], columns=[*keys, "slope", "offset", "n", "inliers"])
-        slope, offset = np.polyfit(xy[best, 0], xy[best, 1], 1)
-        return pd.DataFrame([(*key, slope, offset, n, int(best.sum()))], columns=[*keys, "slope", "offset", "n", "inliers"])
-
-    kinds = dict(points.dtypes)
-    return points.groupBy(*keys).applyInPandas(fit, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", slope double, offset double, n long, inliers long")
+    """keys, slope, offset, n, inliers: the line through two drawn points (x, y) that most points are near, then by least squares over
+    those. Groups of under two points, or without a line that isn't vertical, have none."""
+    model = Line()
+    # equal points are told apart by their number among them, so that draws don't depend on how rows came
+    twin = F.row_number().over(Window.partitionBy(*keys, "x", "y").orderBy(F.lit(0)))
+    numbered = cut(points.withColumn("_id", F.struct("x", "y", twin.alias("k"))))
+    found = cut(consensus(numbered, keys, "_id", model, distance, tries_needed(sure, outliers, 2), seed))
+    fit = line_fit(near(points, keys, found, model, distance), "x", "y", *keys)
+    return fit.join(found.select(*keys, "n", "inliers"), keys).filter("inliers >= 2").select(*keys, "slope", "offset", "n", "inliers")
 
 
 def greedy_stacks(overlaps: DataFrame, images: DataFrame, key: str = "project_id", threshold: float = 0.7) -> DataFrame:
@@ -147,8 +97,6 @@ def deghost(pixels: DataFrame, sigma: float = 30.0, rounds: int = 4) -> DataFram
     Start 1 - t^16 with t = v/127.5 - 1; each round multiplies by the mean of a Gaussian of differences over the
     eight neighbours of all images, weighted by last round's weights; the centre pixel itself is left out.
     """
-    from ..session import cut
-
     t = F.col("v") / 127.5 - 1
     now = pixels.select("img", "x", "y", "v", (1 - F.pow(t, F.lit(16))).alias("w"))
     steps = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]

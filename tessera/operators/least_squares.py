@@ -26,6 +26,8 @@ START_DAMPING = 1e-3
 MOST_DAMPING = 1e12
 #: A group is done once a step lowers its cost by less than this share, or its steps are shorter than this share of its values.
 SETTLED, SHORT = 1e-10, 1e-9
+#: Or once its mean square is below this.
+TINY = 1e-18
 ROWS = 4096
 
 
@@ -164,8 +166,7 @@ def _step(state: dict, sums: pd.DataFrame, rounds: int) -> dict:
     else:
         s["damping"] *= s["factor"]
         s["factor"] *= 2
-    if m == 0 or cost == 0 and not s["done"] and first:
-        s["done"] = True
+    s["done"] = bool(s["done"] or m == 0 or s["cost"] <= TINY * s["n"])
     if not s["done"]:
         best, gradient = np.array(s["best"]), np.array(s["gradient"])
         step = _solve(np.array(s["normal"]).reshape(m, m), gradient, s["damping"])

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import forest
+
 
 def banded_pairs(images: DataFrame, key: str, width: int) -> DataFrame:
     """a, b with a < b <= a + width. Each image looks for its successors by an equality join, not by comparing all."""
@@ -60,6 +62,14 @@ def two_nearest(queries: DataFrame, targets: DataFrame, block: int = 4096) -> Da
     return ranked.groupBy("q").agg(at(1, "t").alias("t"), at(1, "d").alias("d1"), at(2, "d").alias("d2"))
 
 
+def two_nearest_indexed(queries: DataFrame, targets: DataFrame, exact: bool = False, **options: int) -> DataFrame:
+    """As :func:`two_nearest`, through a k-d forest: a query meets the leaves that it opens, not all blocks. Without ``exact`` some of the two may be missed
+    (options and recall: see :mod:`forest`); a query that finds one target has no d2."""
+    near = forest.nearest(queries, targets, 2, exact=exact, **options)
+    at = lambda k, c: F.max(F.when(F.col("rank") == k, F.col(c)))
+    return near.groupBy("q").agg(at(1, "t").alias("t"), at(1, "d").alias("d1"), at(2, "d").alias("d2"))
+
+
 def _vectors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     ids = np.asarray(table.column("id").combine_chunks(), dtype=np.int64)
     flat = np.asarray(table.column("v").combine_chunks().flatten(), dtype=np.float64)

@@ -426,6 +426,19 @@ def match_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.exclusive(matching.ratio_test(near, 0.95)).select("q", "t", F.round("d1", 6).alias("d1"))
 
 
+@query(f"""
+WITH {_EMBEDDED}, d AS (SELECT a.id AS q, b.id AS t, list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM e a, e b WHERE a.id % 2 = 0 AND b.id % 2 = 1),
+r AS (SELECT q, t, d, row_number() OVER (PARTITION BY q ORDER BY d, t) AS n FROM d),
+m AS (SELECT q, max(t) FILTER (n = 1) AS t, max(d) FILTER (n = 1) AS d1, max(d) FILTER (n = 2) AS d2 FROM r WHERE n <= 2 GROUP BY q), k AS (SELECT * FROM m WHERE d1 <= 0.95 * d2)
+SELECT q, t, round(d1, 6) AS d1 FROM k WHERE t IN (SELECT t FROM k GROUP BY t HAVING count(*) = 1)
+""")
+def match_descriptors_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the k-d forest, opening every cell within reach."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    near = matching.two_nearest_indexed(e.filter("id % 2 = 0"), e.filter("id % 2 = 1"), exact=True, leaf=64)
+    return matching.exclusive(matching.ratio_test(near, 0.95)).select("q", "t", F.round("d1", 6).alias("d1"))
+
+
 @query(f"""
 WITH {_EMBEDDED}, z AS (SELECT e.id, list_zip(e.v, o.v) AS p FROM e, (SELECT v FROM e WHERE id = 0) o)
 SELECT id, round(list_sum([(x[1] - x[2]) * (x[1] - x[2]) FOR x IN p]), 6) AS l2, round(list_sum([abs(x[1] - x[2]) FOR x IN p]), 6) AS l1, round(list_max([abs(x[1] - x[2]) FOR x IN p]), 6) AS max,

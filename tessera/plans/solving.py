@@ -3,11 +3,11 @@ parameters, which the fit doesn't see and the SQL states; pixels and points are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import forest, geometric, kmeans_tree, least_squares, photometric, raster, seams
+from ..operators import forest, geometric, kmeans_tree, least_squares, lines, photometric, raster, seams
 from .queries import query, table
 
 # ---- photometric fits
@@ -310,3 +310,33 @@ def pyramid_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two reductions of two images."""
     return raster.pyramid(_raster(spark, sf_dir), 2).select("img", "level", "x", "y", F.round("v", 6).alias("v"))
 
+
+
+# ---- lines
+
+
+_PATHS = "p AS (SELECT CAST(c_nationkey AS INTEGER) AS img, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS x FROM customer)"
+
+
+@query(f"WITH {_PATHS} SELECT img, x, x // 2 AS y, x AS place FROM p WHERE img IN (SELECT img FROM p GROUP BY img HAVING count(*) >= 5)")
+def traced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of a rising line for each nation, a pixel a customer, put in order from their neighbourhood alone."""
+    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
+    pixels = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("int").alias("img"), place.cast("long").alias("x")).withColumn("y", F.floor(F.col("x") / 2))
+    return lines.lines(pixels, 5).select("img", "x", "y", "place")
+
+
+_GRAY = "p AS (SELECT 0 AS img, l_partkey % 40 AS x, l_suppkey % 30 AS y, CAST(sum(l_quantity) AS BIGINT) AS v FROM lineitem GROUP BY 2, 3)"
+
+
+def _sobel_sql() -> str:
+    weigh = lambda turn: "sum(b.v * CASE " + " ".join(f"WHEN b.x - a.x = {y if turn else x} AND b.y - a.y = {x if turn else y} THEN {w}" for (x, y), w in lines.SOBEL.items()) + " ELSE 0 END)"
+    return f"SELECT a.img, a.x, a.y, CAST({weigh(False)} AS BIGINT) AS gx, CAST({weigh(True)} AS BIGINT) AS gy FROM p a JOIN p b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND NOT (a.x = b.x AND a.y = b.y) GROUP BY 1, 2, 3 HAVING count(*) = 8"
+
+
+@query(f"WITH {_GRAY}, g AS ({_sobel_sql()}) SELECT img, x, y, gx, gy, round(sqrt(gx * gx + gy * gy), 6) AS size FROM g")
+def edge_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derivatives of a picture over each pixel's eight neighbours."""
+    t = table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 40).alias("x"), (F.col("l_suppkey") % 30).alias("y")).agg(F.sum("l_quantity").cast("long").alias("v"))
+    found = lines.gradients(t.select(F.lit(0).alias("img"), "x", "y", "v"))
+    return found.select("img", "x", "y", "gx", "gy", F.round("size", 6).alias("size"))

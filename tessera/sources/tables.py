@@ -44,11 +44,11 @@ def write_lens_table(rows: DataFrame, path: str) -> None:
 
 
 def write_lens_tables(tables: dict[str, DataFrame], path: str) -> None:
-    """Lens tables (names of ``LENS``) as Parquet below path, each in a folder, with the version of the whole."""
+    """Lens tables (names of ``LENS``) as Parquet below path, each in a folder and exchanged whole (tables may read what they replace), with the version of the whole."""
     spark = next(iter(tables.values())).sparkSession
     for name, rows in tables.items():
-        rows.write.mode("overwrite").parquet(f"{path}/{name}")
-    spark.range(1).select(F.lit(LENS_VERSION).alias("version")).write.mode("overwrite").parquet(f"{path}/version")
+        replace_table(rows, f"{path}/{name}")
+    replace_table(spark.range(1).select(F.lit(LENS_VERSION).alias("version")), f"{path}/version")
 
 
 def open_lens_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -73,6 +73,7 @@ def replace_table(rows: DataFrame, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = {k: jvm.org.apache.hadoop.fs.Path(v) for k, v in (("at", path), ("new", new), ("old", old))}
     fs = p["at"].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p["at"].getParent())
     if fs.exists(p["at"]) and not fs.rename(p["at"], p["old"]):
         raise OSError(f"can't move {path}")
     if not fs.rename(p["new"], p["at"]):

@@ -222,12 +222,10 @@ def ring_images(spark, rows, start=True, v=90.0):
 
 def test_place_and_fit_recover_planted_angles(spark):
     rows, points = ring(np.random.default_rng(7))
-    df, images = spark.createDataFrame(points, POINTS), ring_images(spark, rows)
-    placed = {r.img: r for r in geometric.place_by_pairs(df, images).collect()}
+    df = spark.createDataFrame(points, POINTS)
     fitted, fits = geometric.fit_all(df, ring_images(spark, rows, v=86.0), view=True)
     fitted = {r.img: r for r in fitted.collect()}
     for i, (y, p, r) in enumerate(rows):
-        assert abs((placed[i].y - y + 180) % 360 - 180) < 1e-4 and abs(placed[i].p - p) < 1e-4 and abs(placed[i].r - r) < 1e-4
         assert abs((fitted[i].y - y + 180) % 360 - 180) < 1e-3 and abs(fitted[i].p - p) < 1e-3 and abs(fitted[i].v - 90) < 1e-3
     assert fits.first().error < 1e-4
 

@@ -33,7 +33,7 @@ RANKS = 50
 HEAVY = 8
 TILE_GROUPS, TILE_TERMS = 64, 512
 #: Entries of a task's counters before they are sent on.
-ENTRIES = 500_000
+ENTRIES = 200_000
 PIECE = 1 << 20
 
 _LETTERS = bytes(b | 0x20 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))

@@ -105,6 +105,20 @@ def apply_template(images: DataFrame, template: DataFrame, own: list[str]) -> Da
     return images.select("img_nr", *own).join(template.drop(*own), "img_nr").select(*(c for c in images.columns))
 
 
+def translated(images: DataFrame, by: dict[str, float], links: DataFrame | None = None) -> DataFrame:
+    """images (img_nr) with columns moved by what ``by`` adds to each. links: img_nr, name, anchor: a linked column takes the moved value of its anchor, so that
+    it isn't moved by each image that shares it."""
+    for name, step in by.items():
+        if links is None:
+            images = images.withColumn(name, F.col(name) + step)
+            continue
+        tied = links.filter(F.col("name") == name).select("img_nr", F.col("anchor").alias("_a"))
+        first = images.select(F.col("img_nr").alias("_a"), F.col(name).alias("_v"))
+        both = images.join(tied, "img_nr", "left").join(first, "_a", "left")
+        images = both.withColumn(name, F.coalesce("_v", F.col(name)) + step).select(*images.columns)
+    return images
+
+
 def move_masks(masks: DataFrame, scale: float = 1.0, turn: int = 0, width: Column | None = None, height: Column | None = None) -> DataFrame:
     """masks with corners scaled, then turned by whole right angles within an image of the (scaled) size."""
 

@@ -813,3 +813,14 @@ def masks_added(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = s.select(F.col("s_suppkey").alias("img_nr"), (F.col("s_nationkey") % 4).alias("kind"))
     new = old.filter("img_nr % 2 = 0").union(s.filter("s_acctbal > 0").select("s_suppkey", F.lit(9)))
     return relations.add_missing_masks(old, new, ["img_nr", "kind"])
+
+
+@query("""
+WITH i AS (SELECT s_suppkey AS img_nr, s_acctbal AS "TrX", s_nationkey * 1.0 AS "TrY" FROM supplier)
+SELECT i.img_nr, round(coalesce(a."TrX", i."TrX") + 2.5, 4) AS "TrX", i."TrY" - 1.0 AS "TrY" FROM i LEFT JOIN i a ON i.img_nr % 7 > 0 AND a.img_nr = i.img_nr - i.img_nr % 7
+""")
+def translated_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A project's images moved in two directions; groups of seven share the first one's place along x."""
+    images = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("img_nr"), F.col("s_acctbal").alias("TrX"), (F.col("s_nationkey") * 1.0).alias("TrY"))
+    links = images.filter("img_nr % 7 > 0").select("img_nr", F.lit("TrX").alias("name"), (F.col("img_nr") - F.col("img_nr") % 7).alias("anchor"))
+    return edits.translated(images, {"TrX": 2.5, "TrY": -1.0}, links).select("img_nr", F.round("TrX", 4).alias("TrX"), F.col("TrY").cast("double").alias("TrY"))

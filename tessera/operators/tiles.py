@@ -1,6 +1,7 @@
 """Pixel tables by square tiles: what a task holds is one tile, with its surroundings or with the rows that ask for it.
 
-Pixels: img, x, y, v. Pixels that aren't there, or are null, count as zero; rows without img, x or y are left out.
+Pixels: img, x, y, v. Pixels that aren't there, or are null, count as zero; rows without img, x or y are left out, and a place
+that is there more than once has one of its values.
 """
 
 from __future__ import annotations

@@ -1,11 +1,15 @@
-"""Registered queries of keypoints, corners and correlation: pictures are the tables' own rows counted by place, one a band of orders."""
+"""Registered queries of keypoints, corners, correlation and files' heads: pictures are the tables' own rows counted by place, one a band of orders."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import correlation, keypoints
+from ..sources import exif
 from .queries import query, table
 
 WIDE, HIGH = 96, 80
@@ -95,3 +99,28 @@ def correlated_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def picture_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten strongest corners of each cell of the pictures."""
     return correlation.corners(_pictures(spark, sf_dir), 32, 2.0, 10).select("img", "cx", "cy", "x", "y", F.round("response", 6).alias("response"), "rank")
+
+
+def _shots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t in batches:
+        heads = []
+        for key, brand, size in zip(*(t.column(c).to_pylist() for c in ("p_partkey", "p_brand", "p_size")), strict=True):
+            tags = {"make": brand, "orientation": (1, 3, 6, 8)[key % 4], "focal_length": float(size), "focal_length_35": 2 * size if key % 3 else None, "f_number": 1 + size / 10}
+            tags |= {"iso": 100.0 * (key % 8) if key % 5 else None, "shutter_speed": float(key % 6), "pixels_x": 400 if key % 7 else 300, "pixels_y": 300 if key % 7 else 400, "per_unit_x": 200.0, "per_unit_y": 200.0, "unit": 3}
+            heads.append(exif.encoded(tags, "<" if key % 2 else ">", (400, 300) if key % 11 else (400, 200)))
+        yield pa.RecordBatch.from_arrays([t.column("p_partkey"), pa.array(heads, pa.binary())], ["id", "head"])
+
+
+@query("""
+WITH p AS (SELECT *, p_partkey % 4 AS o, CASE WHEN p_partkey % 3 <> 0 THEN 2.0 * p_size END AS full_, CASE WHEN p_partkey % 11 <> 0 THEN 300 ELSE 200 END AS h FROM part)
+SELECT p_partkey AS id, p_brand AS make, round(pow(2, -(p_partkey % 6)), 9) AS exposure_s, round(1 + p_size / 10.0, 6) AS aperture_f, CASE WHEN p_partkey % 5 <> 0 THEN 100.0 * (p_partkey % 8) ELSE 0 END::DOUBLE AS speed,
+    CASE WHEN abs(CASE WHEN p_partkey % 7 <> 0 THEN 4 / 3 ELSE 3 / 4 END - 400 / h) > 0.1 THEN 0 ELSE CASE o WHEN 1 THEN 180 WHEN 2 THEN 90 WHEN 3 THEN 270 ELSE 0 END END AS roll,
+    p_size::DOUBLE AS focal_mm, coalesce(full_, 0)::DOUBLE AS focal_35_mm, round(CASE WHEN full_ > 0 THEN full_ / p_size ELSE sqrt(36 * 36 + 24 * 24) / sqrt(400 * 400 + 300 * 300) * 20 END, 6) AS crop, CASE WHEN h = 200 THEN 'equirectangular' END AS projection
+FROM p
+""")
+def exif_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part as the head of a JPEG file, read back, and what an image takes from it."""
+    id_type = dict(table(spark, sf_dir, "part").dtypes)["p_partkey"]
+    heads = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size").mapInArrow(_shots, f"id {id_type}, head binary")
+    found = exif.camera(exif.parsed(heads, "head"))
+    return found.select("id", "make", F.round("exposure_s", 9).alias("exposure_s"), F.round("aperture_f", 6).alias("aperture_f"), "speed", "roll", "focal_mm", "focal_35_mm", F.round("crop", 6).alias("crop"), "projection")

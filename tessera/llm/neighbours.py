@@ -107,7 +107,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, block_rows: int = B
     size = rows.agg(F.count("*").alias("n"), F.max(F.sqrt(norm2)).alias("radius"), F.max(F.size("v")).alias("dims")).first()
     n, radius, dims = size.n, size.radius or 0.0, size.dims or 0
     blocks = max(1, -(-n // block_rows))
-    numbered = rows.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int"))
+    numbered = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
 
     def gathered(table: pa.Table) -> pa.Table:
         number = table.column("block")[0].as_py()
@@ -119,7 +119,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, block_rows: int = B
     index = numbered.groupBy("block").applyInArrow(gathered, kind)
     asked = rows.filter(F.pmod("id", F.lit(every)) == 0)
     parts = max(1, -(-asked.count() // QUERY_ROWS))
-    asked = asked.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")).groupBy("block").applyInArrow(gathered, kind)
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")).groupBy("block").applyInArrow(gathered, kind)
     asked = asked.select(F.col("ids").alias("query_ids"), F.col("places").alias("query_places"), F.col("data").alias("query_data"), F.col("block").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

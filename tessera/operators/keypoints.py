@@ -199,6 +199,11 @@ def _lists(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * k, k), pa.int32()), pa.array(values.ravel(), pa.float64()))
 
 
+def _carrying(points: DataFrame, needed: list[str]) -> DataFrame:
+    """The needed columns, and all of them as ``own``, so that no row has to be joined with its result."""
+    return points.select(*needed, F.struct(*(F.col(f"`{c}`") for c in points.columns)).alias("own"))
+
+
 def _added(parts: DataFrame, keys: list[str]) -> DataFrame:
     """A point's parts (one a tile that it touches) added up, entry by entry."""
     others = [c for c in parts.columns if c not in (*keys, "part")]
@@ -226,7 +231,7 @@ def _grid(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndar
 def oriented(pixels: DataFrame, points: DataFrame, tile: int = tiles.TILE) -> DataFrame:
     """points (img, id, x, y, scale and others) with turn and ori: a row for the strongest of 18 directions (turn 0), and one for each of up to four others that
     stand out and reach 0.8 of it. Directions are those of wave responses on a grid of 23 by 23 places around the point; where there are none, ori is the middle of the first."""
-    wanted = points.select("img", "id", "x", "y", "scale").filter("img IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND scale IS NOT NULL").join(tiles.sizes(pixels), "img")
+    wanted = _carrying(points.drop("turn", "ori"), ["img", "id", "x", "y", "scale"]).filter("img IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND scale IS NOT NULL").join(tiles.sizes(pixels), "img")
     reach = GRID * F.floor(F.col("scale") + 0.8) + F.floor(WAVE * F.col("scale") + 1.5) + 1
 
     def answer(values: np.ndarray, left: int, top: int, rows: pa.Table) -> pa.Array:
@@ -254,13 +259,11 @@ def oriented(pixels: DataFrame, points: DataFrame, tile: int = tiles.TILE) -> Da
             rank = np.where(others, others.cumsum(axis=1), 0)
             rank[np.arange(n), most] = -1
             row, at = np.nonzero((rank == -1) | ((rank > 0) & (rank <= 4)))
-            out = t.select(["img", "id"]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.maximum(rank[row, at], 0).astype(np.int32)), pa.array(angle[row, at])], ["img", "id", "turn", "ori"])
+            own = t.column("own").take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([own, pa.array(np.maximum(rank[row, at], 0).astype(np.int32)), pa.array(angle[row, at])], ["own", "turn", "ori"])
 
     parts = _added(tiles.asking(pixels, wanted, reach, answer, "array<double>", tile), ["img", "id"])
-    kinds = dict(points.dtypes)
-    turns = parts.mapInArrow(directions, f"img {kinds['img']}, id {kinds['id']}, turn int, ori double")
-    return points.drop("turn", "ori").join(turns, ["img", "id"])
+    return parts.mapInArrow(directions, f"own {dict(wanted.dtypes)['own']}, turn int, ori double").select("own.*", "turn", "ori")
 
 
 def _samples() -> np.ndarray:
@@ -282,7 +285,7 @@ def described(pixels: DataFrame, points: DataFrame, tile: int = tiles.TILE) -> D
     responses for the area, turned back, and the mean less the middle's; zeros for places at the image's border, and if nothing varies."""
     keys = ["img", "id", "turn"]
     reach = F.ceil((RINGS[-1][1] + RINGS[-1][2]) * F.greatest(F.floor("scale"), F.lit(1))) + 3
-    wanted = points.select(*keys, "x", "y", "scale", "ori").filter("img IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND scale IS NOT NULL AND ori IS NOT NULL").join(tiles.sizes(pixels), "img")
+    wanted = _carrying(points.drop("vec"), [*keys, "x", "y", "scale", "ori"]).filter("img IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND scale IS NOT NULL AND ori IS NOT NULL").join(tiles.sizes(pixels), "img")
 
     def answer(values: np.ndarray, left: int, top: int, rows: pa.Table) -> pa.Array:
         x, y, w, _ = _sampled(rows)
@@ -303,8 +306,7 @@ def described(pixels: DataFrame, points: DataFrame, tile: int = tiles.TILE) -> D
             vec = np.delete(vec, 2, axis=1)  # the middle has no difference from itself
             length = np.sqrt((vec * vec).sum(axis=1, keepdims=True))
             out = _lists(vec / np.where(length == 0, 1, length))
-            yield pa.RecordBatch.from_arrays([*t.select(keys).columns, out], [*keys, "vec"])
+            yield pa.RecordBatch.from_arrays([t.column("own"), out], ["own", "vec"])
 
-    kinds = dict(points.dtypes)
     parts = _added(tiles.asking(pixels, wanted, reach, answer, "array<double>", tile), keys)
-    return points.drop("vec").join(parts.mapInArrow(vectors, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", vec array<double>"), keys)
+    return parts.mapInArrow(vectors, f"own {dict(wanted.dtypes)['own']}, vec array<double>").select("own.*", "vec")

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 TILE = 256
 #: Rows that ask for one tile go to tasks in parts of about this many, each with its own copy of the tile.
 MOST_ASKED = 4096
@@ -82,6 +84,7 @@ def asking(pixels: DataFrame, asked: DataFrame, reach: Column, answer: Callable[
     """Columns of ``asked`` (img, x, y and others) and ``part``, of type ``kind``: answer(values, left, top, rows) of each tile that a row's places
     within ``reach`` of (x, y) lie in; nothing for tiles without pixels. A tile that many rows ask for is copied, for some thousands of them each."""
     columns = asked.columns
+    asked = cut(asked)  # it is counted and dealt: once made, also where it is a search of its own
     places = asked.withColumn("_r", reach).withColumn("tx", _cells("x", F.col("_r"), tile)).withColumn("ty", _cells("y", F.col("_r"), tile)).drop("_r")
     crowd = places.groupBy("img", "tx", "ty").agg(F.ceil(F.count("*") / MOST_ASKED).cast("int").alias("_n"))
     keys = ["img", "tx", "ty"]

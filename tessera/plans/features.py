@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import correlation, keypoints
+from ..session import cut
 from ..sources import exif
 from .queries import query, table
 
@@ -58,13 +59,13 @@ def hessian_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def picture_keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keypoints of all pictures."""
-    return keypoints.detect(_pictures(spark, sf_dir), tile=64).select("img", "id", *(F.round(c, 6).alias(c) for c in ("x", "y", "scale")), F.round("score", 3).alias("score"), "trace")
+    return keypoints.detect(cut(_pictures(spark, sf_dir)), tile=64).select("img", "id", *(F.round(c, 6).alias(c) for c in ("x", "y", "scale")), F.round("score", 3).alias("score"), "trace")
 
 
 @query()
 def picture_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directions and descriptors of all pictures' keypoints."""
-    pixels = _pictures(spark, sf_dir)
+    pixels = cut(_pictures(spark, sf_dir))
     points = keypoints.detect(pixels, tile=64)
     found = keypoints.described(pixels, keypoints.oriented(pixels, points))
     return found.select("img", "id", "turn", F.round("ori", 6).alias("ori"), F.transform("vec", lambda v: F.round(v, 6) + 0.0).alias("vec"))

@@ -94,11 +94,11 @@ def remap(pixels: DataFrame, places: DataFrame, kernel: str, around: Column | No
             wide = np.array([w or 0 for w in asked.column("wide").to_pylist()], np.int64)
             bx, by = np.floor(sx), np.floor(sy)
             wx, wy = weights(kernel, sx - bx), weights(kernel, sy - by)
-            for j in range(n):
-                y = by.astype(np.int64) - (n // 2 - 1) + j - top
-                for i in range(n):
-                    x = bx.astype(np.int64) - (n // 2 - 1) + i
-                    x = np.where(wide > 0, x % np.maximum(wide, 1), x) - left
+            for i in range(n):
+                x = bx.astype(np.int64) - (n // 2 - 1) + i
+                x = np.where(wide > 0, x % np.maximum(wide, 1), x) - left
+                for j in range(n):
+                    y = by.astype(np.int64) - (n // 2 - 1) + j - top
                     rows = np.flatnonzero((x >= 0) & (x < tile) & (y >= 0) & (y < tile))
                     w = wx[rows, i] * wy[rows, j] * there[y[rows], x[rows]]
                     total[rows] += w

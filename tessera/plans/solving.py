@@ -264,6 +264,12 @@ def _raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy((F.col("l_returnflag") == "A").cast("int").alias("img"), (F.col("l_partkey") % 90).alias("x"), (F.col("l_suppkey") % 70).alias("y")).agg(F.sum("l_quantity").alias("v"), (F.sum("l_linenumber") % 4).cast("int").alias("m"))
 
 
+def _remap_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # 1.7 is a decimal in SQL, so that its product is rounded once; the product of doubles may be off by a bit
+    sy = F.col("p_size") * 17 / 10 + F.col("p_retailprice") % 1 - 4
+    return table(spark, sf_dir, "part").select((F.col("p_size") % 2).cast("int").alias("img"), F.col("p_partkey").alias("id"), (F.col("p_retailprice") / 20 - 5).alias("sx"), sy.alias("sy"))
+
+
 def _tap_sql(kernel: str) -> str:
     """Weight of tap k (0 up) at fraction f."""
     n = raster.taps(kernel)
@@ -290,8 +296,7 @@ def _remap_sql(kernel: str) -> str:
 def remap_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of two images at the parts' places, by seven kernels; the eighth, of 32 taps, is tested like them."""
     source = _raster(spark, sf_dir)
-    part = table(spark, sf_dir, "part")
-    places = part.select((F.col("p_size") % 2).cast("int").alias("img"), F.col("p_partkey").alias("id"), (F.col("p_retailprice") / 20 - 5).alias("sx"), (F.col("p_size") * 1.7 + F.col("p_retailprice") % 1 - 4).alias("sy"))
+    places = _remap_places(spark, sf_dir)
     out = None
     for kernel in (k for k in raster.KERNELS if k != "sinc1024"):
         one = raster.remap(source, places, kernel).select(F.lit(kernel).alias("kernel"), "img", "id", F.round("v", 6).alias("v"), F.round("m", 6).alias("m"))

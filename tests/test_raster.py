@@ -1,8 +1,10 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import raster
+from tessera.plans import solving
 
 
 def picture(rng, h=40, w=50):
@@ -93,3 +95,11 @@ def test_multiband(spark):
     assert len(found) == v.size
     step = np.array([[found[x, y] - v[y, x] for x in range(24)] for y in range(16)]).mean(axis=0)
     assert abs(step[0]) < 1 and abs(step[-1] - 50) < 1 and np.all(np.diff(step) > -1e-6) and np.diff(step).max() < 30
+
+
+def test_remap_query_has_the_places_of_its_sql(spark, tmp_path):
+    """1.7 is a decimal in SQL: a place that is off by a bit may lose a fifth of its weight to rounding."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT a AS p_partkey, a % 50 + 1 AS p_size, 900.0 + a / 7 AS p_retailprice FROM range(500) t(a)) TO '{tmp_path}/part.parquet'")
+    want = con.execute(f"SELECT p_partkey, p_retailprice / 20 - 5, p_size * 1.7 + p_retailprice % 1 - 4 FROM '{tmp_path}/part.parquet'").fetchall()
+    assert sorted((r.id, r.sx, r.sy) for r in solving._remap_places(spark, str(tmp_path)).collect()) == sorted(want)

@@ -1,8 +1,9 @@
 """Robust least squares of all groups at once, by damped rounds over tables (Levenberg-Marquardt).
 
 A group (a project, or a pair of images) has items with numbered slots; a slot is fixed or belongs to a variable, and slots of one variable
-share its value. An observation names two items of its group. A round joins observations with their items' values and sums the normal
-equations: each task adds up JᵀJ, Jᵀr and r² of its rows by the variables of their two items and sends one row for each pair of variables it
+share its value. An observation names two items of its group. Observations are packed once, where they are: a pack holds rows of the same two
+items. A round joins packs with their items' values and sums the normal
+equations: each task adds up JᵀJ, Jᵀr and r² of its packs by the variables of their two items and sends one row for each pair of variables it
 met, so what is shuffled depends on the variables, not on the observations, and a group that holds most observations is split like any
 other. Damping, acceptance and roll-back are arithmetic on one small row a group. Groups that are done take no part in later rounds.
 """
@@ -10,6 +11,7 @@ other. Damping, acceptance and roll-back are arithmetic on one small row a group
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-#: Residuals (rows by any number) of rows: values of the first and second item (rows by slots) and the data columns by name.
+#: Residuals (rows by any number) of rows: values of the first and second item (rows by slots; one row if all rows share it) and the data columns by name.
+#: A method ``slopes(p, q, data, used)`` may give them with their derivatives (used slots by residuals by rows) or None; else differences are taken.
 Residuals = Callable[[np.ndarray, np.ndarray, dict[str, np.ndarray]], np.ndarray]
 
 START_DAMPING = 1e-3
@@ -28,7 +31,19 @@ MOST_DAMPING = 1e12
 SETTLED, SHORT = 1e-10, 1e-9
 #: Or once its mean square is below this.
 TINY = 1e-18
+#: Rows of a pack at most, rows that a task holds while it packs them, and rows of a pack that is worked on by itself.
+PACK, HELD, ALONE = 4096, 200_000, 256
+#: Rows of smaller packs that are worked on together.
 ROWS = 4096
+#: Values of up to this many items go to every task; beyond it packs are shuffled to them.
+FEW_ITEMS = 50_000
+
+
+class Packs(NamedTuple):
+    """rows: group, i, j, _n, _data: the data columns named, each as ``_n`` doubles, one after another."""
+
+    rows: DataFrame
+    names: list[str]
 
 
 def huber(x: np.ndarray, sigma: float) -> np.ndarray:
@@ -37,55 +52,123 @@ def huber(x: np.ndarray, sigma: float) -> np.ndarray:
     return np.where(size <= sigma, x, np.sign(x) * np.sqrt(np.maximum(sigma * (2 * size - sigma), 0)))
 
 
-def _derivatives(of: Residuals, p: np.ndarray, q: np.ndarray, data: dict[str, np.ndarray], free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Residuals (rows, r) and their derivatives (rows, r, 2 slots) by central differences; free: the slots that any row has as variables."""
-    r = of(p, q, data)
+def packed(observations: DataFrame) -> Packs:
+    """Observations (group, i, j and data columns) in packs. Tasks pack the rows that they hold; nothing is shuffled."""
+    names = [c for c in observations.columns if c not in ("group", "i", "j")]
+    kinds = dict(observations.dtypes)
+    keys = ("group", "i", "j")
+
+    def packs(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        code = np.zeros(table.num_rows, np.int64)
+        for c in keys:
+            column = pa.concat_arrays(table.column(c).chunks).dictionary_encode()
+            code = code * len(column.dictionary) + np.asarray(column.indices, np.int64)
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        sizes = np.diff(np.append(starts, len(code)))
+        starts = np.concatenate([np.arange(a, a + n, PACK) for a, n in zip(starts, sizes, strict=True)]) if sizes.max() > PACK else starts
+        ends = np.append(starts[1:], len(code))
+        data = np.array([np.asarray(table.column(n), np.float64)[order] for n in names]).reshape(len(names), -1)
+        first = table.select(keys).take(pa.array(order[starts]))
+        for part in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(starts // (16 * PACK))) + 1):
+            blobs = pa.array([data[:, starts[k] : ends[k]].tobytes() for k in part], pa.binary())
+            some = first.slice(part[0], len(part)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([*(pa.concat_arrays(some.column(c).chunks) for c in keys), pa.array((ends - starts)[part], pa.int32()), blobs], [*keys, "_n", "_data"])
+
+    def all_packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= HELD:
+                yield from packs(held)
+                held, n = [], 0
+        if n:
+            yield from packs(held)
+
+    known = observations.select(*keys, *names).dropna(subset=list(keys))  # rows without items have no part
+    return Packs(known.mapInArrow(all_packs, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", _n int, _data binary"), names)
+
+
+def kept(observations: DataFrame) -> Packs:
+    """Packs that are made once, for all rounds."""
+    packs = packed(observations)
+    return Packs(cut(packs.rows), packs.names)
+
+
+def _derivatives(of: Residuals, p: np.ndarray, q: np.ndarray, data: dict[str, np.ndarray], used: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Residuals (n, r) and their derivatives (used slots, r, n), central differences unless the residuals know them."""
+    if hasattr(of, "slopes"):
+        known = of.slopes(p, q, data, used)
+        if known is not None:
+            return known
+    every = lambda r: r if len(r) == n else np.broadcast_to(r, (n, r.shape[1]))
+    r = every(of(p, q, data))
     slots = p.shape[1]
-    out = np.zeros((*r.shape, 2 * slots))
-    for s in np.flatnonzero(free):
-        at = [p.copy(), q.copy()]
-        side, k = divmod(s, slots)
-        here = at[side][:, k].copy()
+    out = np.zeros((len(used), r.shape[1], n))
+    for k, s in enumerate(used):
+        at = [p, q]
+        side, c = divmod(int(s), slots)
+        here = at[side][:, c]
         h = 1e-5 * np.maximum(1.0, np.abs(here))
-        at[side][:, k] = here + h
-        up = of(*at, data)
-        at[side][:, k] = here - h
-        out[..., s] = (up - of(*at, data)) / (2 * h)[:, None]
+        ends = []
+        for sign in (1, -1):
+            moved = at[side].copy()
+            moved[:, c] = here + sign * h
+            ends.append(every(of(*(moved if k_ == side else at[k_] for k_ in (0, 1)), data)))
+        out[k] = ((ends[0] - ends[1]) / (2 * h)[:, None]).T
     return r, out
 
 
 def _normal(rows: DataFrame, of: Residuals, names: list[str], kind: str) -> DataFrame:
     """group, p, q, v: each task's sums of JᵀJ (p, q), Jᵀr (p, -1), r² (-1, -1) and the number of rows (-2, -2)."""
 
+    def sums(p: np.ndarray, q: np.ndarray, number: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Entries (pack, p, q, v) of packs, one or some; p, q, number: a row a pack."""
+        n, used = int(sizes.sum()), np.flatnonzero((number >= 0).any(axis=0))
+        columns = dict(zip(names, data, strict=True))
+        if len(sizes) == 1:
+            r, j = _derivatives(of, p, q, columns, used, n)
+            flat = j.reshape(len(used), -1)
+            jj, jr, rr = (flat @ flat.T)[None], (flat @ r.T.reshape(-1))[None], np.array([(r * r).sum()])
+        else:
+            r, j = _derivatives(of, np.repeat(p, sizes, axis=0), np.repeat(q, sizes, axis=0), columns, used, n)
+            j, starts = j.transpose(2, 1, 0), np.cumsum(sizes) - sizes
+            add = lambda x: np.add.reduceat(x, starts, axis=0)
+            jj, jr, rr = add(np.einsum("nra,nrb->nab", j, j)), add(np.einsum("nra,nr->na", j, r)), add((r * r).sum(axis=1))
+        numbers = number[:, used]
+        a, b = np.broadcast_to(numbers[:, :, None], jj.shape), np.broadcast_to(numbers[:, None, :], jj.shape)
+        both, some = (a >= 0) & (b >= 0), numbers >= 0
+        k, minus = np.arange(len(sizes)), np.full(len(sizes), -1)
+        return (
+            np.concatenate([np.nonzero(both)[0], np.nonzero(some)[0], k, k]), np.concatenate([a[both], numbers[some], minus, minus - 1]),
+            np.concatenate([b[both], np.full(some.sum(), -1), minus, minus - 1]), np.concatenate([jj[both], jr[some], rr, sizes]),
+        )
+
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                groups = batch.column("group").dictionary_encode()
-                code = np.asarray(groups.indices, np.int64)
-                p, q = (np.asarray(batch.column(c).flatten(), np.float64).reshape(batch.num_rows, -1) for c in ("p", "q"))
-                number = np.concatenate([np.asarray(batch.column(c).flatten(), np.int64).reshape(batch.num_rows, -1) for c in ("np", "nq")], axis=1)
-                data = {n: np.asarray(batch.column(n), np.float64) for n in names}
-                r, j = _derivatives(of, p, q, data, (number >= 0).any(axis=0))
-                pattern, inverse = np.unique(np.column_stack([code, number]), axis=0, return_inverse=True)
-                order = np.argsort(inverse, kind="stable")
-                starts = np.searchsorted(inverse[order], np.arange(len(pattern)))
-                add = lambda x: np.add.reduceat(x[order], starts, axis=0)  # noqa: B023, E731
-                jj, jr, rr = add(np.einsum("nra,nrb->nab", j, j)), add(np.einsum("nra,nr->na", j, r)), add((r * r).sum(axis=1))
-                g, n = pattern[:, 0], pattern[:, 1:]
-                a, b = np.broadcast_to(n[:, :, None], jj.shape), np.broadcast_to(n[:, None, :], jj.shape)
-                use, some = (a >= 0) & (b >= 0), n >= 0
-                wide = lambda x, like: np.broadcast_to(x.reshape(-1, *[1] * (like.ndim - 1)), like.shape)
-                minus = np.full(len(g), -1)
-                counts = np.bincount(inverse, minlength=len(pattern))
-                columns = [
-                    np.concatenate([wide(g, jj)[use], wide(g, jr)[some], g, g]),
-                    np.concatenate([a[use], n[some], minus, minus - 1]),
-                    np.concatenate([b[use], np.full(some.sum(), -1), minus, minus - 1]),
-                    np.concatenate([jj[use], jr[some], rr, counts]),
-                ]
-                frame = pd.DataFrame(dict(zip("gpqv", columns, strict=True))).groupby(["g", "p", "q"], sort=False, as_index=False)["v"].sum()
-                yield pa.RecordBatch.from_arrays([groups.dictionary.take(pa.array(frame["g"])), pa.array(frame["p"], pa.int32()), pa.array(frame["q"], pa.int32()), pa.array(frame["v"], pa.float64())], ["group", "p", "q", "v"])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            groups = batch.column("group").dictionary_encode()
+            code = np.asarray(groups.indices, np.int64)
+            p, q = (np.asarray(batch.column(c).flatten(), np.float64).reshape(batch.num_rows, -1) for c in ("p", "q"))
+            number = np.concatenate([np.asarray(batch.column(c).flatten(), np.int64).reshape(batch.num_rows, -1) for c in ("np", "nq")], axis=1)
+            sizes, blobs = np.asarray(batch.column("_n"), np.int64), batch.column("_data")
+            small = np.flatnonzero(sizes < ALONE)
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes[small]) // ROWS)) + 1
+            parts = [*([k] for k in np.flatnonzero(sizes >= ALONE)), *(x for x in np.split(small, cuts) if len(x))]
+            out = []
+            for part in parts:
+                part = np.asarray(part)
+                data = np.concatenate([np.frombuffer(blobs[int(k)].as_buffer(), np.float64).reshape(len(names), sizes[k]) for k in part], axis=1)
+                of_pack, *entries = sums(p[part], q[part], number[part], sizes[part], data)
+                out.append((code[part][of_pack], *entries))
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+            frame = pd.DataFrame(dict(zip("gpqv", columns, strict=True))).groupby(["g", "p", "q"], sort=False, as_index=False)["v"].sum()
+            yield pa.RecordBatch.from_arrays([groups.dictionary.take(pa.array(frame["g"])), pa.array(frame["p"], pa.int32()), pa.array(frame["q"], pa.int32()), pa.array(frame["v"], pa.float64())], ["group", "p", "q", "v"])
 
     return rows.mapInArrow(summed, f"group {kind}, p int, q int, v double")
 
@@ -98,11 +181,17 @@ def valued(slots: DataFrame, state: DataFrame) -> DataFrame:
     return rows.select("group", "item", F.transform("_s", lambda s: s.value).alias("values"), F.transform("_s", lambda s: s.number).alias("numbers"))
 
 
-def with_items(observations: DataFrame, items: DataFrame) -> DataFrame:
+def few_items(slots: DataFrame) -> bool:
+    """Whether the values of all items may go to every task."""
+    return slots.select("group", "item").distinct().count() <= FEW_ITEMS
+
+
+def with_items(observations: DataFrame, items: DataFrame, few: bool = False) -> DataFrame:
     """Observations (group, i, j and data) with both items' values (p, q) and numbers (np, nq)."""
+    sent = F.broadcast if few else lambda df: df
     first = items.select("group", F.col("item").alias("i"), F.col("values").alias("p"), F.col("numbers").alias("np"))
     second = items.select("group", F.col("item").alias("j"), F.col("values").alias("q"), F.col("numbers").alias("nq"))
-    return observations.join(first, ["group", "i"]).join(second, ["group", "j"])
+    return observations.join(sent(first), ["group", "i"]).join(sent(second), ["group", "j"])
 
 
 def numbered(slots: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -116,15 +205,16 @@ def numbered(slots: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut(with_number.withColumn("number", F.coalesce("number", F.lit(-1)))), variables
 
 
-def normal_sums(terms: list[tuple[DataFrame, Residuals]], slots: DataFrame, state: DataFrame) -> DataFrame:
-    """group, p, q, v: the normal equations at the state's values (see ``_normal``), summed over all terms."""
+def normal_sums(terms: list[tuple[DataFrame | Packs, Residuals]], slots: DataFrame, state: DataFrame, few: bool | None = None) -> DataFrame:
+    """group, p, q, v: the normal equations at the state's values (see ``_normal``), summed over all terms. few: see :func:`few_items`."""
     kind = dict(slots.dtypes)["group"]
     items = valued(slots, state)
+    few = few_items(slots) if few is None else few
     parts = []
     for observations, of in terms:
-        names = [c for c in observations.columns if c not in ("group", "i", "j")]
-        rows = with_items(observations, items).select("group", "p", "q", "np", "nq", *names)
-        parts.append(_normal(rows, of, names, kind))
+        packs = observations if isinstance(observations, Packs) else packed(observations)
+        rows = with_items(packs.rows, items, few).select("group", "p", "q", "np", "nq", "_n", "_data")
+        parts.append(_normal(rows, of, packs.names, kind))
     both = parts[0]
     for other in parts[1:]:
         both = both.unionByName(other)
@@ -178,13 +268,15 @@ def _step(state: dict, sums: pd.DataFrame, rounds: int) -> dict:
     return s
 
 
-def minimise(terms: list[tuple[DataFrame, Residuals]], slots: DataFrame, rounds: int = 60) -> tuple[DataFrame, DataFrame]:
+def minimise(terms: list[tuple[DataFrame | Packs, Residuals]], slots: DataFrame, rounds: int = 60) -> tuple[DataFrame, DataFrame]:
     """slots with fitted values, and group, cost, start_cost, n, rounds.
 
-    terms: observations (group, i, j, data columns) and their residuals; slots: group, item, slot (0 and up, the same for each item), variable
+    terms: observations (group, i, j, data columns; or their packs, cut by the caller) and their residuals; slots: group, item, slot (0 and up, the same for each item), variable
     (null: fixed), value. Groups without variables keep their values; groups without observations keep them, too, and have no cost.
     """
     slots, variables = numbered(slots)
+    terms = [(o if isinstance(o, Packs) else kept(o), of) for o, of in terms]
+    few = few_items(slots)
     kind = dict(slots.dtypes)["group"]
     starts = variables.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "value"))), lambda s: s.value).alias("x"))
     groups = slots.select("group").distinct().join(starts, "group", "left")
@@ -204,7 +296,7 @@ def minimise(terms: list[tuple[DataFrame, Residuals]], slots: DataFrame, rounds:
 
     while True:
         live = state.filter(~F.col("done"))
-        sums = normal_sums(terms, slots, live)
+        sums = normal_sums(terms, slots, live, few)
         moved = live.groupBy("group").cogroup(sums.groupBy("group")).applyInPandas(advance, f"group {kind}, {_STATE}")
         state = cut(state.filter("done").unionByName(moved))
         if not state.filter(~F.col("done")).head(1):

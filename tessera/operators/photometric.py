@@ -6,12 +6,14 @@ Images: group, img, stack, lens, and the columns of ``PARAMETERS``, missing ones
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .least_squares import huber, minimise
+from .least_squares import Packs, huber, kept, minimise, normal_sums
 
 #: Exposure value, balance of red and blue, vignetting coefficients and centre, weights of a response's basis curves; with their neutral values.
 PARAMETERS = {"Eev": 0.0, "Er": 1.0, "Eb": 1.0, "Va": 1.0, "Vb": 0.0, "Vc": 0.0, "Vd": 0.0, "Vx": 0.0, "Vy": 0.0, "Ra": 0.0, "Rb": 0.0, "Rc": 0.0, "Rd": 0.0, "Re": 0.0}
@@ -29,6 +31,26 @@ def _light(p: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.column_stack([common * p[:, 1], common, common * p[:, 2]])
 
 
+def _light_slopes(p: np.ndarray, x: np.ndarray, y: np.ndarray) -> Callable[[str], dict[int, np.ndarray]]:
+    """Derivatives of :func:`_light` by a parameter, of the channels that it moves; a linear response has none."""
+    dx, dy = x - p[:, 7], y - p[:, 8]
+    r2, exposure = dx * dx + dy * dy, np.exp2(-p[:, 0])
+    powers = p[:, 3] + r2 * (p[:, 4] + r2 * (p[:, 5] + r2 * p[:, 6]))
+    balance = (p[:, 1], 1.0, p[:, 2])
+    inward = -2 * (p[:, 4] + r2 * (2 * p[:, 5] + 3 * r2 * p[:, 6]))
+
+    def of(name: str) -> dict[int, np.ndarray]:
+        if name in ("Er", "Eb"):
+            return {0 if name == "Er" else 2: powers * exposure}
+        every = {"Eev": lambda: -np.log(2) * powers, "Va": lambda: 1.0, "Vb": lambda: r2, "Vc": lambda: r2 * r2, "Vd": lambda: r2 * r2 * r2, "Vx": lambda: inward * dx, "Vy": lambda: inward * dy}
+        if name not in every:
+            return {}
+        slope = every[name]() * exposure
+        return {c: slope * balance[c] for c in range(3)}
+
+    return of
+
+
 def _tables(p: np.ndarray, curves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The response tables of rows, before they are made monotone: the distinct ones, and which one each row has."""
     weights, which = np.unique(p[:, 9:14], axis=0, return_inverse=True)
@@ -58,11 +80,33 @@ class PairResiduals:
                 e, d = one - two / g * f, two - one / f * g
             else:
                 (s, a), (t, b) = _tables(p, self.curves), _tables(q, self.curves)
+                a, b = np.broadcast_to(a, len(one)), np.broadcast_to(b, len(one))
                 e = one - _mapped(_mapped(two, t, b, True) / g * f, s, a, False)
                 d = two - _mapped(_mapped(one, s, a, True) / f * g, t, b, False)
         both = np.nan_to_num(np.concatenate([e, d], axis=1), nan=1e6, posinf=1e6, neginf=-1e6)
         return huber(both, self.sigma) if self.sigma else both
 
+    def slopes(self, p: np.ndarray, q: np.ndarray, data: dict[str, np.ndarray], used: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        if self.curves is not None:
+            return None
+        one, two = (np.array([data[f"{c}{k}"] for c in "rgb"]) for k in (1, 2))
+        f, g = _light(p, data["x1"], data["y1"]).T, _light(q, data["x2"], data["y2"]).T
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            e, d = one - two / g * f, two - one / f * g
+            by = [(-two / g, one / f * (g / f)), (two / g * (f / g), -one / f)]  # of e and d, by f and by g
+            r = np.nan_to_num(np.concatenate([e, d]), nan=1e6, posinf=1e6, neginf=-1e6)
+            bent = huber(r, self.sigma) if self.sigma else r
+            scale = np.where(np.abs(r) > self.sigma, self.sigma / np.abs(bent), 1.0) if self.sigma else np.ones_like(r)
+            scale[~np.isfinite(np.concatenate([e, d]))] = 0.0
+            by = [np.concatenate(x) * scale for x in by]
+            out = np.zeros((len(used), *r.shape))
+            light = [_light_slopes(v, data[f"x{k}"], data[f"y{k}"]) for k, v in ((1, p), (2, q))]
+            for k, s in enumerate(used):
+                side, slot = divmod(int(s), len(NAMES))
+                for c, slope in light[side](NAMES[slot]).items():
+                    out[k, c], out[k, 3 + c] = by[side][c] * slope, by[side][3 + c] * slope
+        return bent.T, np.nan_to_num(out, copy=False, nan=0.0, posinf=0.0, neginf=0.0)
+
 
 class FallingResponse:
     """One residual an image: how far its response falls anywhere, as a sum of squares times the table's length."""
@@ -90,12 +134,13 @@ def variables(images: DataFrame, chosen: dict[str, Column]) -> DataFrame:
     return images.select("group", F.col("img").alias("item"), F.explode(F.array(*slots)).alias("_s")).select("group", "item", "_s.*")
 
 
-def fit(pairs: DataFrame, images: DataFrame, chosen: dict[str, Column], curves: np.ndarray | None = None, sigma: float = SIGMA, rounds: int = 60) -> tuple[DataFrame, DataFrame]:
+def fit(pairs: DataFrame | Packs, images: DataFrame, chosen: dict[str, Column], curves: np.ndarray | None = None, sigma: float = SIGMA, rounds: int = 60) -> tuple[DataFrame, DataFrame]:
     """images with fitted parameters (all of ``PARAMETERS``), and group, error (root mean square of the plain residuals), n, rounds.
 
     curves: a response's mean and basis curves, one a row, equally long; None: a linear response. Values of 0 and 1 are compared like any others.
     """
-    terms = [(pairs, PairResiduals(curves, sigma))]
+    images, pairs = cut(images), pairs if isinstance(pairs, Packs) else kept(pairs)
+    terms: list = [(pairs, PairResiduals(curves, sigma))]
     if curves is not None:
         terms.append((images.select("group", F.col("img").alias("i"), F.col("img").alias("j")), FallingResponse(curves)))
     slots, found = minimise(terms, variables(images, chosen), rounds)
@@ -104,10 +149,8 @@ def fit(pairs: DataFrame, images: DataFrame, chosen: dict[str, Column], curves:
     return fitted, found.join(plain_error(pairs, fitted, curves), "group", "left").select("group", "error", "n", "rounds", "cost", "start_cost")
 
 
-def plain_error(pairs: DataFrame, images: DataFrame, curves: np.ndarray | None = None) -> DataFrame:
+def plain_error(pairs: DataFrame | Packs, images: DataFrame, curves: np.ndarray | None = None) -> DataFrame:
     """group, error: the root mean square of a group's residuals without Huber's rule."""
-    from .least_squares import normal_sums
-
     slots = variables(images, {}).withColumn("number", F.lit(-1))
     state = images.select("group").distinct().withColumn("x", F.array().cast("array<double>"))
     sums = normal_sums([(pairs, PairResiduals(curves, 0.0))], slots, state)
@@ -131,6 +174,7 @@ def smart_fit(pairs: DataFrame, images: DataFrame, balance: bool, exposure: bool
     by_group = images.groupBy("group").agg(F.countDistinct("stack").alias("_stacks"), F.coalesce(F.max(F.when(F.col("img") == reference, F.struct(F.lit(0).alias("o"), "stack"))), F.min(F.struct(F.col("img").alias("o"), F.col("stack")))).alias("_r"))
     now = images.join(by_group.select("group", "_stacks", F.col("_r.stack").alias("_ref")), "group")
     now = cut(now.select("group", "img", "stack", "lens", "_stacks", "_ref", *((F.coalesce(F.col(n).cast("double"), F.lit(v)) if n in images.columns else F.lit(v)).alias(n) for n, v in PARAMETERS.items())))
+    pairs = kept(pairs)  # packed once for all stages
     off = F.lit(False)
     vig, resp, wb = F.col("_stacks") > 1, F.lit(curves is not None), F.lit(balance)
 

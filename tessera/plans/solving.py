@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import forest, geometric, kmeans_tree, least_squares, lines, photometric, raster, seams
+from ..session import cut
 from .queries import query, table
 
 # ---- photometric fits
@@ -89,7 +90,8 @@ def photometric_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     tax, discount, quantity = (F.col(c) for c in ("l_tax", "l_discount", "l_quantity"))
     values = [discount.alias("r1"), tax.alias("g1"), (quantity / 100).alias("b1"), (tax + 0.01).alias("r2"), discount.alias("g2"), (quantity / 90).alias("b2")]
     rows = t.select((F.col("l_suppkey") % 4).cast("int").alias("group"), i.alias("i"), ((i + 1 + F.col("l_partkey") % 6) % 7).cast("int").alias("j"), *zero, *values)
-    slots, variables = least_squares.numbered(photometric.variables(_images(pairs), {"Eev": F.lpad(F.col("img").cast("string"), 3, "0")}))
+    images = cut(_images(pairs))
+    slots, variables = least_squares.numbered(photometric.variables(images, {"Eev": F.lpad(F.col("img").cast("string"), 3, "0")}))
     state = variables.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "value"))), lambda s: s.value).alias("x"))
     sums = least_squares.normal_sums([(rows, photometric.PairResiduals(None))], slots, state)
     return sums.select("group", "p", "q", (F.round("v", 3) + 0.0).alias("v"))

@@ -280,3 +280,26 @@ def test_clean_by_pair(spark):
     assert {r.id for r in geometric.clean_by_pair(df, images, linked=linked).collect()} == set().union(*(w for k, w in want.items() if k != (0, 1)))
     errors = geometric.point_errors(df, ring_images(spark, rows, start=False))
     assert errors.filter("error > 1e-6 AND mode = 0").count() == len(bad) + 1 and errors.columns == ["group", "i", "j", "id", "x1", "y1", "x2", "y2", "mode", "error"]
+
+
+def test_slopes_equal_differences():
+    rng = np.random.default_rng(8)
+    n, width = 50, len(photometric.NAMES)
+    data = {c: rng.uniform(-0.7, 0.7, n) for c in ("x1", "y1", "x2", "y2")} | {f"{c}{k}": rng.uniform(0, 1, n) for c in "rgb" for k in (1, 2)}
+    p, q = (np.array([list(photometric.PARAMETERS.values())]) + rng.uniform(-0.1, 0.1, (1, width)) for _ in range(2))
+    of, used = photometric.PairResiduals(None), np.arange(2 * width)
+    r, j = of.slopes(p, q, data, used)
+    plain, differences = least_squares._derivatives(lambda *a: of(*a), p, q, data, used, n)
+    assert np.allclose(r, plain) and np.allclose(j, differences, atol=1e-6)
+
+
+def test_packs_hold_every_row_once(spark, monkeypatch):
+    monkeypatch.setattr(least_squares, "PACK", 8)
+    rows = [(f"g{k % 3}", k % 2, k % 5, float(k), k if k % 7 else None) for k in range(300)]
+    packs = least_squares.packed(spark.createDataFrame([*rows, (None, 1, 1, 0.0, 0)], "group string, i int, j int, v double, w long").coalesce(1))
+    got = []
+    for r in packs.rows.collect():
+        v, w = np.frombuffer(r._data).reshape(2, r._n)
+        assert r._n <= least_squares.PACK
+        got += [(r.group, r.i, r.j, a, None if np.isnan(b) else int(b)) for a, b in zip(v, w, strict=True)]
+    assert packs.names == ["v", "w"] and sorted(got, key=lambda r: r[3]) == rows

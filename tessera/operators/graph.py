@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import heapq
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
 from .ranking import row_numbers
 
+#: Levels that are taken one by one, and edges of a block beyond them.
+SHALLOW, BLOCK_EDGES = 8, 200_000
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """Distinct edges (a, b) in both directions, without loops."""
@@ -48,20 +54,69 @@ def is_connected(components_: DataFrame) -> DataFrame:
 
 
 def levels(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """node, level: breadth-first distance from start (node)."""
+    """node, level: breadth-first distance from start (node): a few levels one by one, what lies deeper by blocks (see :func:`_deeper`)."""
     e = cut(both_ways(edges))
     front = cut(start.select("node", F.lit(0).alias("level")).distinct())
-    seen, level = [front], 0
-    while True:
+    seen = [front]
+    for level in range(1, SHALLOW + 1):
         known = reduce(DataFrame.union, seen)
-        if len(seen) > 8:  # a deep graph: else the plan would grow by a table a level
-            seen = [known := cut(known)]
-        level += 1
         new = e.join(front.select("node"), e.a == F.col("node")).select(F.col("b").alias("node")).distinct()
         front = cut(new.join(known, "node", "left_anti").withColumn("level", F.lit(level)))
         if front.isEmpty():
             return known
         seen.append(front)
+    return _deeper(e, cut(reduce(DataFrame.union, seen)), front)
+
+
+def _deeper(e: DataFrame, known: DataFrame, fresh: DataFrame) -> DataFrame:
+    """node, level: known levels, carried on from the fresh ones among them.
+
+    Nodes are dealt into blocks of about ``BLOCK_EDGES`` edges, in their order, as neighbours often have numbers that are near. A round lowers levels inside
+    the blocks that fresh nodes are in until nothing changes there, and then by edges between blocks; lowered nodes are fresh. So a long path
+    costs a round for each time it leaves a block, not for each node, and never more rounds than levels.
+    """
+    blocks = cut(row_numbers(e, "_k", ["a", "b"]).groupBy(F.col("a").alias("node")).agg(F.floor(F.min("_k") / BLOCK_EDGES).cast("long").alias("block")))
+    of = lambda c: blocks.select(F.col("node").alias(c), F.col("block").alias(f"_{c}"))
+    dealt = cut(e.join(of("a"), "a").join(of("b"), "b"))
+    inner, between = dealt.filter("_a = _b").select(F.col("_a").alias("block"), "a", "b"), dealt.filter("_a <> _b").select("a", "b")
+    kind = dict(known.dtypes)["node"]
+    known, fresh = (df.join(blocks, "node", "left").select(F.coalesce("block", F.lit(-1)).alias("block"), "node", "level") for df in (known, fresh))  # a start may have no edges
+
+    def lower(rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        links = links.sort_values("a", kind="stable")
+        ends, first = np.unique(links["a"].to_numpy(), return_index=True)
+        to, upto = links["b"].tolist(), np.append(first, len(links))[1:]
+        near = {a: (s, t) for a, s, t in zip(ends.tolist(), first.tolist(), upto.tolist(), strict=True)}
+        old = rows[~rows["fresh"]]
+        level = dict(zip(old["node"].tolist(), old["level"].tolist(), strict=True))
+        lowered: dict = {}
+        todo = [(v, n) for v, n in rows.loc[rows["fresh"], ["level", "node"]].itertuples(index=False)]
+        heapq.heapify(todo)
+        while todo:
+            v, n = heapq.heappop(todo)
+            if n in lowered or level.get(n, v + 1) <= v:
+                continue
+            level[n] = lowered[n] = v
+            s, t = near.get(n, (0, 0))
+            for m in to[s:t]:
+                if level.get(m, v + 2) > v + 1:
+                    heapq.heappush(todo, (v + 1, m))
+        block = rows["block"].iloc[0] if len(rows) else 0
+        return pd.DataFrame({"block": block, "node": list(lowered), "level": list(lowered.values())})
+
+    known = cut(known.join(fresh.select("node"), "node", "left_anti").select("block", "node", "level"))
+    fresh = cut(fresh)
+    while True:
+        here = fresh.select("block").distinct()
+        rows = fresh.withColumn("fresh", F.lit(True)).unionByName(known.join(here, "block", "left_semi").withColumn("fresh", F.lit(False)))
+        links = inner.join(here, "block", "left_semi")
+        lowered = cut(rows.groupBy("block").cogroup(links.groupBy("block")).applyInPandas(lower, f"block long, node {kind}, level int"))
+        known = cut(known.unionByName(lowered).groupBy("block", "node").agg(F.min("level").alias("level")))
+        reached = between.join(lowered, F.col("a") == F.col("node")).groupBy("b").agg((F.min("level") + 1).alias("_to"))
+        fresh = reached.join(blocks, F.col("b") == F.col("node")).select("block", "node", "_to").join(known, ["block", "node"], "left")
+        fresh = cut(fresh.filter("level IS NULL OR _to < level").select("block", "node", F.col("_to").alias("level")))
+        if fresh.isEmpty():
+            return known.select("node", "level")
 
 
 def visit_all(nodes: DataFrame, edges: DataFrame, start: DataFrame) -> DataFrame:

@@ -41,6 +41,31 @@ def test_blending_order_starts_at_the_reference_and_restarts(spark):
     assert {r.img_nr: r.level for r in graph.blending_order(images, o, 99).collect()}[1] == 0
 
 
+def test_deep_levels_by_blocks(spark, monkeypatch):
+    """A long strip with short cuts, whose levels need few rounds; blocks of any size give the same."""
+    rng = random.Random(9)
+    pairs = [(k, k + 1) for k in range(400)] + [(k, k + 2) for k in range(0, 400, 7)] + [(rng.randrange(400), rng.randrange(400)) for _ in range(3)]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want, queue = {12: 0}, [12]
+    for n in queue:
+        for m in near[n]:
+            if m not in want:
+                want[m] = want[n] + 1
+                queue.append(m)
+    want[900] = 0  # a start of its own
+    e, start = spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame([(12,), (900,)], "node long")
+    written, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(1) or cut(df))
+    for size in (300, 10_000):
+        written.clear()
+        monkeypatch.setattr(graph, "BLOCK_EDGES", size)
+        assert {r.node: r.level for r in graph.levels(e, start).collect()} == want
+        assert max(want.values()) > 40 and len(written) < 40
+
+
 def test_greedy_stacks_open_at_the_smallest(spark):
     rng = random.Random(3)
     ratios = [(p, i, j, rng.random()) for p in (0, 1) for i in range(8) for j in range(i + 1, 8)]

@@ -38,6 +38,26 @@ class Model(Protocol):
         ...
 
 
+def _least_squares(m: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Solutions (system, column) of many small systems m x = b by Householder's reflections, all systems at once, and which are far from undetermined."""
+    rows, columns = m.shape[1:]
+    if rows < columns:
+        return np.zeros((len(m), columns)), np.zeros(len(m), bool)
+    a = np.ascontiguousarray(np.concatenate([m, b[..., None]], axis=2).transpose(1, 2, 0))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for c in range(columns):
+            v = a[c:, c].copy()
+            v[0] += np.copysign(np.sqrt((v * v).sum(axis=0)), v[0])
+            length = (v * v).sum(axis=0)
+            w = (v[:, None] * a[c:, c:]).sum(axis=0) * np.where(length > 0, 2 / length, 0.0)
+            a[c:, c:] -= v[:, None] * w
+        x = np.zeros((columns, len(m)))
+        for c in range(columns - 1, -1, -1):
+            x[c] = (a[c, columns] - (a[c, c + 1 : columns] * x[c + 1 :]).sum(axis=0)) / a[c, c]
+    size = np.abs(a[np.arange(columns), np.arange(columns)])
+    return x.T.copy(), size.min(axis=0) > 1e-8 * size.max(axis=0)
+
+
 class Homography:
     """x1, y1 to x2, y2 by nine numbers, the last one 1; least squares over the sample."""
 
@@ -53,11 +73,16 @@ class Homography:
         m[:, 0::2, 0:2], m[:, 0::2, 2] = a, 1
         m[:, 1::2, 3:5], m[:, 1::2, 5] = a, 1
         m[:, 0::2, 6:8], m[:, 1::2, 6:8] = -a * b[..., :1], -a * b[..., 1:]
-        u, s, v = np.linalg.svd(m, full_matrices=False)
-        full = s[:, -1] > s[:, 0] * np.finfo(float).eps * max(m.shape[1:])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            x = (v.transpose(0, 2, 1) @ ((u.transpose(0, 2, 1) @ b.reshape(k, 2 * n, 1)) / s[..., None]))[..., 0]
-        x[~full] = np.nan
+        x, sure = _least_squares(m, b.reshape(k, 2 * n))
+        # near to undetermined, or a drawn row lies where the solution has no value (there rounding decides): by singular values
+        below = np.abs((a @ x[:, 6:, None])[..., 0] + 1)
+        rest = np.flatnonzero(~(sure & (below.min(axis=1) > 1e-6 * np.maximum(1, below.max(axis=1)))))
+        if len(rest):
+            u, s, v = np.linalg.svd(m[rest], full_matrices=False)
+            full = s[:, -1] > s[:, 0] * np.finfo(float).eps * max(m.shape[1:])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                x[rest] = (v.transpose(0, 2, 1) @ ((u.transpose(0, 2, 1) @ b[rest].reshape(-1, 2 * n, 1)) / s[..., None]))[..., 0]
+            x[rest[~full]] = np.nan
         return np.concatenate([x, np.ones((k, 1))], axis=1)
 
     def error(self, solutions: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -106,9 +131,10 @@ def _rows(table: pa.Table, model: Model) -> np.ndarray:
 def _agree(model: Model, solutions: np.ndarray, rows: np.ndarray, distance: float) -> np.ndarray:
     """How many rows each solution is near to; NaN is near to none."""
     out = []
-    for at in range(0, len(solutions), DRAWS):
+    step = max(DRAWS, DRAWS * 400 // max(len(rows), 1))
+    for at in range(0, len(solutions), step):
         with np.errstate(invalid="ignore"):
-            out.append((model.error(solutions[at : at + DRAWS], rows) < distance).sum(axis=1))
+            out.append((model.error(solutions[at : at + step], rows) < distance).sum(axis=1))
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
@@ -127,10 +153,14 @@ def consensus(rows: DataFrame, keys: list[str], identity: str, model: Model, dis
         order = np.argsort(h, kind="stable")  # hashes decide, not how rows came
         x, h = x[order], h[order]
         best, most = np.zeros(0), 0
-        for at in range(0, draws, DRAWS):
-            of = _ordered(h, np.arange(at, min(at + DRAWS, draws)))
+        # the first draws often end it; later ones are taken in larger parts where rows are few
+        step = max(DRAWS, DRAWS * 400 // max(len(x), 1))
+        for at in (0, *range(DRAWS, draws, step)):
+            of = _ordered(h, np.arange(at, min(at + step if at else DRAWS, draws)))
             picks = np.sort(np.argpartition(of, model.sample - 1, axis=1)[:, : model.sample], axis=1)
-            picks = picks[np.sort(np.unique(picks, axis=0, return_index=True)[1])]
+            coded = len(x) ** model.sample < 1 << 62
+            same = {"ar": picks @ (len(x) ** np.arange(model.sample, dtype=np.int64))} if coded else {"ar": picks, "axis": 0}
+            picks = picks[np.sort(np.unique(**same, return_index=True)[1])]
             solutions = model.solve(x[picks])
             agree = _agree(model, solutions, x, distance)
             if agree.max() > most:

@@ -59,3 +59,19 @@ def test_repeated_points_and_empty(spark):
     r, = estimation.ransac_line(df, ["k"], 0.1).collect()
     assert (round(r.slope, 6), round(r.offset, 6), r.n, r.inliers) == (2.0, 0.0, 12, 12)
     assert estimation.ransac_line(df.limit(0), ["k"], 0.1).count() == 0
+
+
+def test_many_draws_are_solved_as_one_by_one():
+    """Draws over a grid, some of which determine nothing or have no value at a drawn row."""
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.integers(1, 51, 30), rng.integers(0, 11, 30), rng.uniform(1, 100, 30), rng.integers(0, 9, 30)]).astype(float)
+    draws = np.array([x[rng.choice(30, 5, replace=False)] for _ in range(400)])
+    draws[3, 1:] = draws[3, 0]
+    found = C.Homography().solve(draws)
+    for d, h in zip(draws, found, strict=True):
+        want = estimation.solve_homography(d[:, :2], d[:, 2:])
+        assert np.isnan(h).any() if want is None else np.allclose(h, want.ravel(), rtol=1e-6, atol=1e-9)
+    # systems are solved at once: no call a draw
+    m, b = rng.normal(size=(50, 10, 8)), rng.normal(size=(50, 10))
+    got, sure = C._least_squares(m, b)
+    assert sure.all() and np.allclose(got, [np.linalg.lstsq(p, q, rcond=None)[0] for p, q in zip(m, b, strict=True)])

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,18 +81,28 @@ def greedy_stacks(overlaps: DataFrame, images: DataFrame, key: str = "project_id
 def greedy_layers(images: DataFrame, key: str = "project_id", limit: float = 0.5) -> DataFrame:
     """key, img_nr, layer: the smallest image left opens a layer and takes all left whose exposure differs from its own by less than limit."""
 
-    def layer(group: pd.DataFrame) -> pd.DataFrame:
-        todo = group.sort_values("img_nr")[["img_nr", "ev"]].to_numpy(float)
-        out, number = [], 0
-        while len(todo):
-            mine = np.abs(todo[:, 1] - todo[0, 1]) < limit
-            mine[0] = True
-            out += [(group[key].iloc[0], int(n), number) for n in todo[mine, 0]]
-            todo, number = todo[~mine], number + 1
-        return pd.DataFrame(out, columns=[key, "img_nr", "layer"])
-
+    rows = images.select(key, F.struct(F.col("img_nr").cast("long").alias("n"), F.col("ev").cast("double").alias("ev")).alias("_i"))
+    projects = rows.groupBy(key).agg(F.array_sort(F.collect_list("_i")).alias("_i"))
     kind = dict(images.dtypes)[key]
-    return images.groupBy(key).applyInPandas(layer, f"{key} {kind}, img_nr long, layer long")
+
+    def layers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_i")
+            sizes = np.asarray(pc.list_value_length(lists), np.int64)
+            flat = lists.flatten()
+            number, ev = flat.field("n"), np.asarray(flat.field("ev"), np.float64)
+            project, out = np.repeat(np.arange(len(sizes)), sizes), np.zeros(len(ev), np.int64)
+            todo, at = np.arange(len(ev)), 0
+            while len(todo):  # a layer of every project at once
+                first = np.flatnonzero(np.concatenate([[True], np.diff(project[todo]) > 0]))
+                seed = np.repeat(ev[todo[first]], np.diff(np.append(first, len(todo))))
+                mine = np.abs(ev[todo] - seed) < limit
+                mine[first] = True
+                out[todo[mine]] = at
+                todo, at = todo[~mine], at + 1
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(project)), number, pa.array(out)], [key, "img_nr", "layer"])
+
+    return projects.mapInArrow(layers, f"{key} {kind}, img_nr long, layer long")
 
 
 def deghost(pixels: DataFrame, sigma: float = 30.0, rounds: int = 4) -> DataFrame:

@@ -146,3 +146,18 @@ def test_ransac_query_finds_parts_with_half_inliers(spark, tmp_path):
             want |= {(part, (part * 100 + i) * 10 + 1)} if i in good else set()
     spark.createDataFrame(rows, "l_partkey long, l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_extendedprice double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert {(r.l_partkey, r.id) for r in ransac_filter(spark, str(tmp_path)).collect()} == want
+
+
+def test_layers_of_many_projects_with_large_numbers(spark):
+    rng = random.Random(4)
+    far = 2**60 + 1  # beyond what a double holds
+    rows = [(p, far + n, rng.choice([0.0, 0.3, 0.8, 1.7, 2.0])) for p in range(40) for n in range(p % 6)]
+    want = {}
+    for p in range(40):
+        todo, at = [(n, ev) for q, n, ev in rows if q == p], 0
+        while todo:
+            seed = todo[0][1]
+            want |= {(p, n): at for k, (n, ev) in enumerate(todo) if not k or abs(ev - seed) < 0.5}
+            todo, at = [(n, ev) for n, ev in todo if (p, n) not in want], at + 1
+    got = estimation.greedy_layers(spark.createDataFrame(rows, "project_id int, img_nr long, ev double")).collect()
+    assert {(r.project_id, r.img_nr): r.layer for r in got} == want and len(got) == len(rows)

@@ -6,6 +6,9 @@ items. A round joins packs with their items' values and sums the normal
 equations: each task adds up JᵀJ, Jᵀr and r² of its packs by the variables of their two items and sends one row for each pair of variables it
 met, so what is shuffled depends on the variables, not on the observations, and a group that holds most observations is split like any
 other. Damping, acceptance and roll-back are arithmetic on one small row a group. Groups that are done take no part in later rounds.
+
+Where all groups together have few items and variables (``LOCAL_ITEMS``, ``LOCAL_ENTRIES``), the driver keeps these small rows: a round sends the values to the tasks and
+gets the summed equations back, one query a round. With more of either the rows are a table, and a round is a few queries over it. Both take the same steps.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +41,8 @@ PACK, HELD, ALONE = 4096, 200_000, 256
 ROWS = 4096
 #: Values of up to this many items go to every task; beyond it packs are shuffled to them.
 FEW_ITEMS = 50_000
+#: Items, and entries of all groups' normal equations, up to which the driver makes the steps.
+LOCAL_ITEMS, LOCAL_ENTRIES = 5_000, 50_000
 
 
 class Packs(NamedTuple):
@@ -70,7 +76,7 @@ def packed(observations: DataFrame) -> Packs:
         sizes = np.diff(np.append(starts, len(code)))
         starts = np.concatenate([np.arange(a, a + n, PACK) for a, n in zip(starts, sizes, strict=True)]) if sizes.max() > PACK else starts
         ends = np.append(starts[1:], len(code))
-        data = np.array([np.asarray(table.column(n), np.float64)[order] for n in names]).reshape(len(names), -1)
+        data = np.array([np.asarray(table.column(n), np.float64)[order] for n in names]).reshape(len(names), len(code))
         first = table.select(keys).take(pa.array(order[starts]))
         for part in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(starts // (16 * PACK))) + 1):
             blobs = pa.array([data[:, starts[k] : ends[k]].tobytes() for k in part], pa.binary())
@@ -123,8 +129,29 @@ def _derivatives(of: Residuals, p: np.ndarray, q: np.ndarray, data: dict[str, np
     return r, out
 
 
-def _normal(rows: DataFrame, of: Residuals, names: list[str], kind: str) -> DataFrame:
-    """group, p, q, v: each task's sums of JᵀJ (p, q), Jᵀr (p, -1), r² (-1, -1) and the number of rows (-2, -2)."""
+class Values(NamedTuple):
+    """Items' values and numbers, a row an item, and each item's row by group and item."""
+
+    row: dict[tuple, int]
+    values: np.ndarray
+    numbers: np.ndarray
+
+
+def _normal(rows: DataFrame, of: Residuals, names: list[str], kind: str, items: Broadcast[Values] | None = None) -> DataFrame:
+    """group, p, q, v: each task's sums of JᵀJ (p, q), Jᵀr (p, -1), r² (-1, -1) and the number of rows (-2, -2). rows: packs, joined with
+    their items' values unless items has them; packs of other items have no part."""
+
+    def known(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]:
+        if items is None:
+            p, q = (np.asarray(batch.column(c).flatten(), np.float64).reshape(batch.num_rows, -1) for c in ("p", "q"))
+            number = np.concatenate([np.asarray(batch.column(c).flatten(), np.int64).reshape(batch.num_rows, -1) for c in ("np", "nq")], axis=1)
+            return batch, p, q, number
+        row, values, numbers = items.value
+        group = batch.column("group").to_pylist()
+        at = np.array([[row.get((g, x), -1) for g, x in zip(group, batch.column(c).to_pylist(), strict=True)] for c in ("i", "j")])
+        kept = np.flatnonzero((at >= 0).all(axis=0))
+        i, j = at[:, kept]
+        return batch.take(pa.array(kept)), values[i], values[j], np.concatenate([numbers[i], numbers[j]], axis=1)
 
     def sums(p: np.ndarray, q: np.ndarray, number: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
         """Entries (pack, p, q, v) of packs, one or some; p, q, number: a row a pack."""
@@ -150,12 +177,13 @@ def _normal(rows: DataFrame, of: Residuals, names: list[str], kind: str) -> Data
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch, p, q, number = known(batch)
             if not batch.num_rows:
                 continue
             groups = batch.column("group").dictionary_encode()
             code = np.asarray(groups.indices, np.int64)
-            p, q = (np.asarray(batch.column(c).flatten(), np.float64).reshape(batch.num_rows, -1) for c in ("p", "q"))
-            number = np.concatenate([np.asarray(batch.column(c).flatten(), np.int64).reshape(batch.num_rows, -1) for c in ("np", "nq")], axis=1)
             sizes, blobs = np.asarray(batch.column("_n"), np.int64), batch.column("_data")
             small = np.flatnonzero(sizes < ALONE)
             cuts = np.flatnonzero(np.diff(np.cumsum(sizes[small]) // ROWS)) + 1
@@ -215,6 +243,10 @@ def normal_sums(terms: list[tuple[DataFrame | Packs, Residuals]], slots: DataFra
         packs = observations if isinstance(observations, Packs) else packed(observations)
         rows = with_items(packs.rows, items, few).select("group", "p", "q", "np", "nq", "_n", "_data")
         parts.append(_normal(rows, of, packs.names, kind))
+    return _added(parts)
+
+
+def _added(parts: list[DataFrame]) -> DataFrame:
     both = parts[0]
     for other in parts[1:]:
         both = both.unionByName(other)
@@ -230,7 +262,7 @@ def _solve(normal: np.ndarray, gradient: np.ndarray, damping: float) -> np.ndarr
     return np.linalg.lstsq(normal + damping * np.diag(scale), -gradient, rcond=None)[0]
 
 
-def _step(state: dict, sums: pd.DataFrame, rounds: int) -> dict:
+def _step(state: dict, sums: pd.DataFrame | dict[str, np.ndarray], rounds: int) -> dict:
     """The group's next state, from the sums at its candidate x: the candidate is taken if its cost is lower, else the
     step is made again with more damping. Damping is relative to the diagonal."""
     s = dict(state)
@@ -276,7 +308,11 @@ def minimise(terms: list[tuple[DataFrame | Packs, Residuals]], slots: DataFrame,
     """
     slots, variables = numbered(slots)
     terms = [(o if isinstance(o, Packs) else kept(o), of) for o, of in terms]
-    few = few_items(slots)
+    entries = variables.groupBy("group").agg(F.pow(F.count("*") + 2, F.lit(2)).alias("_e")).agg(F.sum("_e")).first()[0] or 0
+    n_items = slots.select("group", "item").distinct().count()
+    if n_items <= LOCAL_ITEMS and entries <= LOCAL_ENTRIES:
+        return _minimise_few(terms, slots, variables, rounds)
+    few = n_items <= FEW_ITEMS
     kind = dict(slots.dtypes)["group"]
     starts = variables.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "value"))), lambda s: s.value).alias("x"))
     groups = slots.select("group").distinct().join(starts, "group", "left")
@@ -302,5 +338,46 @@ def minimise(terms: list[tuple[DataFrame | Packs, Residuals]], slots: DataFrame,
         if not state.filter(~F.col("done")).head(1):
             break
     fitted = state.select("group", F.coalesce("best", "x").alias("x"))
-    out = slots.join(fitted, "group").select("group", "item", "slot", "variable", F.when(F.col("number") < 0, F.col("value")).otherwise(F.get("x", "number")).alias("value"))
-    return cut(out), state.select("group", "cost", F.col("start").alias("start_cost"), "n", "rounds")
+    return cut(_with_values(slots, fitted)), state.select("group", "cost", F.col("start").alias("start_cost"), "n", "rounds")
+
+
+def _with_values(slots: DataFrame, fitted: DataFrame) -> DataFrame:
+    return slots.join(fitted, "group").select("group", "item", "slot", "variable", F.when(F.col("number") < 0, F.col("value")).otherwise(F.get("x", "number")).alias("value"))
+
+
+def _minimise_few(terms: list[tuple[Packs, Residuals]], slots: DataFrame, variables: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """:func:`minimise` for few items and variables, whose values and sums the driver holds."""
+    spark, kind = slots.sparkSession, dict(slots.dtypes)["group"]
+    held = slots.select("group", "item", "slot", "number", "value").toArrow().sort_by([("slot", "ascending")]).to_pydict()
+    row: dict[tuple, int] = {}
+    at = np.array([row.setdefault(key, len(row)) for key in zip(held["group"], held["item"], strict=True)], np.int64)
+    width = max(held["slot"], default=-1) + 1
+    fixed, numbers = np.zeros((len(row), width)), np.full((len(row), width), -1)
+    fixed[at, held["slot"]], numbers[at, held["slot"]] = np.array(held["value"], np.float64), held["number"]
+    blank = {"best": None, "normal": None, "gradient": None, "cost": None, "start": None, "expected": None, "damping": START_DAMPING, "factor": 2.0, "rounds": 0, "n": None, "done": False}
+    state: dict = {g: {"x": [], **blank} for g in dict.fromkeys(held["group"])}
+    started = variables.select("group", "number", "value").toArrow().sort_by([("number", "ascending")]).to_pydict()
+    for g, value in zip(started["group"], started["value"], strict=True):
+        state[g]["x"].append(value)
+    while True:
+        live = {key: k for key, k in row.items() if not state[key[0]]["done"]}
+        if not live:
+            break
+        values = fixed.copy()
+        for (g, _), k in live.items():
+            free = numbers[k] >= 0
+            values[k, free] = np.array(state[g]["x"])[numbers[k, free]]
+        sent = spark.sparkContext.broadcast(Values(live, values, numbers))
+        found = _added([_normal(packs.rows, of, packs.names, kind, sent) for packs, of in terms]).toArrow()
+        sent.destroy()
+        of_group: dict = {}
+        for n, g in enumerate(found.column("group").to_pylist()):
+            of_group.setdefault(g, []).append(n)
+        p, q, v = (found.column(c).to_numpy() for c in "pqv")
+        for g in {g for g, _ in live}:
+            some = of_group.get(g)
+            state[g] = {**state[g], "done": True} if some is None else _step(state[g], {"p": p[some], "q": q[some], "v": v[some]}, rounds)
+    double = lambda x: None if x is None else float(x)
+    done = [(g, [float(x) for x in (s["x"] if s["best"] is None else s["best"])], double(s["cost"]), double(s["start"]), s["n"], s["rounds"]) for g, s in state.items()]
+    ended = spark.createDataFrame(done, f"group {kind}, x array<double>, cost double, start_cost double, n long, rounds int")
+    return cut(_with_values(slots, F.broadcast(ended.select("group", "x")))), ended.drop("x")

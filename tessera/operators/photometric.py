@@ -139,14 +139,19 @@ def fit(pairs: DataFrame | Packs, images: DataFrame, chosen: dict[str, Column],
 
     curves: a response's mean and basis curves, one a row, equally long; None: a linear response. Values of 0 and 1 are compared like any others.
     """
-    images, pairs = cut(images), pairs if isinstance(pairs, Packs) else kept(pairs)
+    pairs = pairs if isinstance(pairs, Packs) else kept(pairs)
+    fitted, found = _fitted(pairs, images, chosen, curves, sigma, rounds)
+    return fitted, found.join(plain_error(pairs, fitted, curves), "group", "left").select("group", "error", "n", "rounds", "cost", "start_cost")
+
+
+def _fitted(pairs: Packs, images: DataFrame, chosen: dict[str, Column], curves: np.ndarray | None, sigma: float = SIGMA, rounds: int = 60) -> tuple[DataFrame, DataFrame]:
+    images = cut(images)
     terms: list = [(pairs, PairResiduals(curves, sigma))]
     if curves is not None:
         terms.append((images.select("group", F.col("img").alias("i"), F.col("img").alias("j")), FallingResponse(curves)))
     slots, found = minimise(terms, variables(images, chosen), rounds)
     values = slots.groupBy("group", F.col("item").alias("img")).agg(*(F.max(F.when(F.col("slot") == k, F.col("value"))).alias(n) for k, n in enumerate(NAMES)))
-    fitted = cut(images.drop(*NAMES).join(values, ["group", "img"]))
-    return fitted, found.join(plain_error(pairs, fitted, curves), "group", "left").select("group", "error", "n", "rounds", "cost", "start_cost")
+    return cut(images.drop(*NAMES).join(values, ["group", "img"])), found
 
 
 def plain_error(pairs: DataFrame | Packs, images: DataFrame, curves: np.ndarray | None = None) -> DataFrame:
@@ -185,7 +190,7 @@ def smart_fit(pairs: DataFrame, images: DataFrame, balance: bool, exposure: bool
         shared |= dict.fromkeys(VIGNETTING, F.when(vig, F.col("lens"))) | dict.fromkeys(BALANCE, F.when(wb, _own("_ref")))
         if curves is not None:
             shared |= dict.fromkeys(RESPONSE[: len(curves) - 1], F.when(resp, F.col("lens")))
-        return fit(pairs, rows, shared, curves)[0]
+        return _fitted(pairs, rows, shared, curves)[0]
 
     def dark(rows: DataFrame) -> DataFrame:
         """group, _dark: whether the first image's corner is too dark, _odd: whether a balance is too strong."""

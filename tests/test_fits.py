@@ -303,3 +303,25 @@ def test_packs_hold_every_row_once(spark, monkeypatch):
         assert r._n <= least_squares.PACK
         got += [(r.group, r.i, r.j, a, None if np.isnan(b) else int(b)) for a, b in zip(v, w, strict=True)]
     assert packs.names == ["v", "w"] and sorted(got, key=lambda r: r[3]) == rows
+
+
+def test_a_round_over_few_items_is_one_query(spark, monkeypatch):
+    """The driver makes the steps of few variables: as over tables, in at most three jobs a round."""
+    planted = planted_cameras(np.random.default_rng(8), 2, 3)
+    pairs, cameras = frames(spark, np.random.default_rng(8), planted, 200)
+    packs, slots = least_squares.kept(pairs), photometric.variables(cameras, chosen())
+    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+
+    def run(name):
+        context.setJobGroup(name, name)
+        found, ended = least_squares.minimise([(packs, photometric.PairResiduals(None))], slots)
+        values = {(r.group, r.item, r.slot): r.value for r in found.collect()}
+        rounds = {r.group: r.rounds for r in ended.collect()}
+        return values, rounds, len(tracker.getJobIdsForGroup(name))
+
+    here, rounds, jobs = run("few-items")
+    monkeypatch.setattr(least_squares, "LOCAL_ITEMS", 0, raising=False)
+    there, rounds_there, _ = run("many-items")
+    assert here.keys() == there.keys() and all(abs(here[k] - there[k]) < 1e-8 for k in here)
+    assert rounds.keys() == rounds_there.keys()
+    assert jobs <= 3 * max(rounds.values()) + 20

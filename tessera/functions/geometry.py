@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scalar import once
+
 Point = tuple[Column, Column]
 Transform = Callable[[Point], Point]
 
@@ -56,15 +58,17 @@ def undo_radial(c: tuple[float, float, float, float], scale: float, rounds: int
     """Inverse of :func:`radial` by a fixed number of Newton steps."""
 
     def step(p: Point) -> Point:
-        target = F.sqrt(p[0] * p[0] + p[1] * p[1]) / scale
 
-        def newton(r: Column, _: Column) -> Column:
-            value = r * (c[0] + r * (c[1] + r * (c[2] + r * c[3]))) - target
-            slope = c[0] + r * (2 * c[1] + r * (3 * c[2] + r * 4 * c[3]))
-            return r - value / F.when(F.abs(slope) < 1e-12, 1e-12).otherwise(slope)
+        def undone(target: Column) -> Column:
+            def newton(r: Column, _: Column) -> Column:
+                value = r * (c[0] + r * (c[1] + r * (c[2] + r * c[3]))) - target
+                slope = c[0] + r * (2 * c[1] + r * (3 * c[2] + r * 4 * c[3]))
+                return once(slope, lambda slope: r - value / F.when(F.abs(slope) < 1e-12, 1e-12).otherwise(slope))
+
+            r = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), target, newton)
+            return F.when(target == 0, 1.0).otherwise(r / F.nullif(target, F.lit(0.0)))
 
-        r = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), target, newton)
-        factor = F.when(target == 0, 1.0).otherwise(r / F.nullif(target, F.lit(0.0)))
+        factor = once(F.sqrt(p[0] * p[0] + p[1] * p[1]) / scale, undone)
         return p[0] * factor, p[1] * factor
 
     return step

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ def col(x: Value) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), where value is computed once a row however often ``of`` names it; the expressions of nested functions would multiply."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def interpolate(x0: Column, y0: Column, x1: Column, y1: Column, x: Value) -> Column:
     """Line through two points at x; y0 where the points' x are within 1e-4."""
     return F.when(F.abs(x1 - x0) < 1e-4, y0).otherwise(y0 + (col(x) - x0) / F.nullif(x1 - x0, F.lit(0.0)) * (y1 - y0))

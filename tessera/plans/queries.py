@@ -15,6 +15,7 @@ from ..functions import geometry as G
 from ..functions import scalar as S
 from ..functions.expression import apply_expression
 from ..operators import coverage, estimation, graph, lens, matching, ranking, relations, statistics
+from ..session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -334,7 +335,7 @@ def radial_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = ((F.col("p_size") - 25) * 4.0, (F.col("p_retailprice") - 1450) * 0.1)
     there = G.radial(c, 150.0)(p)
     back = G.undo_radial(c, 150.0)(there)
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(there[0], 6).alias("x"), F.round(there[1], 6).alias("y"), (F.round(back[0], 4) + 0.0).alias("back_x"), (F.round(back[1], 4) + 0.0).alias("back_y"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_size")).select("p_partkey", F.round(there[0], 6).alias("x"), F.round(there[1], 6).alias("y"), (F.round(back[0], 4) + 0.0).alias("back_x"), (F.round(back[1], 4) + 0.0).alias("back_y"))
 
 
 # ---- scalar functions and expressions

@@ -32,6 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as there are cores, where its files give fewer: for work that is long for the few bytes of its rows."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut: written once as Parquet in the shared folder and read back (a checkpoint without a cache computes its
     plan twice). What was written goes when the driver ends."""

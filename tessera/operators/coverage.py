@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import once
+
 
 def overlap_ratios(images: DataFrame, steps: int = 10, bin_size: float = 100.0) -> DataFrame:
     """i, j, ratio: share of i's sample grid (steps x steps cell centres) that lies in j; pairs without a hit are left out.
@@ -124,11 +126,15 @@ def covariance(df: DataFrame, *axes: str) -> DataFrame:
 
 def polygon_centre(poly: Column) -> Column:
     """Centroid struct<x, y> of array<struct<x, y>>; null for an area of 0."""
-    turned = F.concat(F.slice(poly, 2, F.size(poly)), F.slice(poly, 1, 1))
     part = lambda a, b: (a["x"] * b["y"] - b["x"] * a["y"])
-    along = lambda c: F.aggregate(F.zip_with(poly, turned, lambda a, b: (a[c] + b[c]) * part(a, b)), F.lit(0.0), lambda s, x: s + x)
-    area = F.nullif(polygon_area(poly) * 6, F.lit(0.0))
-    return F.when(area.isNotNull(), F.struct((along("x") / area).alias("x"), (along("y") / area).alias("y")))
+
+    def centre(poly: Column) -> Column:
+        turned = F.concat(F.slice(poly, 2, F.size(poly)), F.slice(poly, 1, 1))
+        along = lambda c: F.aggregate(F.zip_with(poly, turned, lambda a, b: (a[c] + b[c]) * part(a, b)), F.lit(0.0), lambda s, x: s + x)
+        area = F.nullif(polygon_area(poly) * 6, F.lit(0.0))
+        return once(area, lambda area: F.when(area.isNotNull(), F.struct((along("x") / area).alias("x"), (along("y") / area).alias("y"))))
+
+    return once(poly, centre)
 
 
 def output_boxes(images: DataFrame, place, steps: int = 20) -> DataFrame:
@@ -220,9 +226,13 @@ def spread_masks_by_overlap(masks: DataFrame, overlaps: DataFrame, least: float
 
 def polygon_area(poly: Column) -> Column:
     """Signed area of array<struct<x, y>>."""
-    turned = F.concat(F.slice(poly, 2, F.size(poly)), F.slice(poly, 1, 1))
-    parts = F.zip_with(poly, turned, lambda a, b: (a["x"] * b["y"] - b["x"] * a["y"]) / 2)
-    return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
+
+    def area(poly: Column) -> Column:
+        turned = F.concat(F.slice(poly, 2, F.size(poly)), F.slice(poly, 1, 1))
+        parts = F.zip_with(poly, turned, lambda a, b: (a["x"] * b["y"] - b["x"] * a["y"]) / 2)
+        return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
+
+    return once(poly, area)
 
 
 def resample_polygon(poly: Column, longest: float) -> Column:

@@ -137,7 +137,8 @@ def clip_masks(masks: DataFrame, left: Column, top: Column, right: Column, botto
     poly = F.col("poly")
     for axis, limit, sign in sides:
         poly = _cut_side(poly, axis, limit, sign)
-    return masks.withColumn("poly", poly).filter(F.size("poly") >= 3)
+    # as rows of its own, so that what uses the cut polygon doesn't compute it again
+    return masks.withColumn("poly", F.explode(F.filter(F.array(poly), lambda p: F.size(p) >= 3)))
 
 
 def _cut_side(poly: Column, axis: str, limit: Column, sign: int) -> Column:

@@ -4,39 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalar import Value, col, vignetting
+from .scalar import Value, col, once, vignetting
 
 
 def gamma_table(gamma: float, size: int = 1024) -> Column:
     """The values k/(size - 1) to the power of gamma."""
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.pow(k / (size - 1), F.lit(gamma)))
+    with np.errstate(divide="ignore"):
+        return F.lit(((np.arange(size) / (size - 1)) ** gamma).tolist())
 
 
 def look_up(table: Column, value: Column) -> Column:
     """The table at value (0 to 1; others count as the nearest end), between entries by a line."""
-    last = F.size(table) - 1
-    at = F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)) * last
-    low = F.least(F.floor(at).cast("int"), F.greatest(last - 1, F.lit(0)))
-    a, b = F.get(table, low), F.coalesce(F.get(table, low + 1), F.get(table, low))
-    return a + (at - low) * (b - a)
+    def between(table: Column, at: Column, low: Column) -> Column:
+        a, b = F.get(table, low), F.coalesce(F.get(table, low + 1), F.get(table, low))
+        return a + (at - low) * (b - a)
+
+    def found(table: Column) -> Column:
+        last = F.size(table) - 1
+        at = F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)) * last
+        return once(at, lambda at: once(F.least(F.floor(at).cast("int"), F.greatest(last - 1, F.lit(0))), lambda low: between(table, at, low)))
+
+    return once(table, found)
 
 
 def resize_table(table: Column, size: int) -> Column:
     """The table with another number of entries."""
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: look_up(table, k / (size - 1)))
+    return once(table, lambda table: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: look_up(table, k / (size - 1))))
 
 
 def invert_table(table: Column, value: Column) -> Column:
     """Where in a non-decreasing table the value is reached (0 to 1), between entries by a line; the ends for values beyond."""
-    last = F.size(table) - 1
-    at = F.aggregate(table, F.lit(0), lambda n, x: n + (x <= value).cast("int")) - 1  # the last entry that isn't over it
-    low = F.least(F.greatest(at, F.lit(0)), F.greatest(last - 1, F.lit(0)))
-    a, b = F.get(table, low), F.get(table, low + 1)
-    step = F.when(b > a, F.least(F.greatest((value - a) / F.nullif(b - a, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-    return (low + step) / F.nullif(last, F.lit(0))
+    def between(table: Column, value: Column, low: Column) -> Column:
+        a, b = F.get(table, low), F.get(table, low + 1)
+        step = F.when(b > a, F.least(F.greatest((value - a) / F.nullif(b - a, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+        return (low + step) / F.nullif(F.size(table) - 1, F.lit(0))
+
+    def found(table: Column, value: Column) -> Column:
+        at = F.aggregate(table, F.lit(0), lambda n, x: n + (x <= value).cast("int")) - 1  # the last entry that isn't over it
+        return once(F.least(F.greatest(at, F.lit(0)), F.greatest(F.size(table) - 2, F.lit(0))), lambda low: between(table, value, low))
+
+    return once(table, lambda table: once(value, lambda value: found(table, value)))
 
 
 def basis_table(mean: Column, basis: list[Column], weights: list[Value]) -> Column:

@@ -9,6 +9,7 @@ from ..functions import geometry as G
 from ..functions import photometry as P
 from ..functions import scalar as S
 from ..operators import coverage, edits, estimation, filters, graph, lens, ranking, relations, statistics
+from ..session import spread
 from .queries import _PIXELS, _pixels, query, table
 
 # ---- lens look-ups
@@ -367,7 +368,7 @@ def masks_clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rectangles as masks: clipped, doubled and turned by a right angle; their area and centre."""
     w, h = F.col("p_size").cast("double"), F.col("p_retailprice") / 50
     corner = lambda x, y: F.struct(F.lit(x).cast("double").alias("x"), F.lit(y).cast("double").alias("y"))
-    masks = table(spark, sf_dir, "part").select("p_partkey", F.array(corner(0, 0), corner(w, 0), corner(w, h), corner(0, h)).alias("poly"))
+    masks = spread(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_size")).select("p_partkey", F.array(corner(0, 0), corner(w, 0), corner(w, h), corner(0, h)).alias("poly"))
     clipped = edits.clip_masks(masks, F.lit(5.0), F.lit(10.0), F.lit(30.0), F.lit(35.0)).filter(F.abs(coverage.polygon_area(F.col("poly"))) > 1e-9)
     turned = edits.move_masks(clipped, 2.0, 1, F.lit(100.0), F.lit(100.0)).withColumn("c", coverage.polygon_centre(F.col("poly")))
     return turned.select("p_partkey", F.round(F.abs(coverage.polygon_area(F.col("poly"))) / 4, 6).alias("area"), F.round("c.x", 6).alias("turned_x"), F.round("c.y", 6).alias("turned_y"))
@@ -547,7 +548,7 @@ def plane_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = ((F.col("p_size") - 25) * 4.0, (F.col("p_retailprice") - 1450) * 0.1)
     c = (1.01, -0.02, 0.01, 0.001)
     there = G.vertical(c, 150.0)(p)
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_size")).select(
         "p_partkey", F.round(there[1], 6).alias("vertical"), F.round(G.deregister((0.01, 0.02, 0.03), 150.0)(p)[0], 6).alias("deregister"), F.round(G.shift_scale_rotate(3, 4, 1.5, 0.3)(p)[0], 6).alias("turned"),
         (F.round(G.undo_vertical(c, 150.0)(there)[1], 4) + 0.0).alias("back"), F.round(G.radial_shift((1.0, 0.1, 0.0, 0.0), 150.0, 7, 8)(p)[0], 6).alias("shifted"),
     )
@@ -683,7 +684,7 @@ def camera_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = P.respond(v, r, c, 1.5, 1.1, t)
     six = lambda x: F.round(x, 6)
     fixed = lambda how: six(P.corrected(v, F.lit(0.8), how, 0.5, 2.2, 2.0, 0.1)).alias({"divide": "divided", "flat": "flat", "add": "added"}[how])
-    return table(spark, sf_dir, "part").select("p_partkey", six(P.respond(v, r, c, 1.5, 1.1)).alias("linear"), six(seen).alias("recorded"), F.round(P.unrespond(seen, r, c, 1.5, 1.1, t), 6).alias("back"), fixed("divide"), fixed("flat"), fixed("add"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_size")).select("p_partkey", six(P.respond(v, r, c, 1.5, 1.1)).alias("linear"), six(seen).alias("recorded"), F.round(P.unrespond(seen, r, c, 1.5, 1.1, t), 6).alias("back"), fixed("divide"), fixed("flat"), fixed("add"))
 
 
 @query("""
@@ -697,7 +698,7 @@ def response_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     five = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.pow(k / 4, g))
     total = lambda t: F.round(F.aggregate(t, F.lit(0.0), lambda a, x: a + x), 8)
     curves = [F.array(*(F.lit(float(k)) for k in range(5))), F.array(*(F.lit(float(k * k)) for k in range(5)))]
-    return table(spark, sf_dir, "part").select("p_partkey", total(five).alias("five"), total(P.resize_table(five, 9)).alias("nine"), total(P.basis_table(five, curves, [0.1, -0.2])).alias("basis"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select("p_partkey", total(five).alias("five"), total(P.resize_table(five, 9)).alias("nine"), total(P.basis_table(five, curves, [0.1, -0.2])).alias("basis"))
 
 
 @query("""

@@ -5,8 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as G
+from tessera.functions import photometry as P
 from tessera.functions import scalar as S
 from tessera.functions.expression import ExpressionError, apply_expression, compile_expression
+from tessera.operators import coverage, edits
+from tessera.session import spread
 
 
 def value(spark, expr, **names):
@@ -67,3 +70,42 @@ def test_range_rules(spark):
     assert [r[0] for r in df.select(S.in_range(F.col("a"), F.col("b"), 25.0, 0.15)).collect()] == [True, True, False]
     one = spark.createDataFrame([(40.0,), (43.0,)], "a double")
     assert [tuple(r) for r in one.select(S.near_single(F.col("a"), 40.0), S.near_single(F.col("a"), 40.0, True)).collect()] == [(True, True), (True, False)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_inverse_tables_compute_a_value_once(spark):
+    seen = P.look_up(P.gamma_table(0.5, 16), F.col("v"))
+    df = spark.range(5).select((F.col("id") / 5).alias("v")).cache()
+    plan = _plan(df.select(P.invert_table(P.gamma_table(0.5, 16), seen).alias("t")))
+    assert plan.count("least(greatest(v#") == 1 and "POWER" not in plan
+
+
+def test_resized_tables_compute_the_table_once(spark):
+    five = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.pow(k / 4, F.col("g")))
+    df = spark.range(5).select((F.col("id") / 5).alias("g")).cache()
+    assert _plan(df.select(P.resize_table(five, 9).alias("t"))).count("POWER") == 1
+
+
+def test_undone_radial_computes_its_target_once(spark):
+    df = spark.range(5).select((F.col("id") / 5).alias("v")).cache()
+    assert _plan(df.select(G.undo_radial((1.01, 0.0, -0.03, 0.002), 150.0)((F.col("v"), F.lit(1.0)))[0].alias("x"))).count("SQRT") == 1
+
+
+def test_few_files_are_spread_over_the_cores(spark):
+    assert spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(0, 100, 1, 9)
+    assert spread(many) is many
+
+
+def test_clipped_masks_are_cut_once(spark):
+    corner = lambda x, y: F.struct(F.lit(x).alias("x"), y.alias("y"))
+    v = F.col("v")
+    rows = spark.range(5).select("id", (F.col("id") * 10.0).alias("v")).cache()
+    masks = rows.select("id", F.array(corner(0.0, 0 * v), corner(9.0, 0 * v), corner(9.0, v), corner(0.0, v)).alias("poly"))
+    cut = edits.clip_masks(masks, F.lit(5.0), F.lit(10.0), F.lit(30.0), F.lit(35.0))
+    got = cut.select("id", F.abs(coverage.polygon_area(F.col("poly"))).alias("area")).filter("area > 0.001")
+    assert _plan(got).count("30.0") == _plan(cut).count("30.0")
+    assert {r.id: r.area for r in got.collect()} == {2: 40.0, 3: 80.0, 4: 100.0}

@@ -11,6 +11,7 @@ split) are dealt into blocks, and their queries meet each block. A leaf and its
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,10 @@ from ..session import cut
 SAMPLE = 100_000
 LEAF_ROWS = 256
 BLOCK = 4096
+#: Rows of the cells that the exact walk opens: a query is sent once a cell, so small ones would copy it to nearly every leaf where dimensions are many.
+CELL_ROWS = 1024
+#: Cells that the walk before it opens, only to learn how far a query has to look.
+FIRST_BEAM = 2
 TREES, BEAM = 4, 8
 #: A split's dimension is drawn among this many of the most varying ones.
 VARYING = 5
@@ -32,7 +37,7 @@ class Tree:
 
     def __init__(self, sample: np.ndarray, leaf: int, seed: int):
         rng = np.random.default_rng(seed)
-        self.dim, self.at, self.left, self.right = [-1], [0.0], [0], [0]
+        self.dim, self.at, self.left, self.right, self.size = [-1], [0.0], [0], [0], [len(sample)]
         todo = [(0, np.arange(len(sample)))]
         while todo:
             node, rows = todo.pop()
@@ -56,7 +61,15 @@ class Tree:
                 self.at.append(0.0)
                 self.left.append(0)
                 self.right.append(0)
-        self.dim, self.at, self.left, self.right = (np.array(x) for x in (self.dim, self.at, self.left, self.right))
+                self.size.append(len(kept))
+        self.dim, self.at, self.left, self.right, self.size = (np.array(x) for x in (self.dim, self.at, self.left, self.right, self.size))
+        self.share = 1.0  # of all rows, in the sample
+
+    def coarser(self, rows: int) -> Tree:
+        """The tree down to nodes of at most that many of all rows."""
+        out = copy(self)
+        out.dim = np.where(self.size <= rows * self.share, -1, self.dim)
+        return out
 
     def leaf_of(self, x: np.ndarray) -> np.ndarray:
         node = np.zeros(len(x), np.int64)
@@ -100,7 +113,10 @@ def grown(targets: DataFrame, trees: int = TREES, leaf: int = LEAF_ROWS, seed: i
     some = targets if share == 1 else targets.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_003)) < int(share * 1_000_003))
     rows = some.orderBy("id").limit(2 * sample).select("v").toPandas()["v"]
     x = np.array([np.asarray(v, np.float64) for v in rows]) if len(rows) else np.zeros((0, 1))
-    return [Tree(x, max(1, int(leaf * len(x) / max(n, 1))), seed + t) for t in range(trees)]
+    out = [Tree(x, max(1, int(leaf * len(x) / max(n, 1))), seed + t) for t in range(trees)]
+    for tree in out:
+        tree.share = len(x) / max(n, 1)
+    return out
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -161,12 +177,12 @@ def _compared(asked: DataFrame, held: DataFrame, k: int) -> DataFrame:
 def nearest(queries: DataFrame, targets: DataFrame, k: int = 2, trees: int = TREES, beam: int = BEAM, leaf: int = LEAF_ROWS, exact: bool = False, seed: int = 1) -> DataFrame:
     """q, t, d, rank: for each query (id, v) the k nearest targets found and their squared distances; ties go to the smaller id.
 
-    exact: a second walk opens, in the first tree, every cell within the k-th distance that the first one found, so that none is missed; in many dimensions
+    exact: one tree serves. A short walk gives a k-th distance, and a second one opens every cell (of ``CELL_ROWS``) within it, so that none is missed; in many dimensions
     these may be most cells. Ids are distinct on each side. Vectors have one length and finite components; queries without targets have no rows.
     """
-    forest = grown(targets, trees, leaf, seed)
+    forest = grown(targets, 1 if exact else trees, leaf, seed)
     held = cut(_dealt(targets, forest, 0))
-    found = _compared(_dealt(queries, forest, beam), held, k)
+    found = _compared(_dealt(queries, forest, min(beam, FIRST_BEAM) if exact else beam), held, k)
     order = Window.partitionBy("q").orderBy("d", "t")
     best = lambda df: df.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     first = best(found)
@@ -176,4 +192,5 @@ def nearest(queries: DataFrame, targets: DataFrame, k: int = 2, trees: int = TRE
     reach = first.groupBy("q").agg(F.max(F.when(F.col("rank") == k, F.col("d"))).alias("reach"))
     # rounding of a distance must not close a cell; a query with fewer than k found opens all
     asked = queries.join(reach.withColumnRenamed("q", "id"), "id", "left").withColumn("reach", F.coalesce(F.col("reach") * (1 + 1e-9), F.lit(float("inf"))))
-    return best(_compared(_dealt(asked, forest[:1], 0, "reach"), held.filter("tree = 0"), k))
+    cells = [forest[0].coarser(CELL_ROWS)]
+    return best(_compared(_dealt(asked, cells, 0, "reach"), cut(_dealt(targets, cells, 0)), k))

@@ -122,3 +122,17 @@ def test_kmeans_tree_of_copies_and_passes(spark, monkeypatch):
     assert all([j for j, _ in v] == [0, 1] for v in found.values())
     same = kmeans_tree.tree(frame(spark, np.ones((50, 2))), leaf=10)
     assert same[0].count() == 0 and same[1].select("node").distinct().count() == 1
+
+
+def test_exact_walk_sends_a_query_to_few_cells(spark, monkeypatch):
+    """In many dimensions all cells are within reach: a query is sent once a large cell, not once a small leaf, and nothing is missed."""
+    x = np.random.default_rng(4).normal(size=(700, 16))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
+    sent, compared = [], forest._compared
+    monkeypatch.setattr(forest, "_compared", lambda asked, held, k: sent.append(asked.count()) or compared(asked, held, k))
+    monkeypatch.setattr(forest, "CELL_ROWS", 200, raising=False)
+    got = {(r.q, r["rank"]): r.t for r in forest.nearest(rows.filter("id < 100"), rows.filter("id >= 100"), 2, leaf=8, exact=True).collect()}
+    d = ((x[:100, None] - x[None, 100:]) ** 2).sum(axis=2)
+    want = np.argsort(d, axis=1, kind="stable")[:, :2] + 100
+    assert got == {(q, n + 1): int(want[q, n]) for q in range(100) for n in (0, 1)}
+    assert sum(sent) <= 100 * 14

@@ -116,6 +116,10 @@ def match_sieve(matches: DataFrame, keys: list[str], x: str, y: str, score: list
     """Of each key the n best matches (largest score first) of each cell of a grid over the range of its own points."""
     ranges = matches.groupBy(*keys).agg(F.min(x).alias("_x0"), (F.max(x) - F.min(x) + 2).alias("_xs"), F.min(y).alias("_y0"), (F.max(y) - F.min(y) + 2).alias("_ys"))
     celled = matches.join(ranges, keys).withColumn("cell_x", cell(F.col(x), F.col("_x0"), F.col("_xs"), columns)).withColumn("cell_y", cell(F.col(y), F.col("_y0"), F.col("_ys"), rows))
+    if n == 1:  # tasks keep each cell's best of their rows before these are shuffled
+        rest = [c for c in matches.columns if c not in keys]
+        best = celled.groupBy(*keys, "cell_x", "cell_y").agg(F.max_by(F.struct(*rest), F.struct(*score)).alias("_b"))
+        return best.select(*(F.col(c) if c in keys else F.col("_b")[c].alias(c) for c in matches.columns), "cell_x", "cell_y")
     once = celled.drop("_x0", "_xs", "_y0", "_ys").dropDuplicates([*keys, "cell_x", "cell_y", *score])
     w = Window.partitionBy(*keys, "cell_x", "cell_y").orderBy(*(F.col(c).desc() for c in score))
     return once.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.operators import estimation, graph, lens, matching, ranking, relations, statistics
+from tessera.operators import estimation, filters, graph, lens, matching, ranking, relations, statistics
 
 POINTS = "cp_id long, img1 int, img2 int, x1 double, y1 double, x2 double, y2 double, mode int"
 
@@ -161,3 +161,12 @@ def test_layers_of_many_projects_with_large_numbers(spark):
             todo, at = [(n, ev) for n, ev in todo if (p, n) not in want], at + 1
     got = estimation.greedy_layers(spark.createDataFrame(rows, "project_id int, img_nr long, ev double")).collect()
     assert {(r.project_id, r.img_nr): r.layer for r in got} == want and len(got) == len(rows)
+
+
+def test_match_sieve_keeps_the_best_before_the_shuffle(spark):
+    """A cell's best match alone needs no window over all of its rows; missing scores come last."""
+    rows = [(1, 0.0, 0.0, 1.0, "a"), (1, 0.1, 0.0, 2.0, "b"), (1, 9.0, 9.0, None, "c"), (2, 5.0, 5.0, None, "d"), (2, 5.0, 5.0, -1.0, "e")]
+    found = filters.match_sieve(spark.createDataFrame(rows, "k int, x double, y double, s double, name string"), ["k"], "x", "y", ["s"])
+    assert found.columns == ["k", "x", "y", "s", "name", "cell_x", "cell_y"]
+    assert sorted(r.name for r in found.collect()) == ["b", "c", "e"]
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from . import forest
 
+#: Rows of a block that meet the other block at once, which bounds the matrices of distances.
+ROWS = 512
+
 
 def banded_pairs(images: DataFrame, key: str, width: int) -> DataFrame:
     """a, b with a < b <= a + width. Each image looks for its successors by an equality join, not by comparing all."""
@@ -35,25 +38,26 @@ def two_nearest(queries: DataFrame, targets: DataFrame, block: int = 4096) -> Da
     q = queries.select("id", "v", part(n_queries, "i"), every(n_targets, "j"))
     t = targets.select("id", "v", part(n_targets, "j"), every(n_queries, "i"))
 
+    def best_two(a: np.ndarray, b: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        # one matrix product gives distances up to rounding; those that may be among the two least are computed exactly
+        squares = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :]
+        about = squares - 2 * (a @ b.T)
+        second = np.partition(about, min(1, len(b) - 1), axis=1)[:, min(1, len(b) - 1)]
+        rows, columns = np.nonzero(about <= (second + 1e-9 * squares.max(axis=1))[:, None])
+        d = ((a[rows] - b[columns]) ** 2).sum(axis=1)
+        sorted_ = np.lexsort((columns, d, rows))
+        rows, columns, d = rows[sorted_], columns[sorted_], d[sorted_]
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < 2
+        return rows[keep] + first, columns[keep], d[keep]
+
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, a = _vectors(left)
         other, b = _vectors(right)
         order = np.argsort(other, kind="stable")
         other, b = other[order], b[order]
-        if len(ids) and len(other):
-            # one matrix product gives distances up to rounding; those that may be among the two least are computed exactly
-            squares = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :]
-            about = squares - 2 * (a @ b.T)
-            second = np.partition(about, min(1, len(other) - 1), axis=1)[:, min(1, len(other) - 1)]
-            rows, columns = np.nonzero(about <= (second + 1e-9 * squares.max(axis=1))[:, None])
-            d = ((a[rows] - b[columns]) ** 2).sum(axis=1)
-            sorted_ = np.lexsort((columns, d, rows))
-            rows, columns, d = rows[sorted_], columns[sorted_], d[sorted_]
-            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-            keep = place < 2
-            rows, columns, d = rows[keep], columns[keep], d[keep]
-        else:
-            rows, columns, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        none = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        found = [best_two(a[k : k + ROWS], b, k) for k in range(0, len(ids), ROWS)] if len(other) else none
+        rows, columns, d = (np.concatenate(x) for x in zip(*(found or none), strict=True))
         return pa.table({"q": pa.array(ids[rows], pa.int64()), "t": pa.array(other[columns], pa.int64()), "d": pa.array(d, pa.float64())})
 
     near = q.groupBy("i", "j").cogroup(t.groupBy("i", "j")).applyInArrow(nearest, "q long, t long, d double")

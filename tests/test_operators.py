@@ -170,3 +170,14 @@ def test_match_sieve_keeps_the_best_before_the_shuffle(spark):
     assert found.columns == ["k", "x", "y", "s", "name", "cell_x", "cell_y"]
     assert sorted(r.name for r in found.collect()) == ["b", "c", "e"]
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_two_nearest_over_parts_of_a_block(spark):
+    """A block's rows meet the other block in parts of ``ROWS``; none is missed and numbers stay those of the whole block."""
+    x = [((k * 37) % 101 / 7.0, (k * 53) % 97 / 5.0) for k in range(1300)]
+    assert 1200 > 2 * matching.ROWS
+    rows = spark.createDataFrame([(k, list(v)) for k, v in enumerate(x)], "id long, v array<double>")
+    got = {r.q: (r.t, r.d1) for r in matching.two_nearest(rows.filter("id < 1200"), rows.filter("id >= 1200")).collect()}
+    apart = lambda q, t: sum((a - b) ** 2 for a, b in zip(x[q], x[t], strict=True))
+    want = {q: min((apart(q, t), t) for t in range(1200, 1300)) for q in range(1200)}
+    assert len(got) == 1200 and all(abs(got[q][1] - want[q][0]) < 1e-9 for q in want)

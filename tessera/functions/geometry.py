@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scalar import once
@@ -444,6 +444,23 @@ def panorama_to_image(p: Point, image: dict[str, Column], hfov: float, width: fl
     )
 
 
+def with_image_places(df: DataFrame, x: str, y: str, image: dict[str, Column], hfov: float, width: float, kind: int = 4) -> DataFrame:
+    """df with columns x and y, a point of the panorama, as :func:`panorama_to_image` gives it. Each step's numbers are columns, which Spark computes once a row by
+    compiled code; functions nested in an expression are interpreted, and once for each use of their result."""
+    d = _distance(image["projection"], image["hfov"], image["width"])
+    to = _distance(F.lit(kind), F.lit(float(hfov)), F.lit(float(width)))
+    x_, y_, z_ = f"_{x}_x", f"_{x}_y", f"_{x}_z"
+    u, v, w = F.col(x_), F.col(y_), F.col(z_)
+    turn = lambda angle, p, q: (p * F.cos(angle) - q * F.sin(angle), p * F.sin(angle) + q * F.cos(angle))
+    here = TO_ERECT[kind](to)((F.col(x), F.col(y)))
+    df = df.withColumns({x_: here[0] / to, y_: here[1] / to})
+    df = df.withColumns({x_: F.sin(u) * F.cos(v), y_: F.sin(v), z_: F.cos(u) * F.cos(v)})
+    for c, (one, other) in (("yaw", (z_, x_)), ("pitch", (y_, z_)), ("roll", (x_, y_))):
+        df = df.withColumns(dict(zip((one, other), turn(-F.radians(image[c]), F.col(one), F.col(other)), strict=True)))
+    df = df.withColumns({x_: to * F.atan2(u, w), y_: to * F.atan2(v, F.sqrt(u * u + w * w))}).withColumns({x_: u / to * d, y_: v / to * d})
+    return df.withColumns(dict(zip((x, y), _of_kind(image["projection"], FROM_ERECT, d, (u, v)), strict=True))).drop(x_, y_, z_)
+
+
 def homography(h: tuple[float, ...]) -> Transform:
     """Nine coefficients, by rows; null where the point goes to infinity."""
 

@@ -41,6 +41,8 @@ PACK, HELD, ALONE = 4096, 200_000, 256
 ROWS = 4096
 #: Values of up to this many items go to every task; beyond it packs are shuffled to them.
 FEW_ITEMS = 50_000
+#: A data column of this name says how many observations a row stands for.
+STANDS_FOR = "_stands_for"
 #: Items, and entries of all groups' normal equations, up to which the driver makes the steps.
 LOCAL_ITEMS, LOCAL_ENTRIES = 5_000, 50_000
 
@@ -166,6 +168,8 @@ def _normal(rows: DataFrame, of: Residuals, names: list[str], kind: str, items:
             j, starts = j.transpose(2, 1, 0), np.cumsum(sizes) - sizes
             add = lambda x: np.add.reduceat(x, starts, axis=0)
             jj, jr, rr = add(np.einsum("nra,nrb->nab", j, j)), add(np.einsum("nra,nr->na", j, r)), add((r * r).sum(axis=1))
+        if STANDS_FOR in columns:
+            sizes = np.add.reduceat(columns[STANDS_FOR], np.cumsum(sizes) - sizes)
         numbers = number[:, used]
         a, b = np.broadcast_to(numbers[:, :, None], jj.shape), np.broadcast_to(numbers[:, None, :], jj.shape)
         both, some = (a >= 0) & (b >= 0), numbers >= 0

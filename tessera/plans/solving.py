@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import forest, geometric, kmeans_tree, least_squares, lines, photometric, raster, seams
-from ..session import cut
+from ..session import cut, spread
 from .queries import query, table
 
 # ---- photometric fits
@@ -131,7 +131,7 @@ def _ring(spark: SparkSession, planted: bool) -> DataFrame:
 
 def _ring_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A line item is a direction between the images i and i + 1 of its project, and what both see of it. ``wrong``: every fortieth is moved in its second image, to either side by turns."""
-    t = table(spark, sf_dir, "lineitem")
+    t = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount"))
     i = (F.col("l_orderkey") % _RING).cast("int")
     rows = t.select(
         (F.col("l_suppkey") % 3).cast("int").alias("group"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), i.alias("i"), ((i + 1) % _RING).alias("j"),
@@ -141,9 +141,9 @@ def _ring_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = {"projection": F.lit(0), "hfov": F.lit(80.0), "width": F.lit(1000.0)}
     for k, end in ((1, "i"), (2, "j")):
         of = images.select("group", F.col("img").alias(end), F.col("y").alias(f"_y{k}"), F.col("p").alias(f"_p{k}"), F.col("r").alias(f"_r{k}"))
-        place = G.panorama_to_image(((F.col("lon") + 540) % 360 - 180, F.col("lat")), known | {"yaw": F.col(f"_y{k}"), "pitch": F.col(f"_p{k}"), "roll": F.col(f"_r{k}")}, 360.0, 360.0)
         rows = rows.join(F.broadcast(of), ["group", end])  # 24 images
-        rows = rows.withColumns({f"x{k}": place[0], f"y{k}": place[1]})
+        rows = rows.withColumns({f"x{k}": (F.col("lon") + 540) % 360 - 180, f"y{k}": F.col("lat")})
+        rows = G.with_image_places(rows, f"x{k}", f"y{k}", known | {"yaw": F.col(f"_y{k}"), "pitch": F.col(f"_p{k}"), "roll": F.col(f"_r{k}")}, 360.0, 360.0)
     return rows.select("group", "id", "i", "j", "x1", "y1", F.when(F.col("wrong"), F.col("x2") + F.col("by")).otherwise(F.col("x2")).alias("x2"), "y2", F.lit(0).alias("mode"), "wrong")
 
 

@@ -325,3 +325,24 @@ def test_a_round_over_few_items_is_one_query(spark, monkeypatch):
     assert here.keys() == there.keys() and all(abs(here[k] - there[k]) < 1e-8 for k in here)
     assert rounds.keys() == rounds_there.keys()
     assert jobs <= 3 * max(rounds.values()) + 20
+
+
+def test_points_of_two_images_are_reduced_to_six_rows(spark):
+    """However many points two images share, a round of the fit reads six rows; their sums of squares are the points' own, wherever the cameras are turned to."""
+    rng = np.random.default_rng(9)
+    rows = [("g", int(i), int(i) + 1, *(float(c) for c in rng.uniform(-400, 400, 4)), 0) for i in rng.integers(0, 2, 5000)]
+    rows += [("g", 2, 9, 1.0, 2.0, 3.0, 4.0, 0)]  # there is no image 9
+    points = spark.createDataFrame(rows, "group string, i int, j int, x1 double, y1 double, x2 double, y2 double, mode int").repartition(7)
+    images = spark.createDataFrame([("g", k, 1000.0, 800.0, k % 2, 10.0 * k, 0.0, 0.0, 60.0 + k) for k in range(3)], "group string, img int, width double, height double, projection int, y double, p double, r double, v double")
+    got = {(r.i, r.j): r for r in geometric.reduced(points, images).collect()}
+    assert sorted(got) == [(0, 1), (1, 2), (2, 9)] and got[2, 9]["_data"] is None and got[2, 9]["_count"] == 1
+    for i in (0, 1):
+        mine = np.array([r[3:7] for r in rows if r[1] == i])
+        r = got[i, i + 1]
+        assert r["_n"] == 6 and r["_count"] == len(mine)
+        few = dict(zip(geometric.REDUCED, np.frombuffer(r["_data"]).reshape(7, 6), strict=True))
+        many = dict(zip(("x1", "y1", "x2", "y2"), mine.T, strict=True)) | {"mode": np.zeros(len(mine))}
+        for turn in rng.uniform(-90, 90, (5, 2, 3)):
+            p, q = (np.array([[*t, 60.0 + k, 0, 0, 0, 0, 0, 1000, 800, k % 2]]) for t, k in zip(turn, (i, i + 1), strict=True))
+            assert (geometric.ray_residuals(p, q, few) ** 2).sum() == pytest.approx((geometric.residuals(p, q, many) ** 2).sum(), rel=1e-12)
+        assert few[geometric.STANDS_FOR].sum() == len(mine)

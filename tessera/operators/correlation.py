@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,6 +13,8 @@ from . import tiles
 
 #: Fixed value: the weight of the squared trace in a corner's response.
 TRACE_WEIGHT = 0.04
+#: Numbers of the places of squares that are correlated at once.
+HELD = 1_000_000
 
 
 def _gauss(scale: float, order: int) -> np.ndarray:
@@ -69,39 +73,51 @@ def corners(pixels: DataFrame, cell: int, scale: float, most: int) -> DataFrame:
     return cells.groupBy("img", "cx", "cy").applyInArrow(one, f"img {kind}, cx long, cy long, x long, y long, response double, rank int")
 
 
+def _places(wide: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of rectangles, row by row: the rectangle, and the place's row and column in it."""
+    sizes = wide * high
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return of, at // wide[of], at % wide[of]
+
+
 def _pieces(pixels: DataFrame, wanted: DataFrame, radius: int, tile: int) -> DataFrame:
     """wanted (img, x, y, id) with part: the values of the pixels within radius that one tile holds (row by row), and where they begin."""
 
     def answer(values: np.ndarray, left: int, top: int, rows: pa.Table) -> pa.Array:
-        out = []
-        for x, y in zip(tiles.numbers(rows, "x", np.int64), tiles.numbers(rows, "y", np.int64), strict=True):
-            a, b = max(x - radius - left, 0), max(y - radius - top, 0)
-            piece = values[b : y + radius + 1 - top, a : x + radius + 1 - left]
-            out.append({"dx": a + left - x + radius, "dy": b + top - y + radius, "w": piece.shape[1], "v": piece.ravel()})
-        return pa.array(out, pa.struct([("dx", pa.int64()), ("dy", pa.int64()), ("w", pa.int64()), ("v", pa.list_(pa.float64()))]))
+        x, y = tiles.numbers(rows, "x", np.int64) - left, tiles.numbers(rows, "y", np.int64) - top
+        a, b = np.maximum(x - radius, 0), np.maximum(y - radius, 0)
+        wide, high = np.minimum(x + radius + 1, tile) - a, np.minimum(y + radius + 1, tile) - b
+        row, j, i = _places(wide, high)
+        ends = np.concatenate([[0], np.cumsum(wide * high)])
+        v = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[b[row] + j, a[row] + i]))
+        return pa.StructArray.from_arrays([pa.array(a - x + radius), pa.array(b - y + radius), pa.array(wide), v], ["dx", "dy", "w", "v"])
 
     return tiles.asking(pixels, wanted, F.lit(radius), answer, "struct<dx:bigint,dy:bigint,w:bigint,v:array<double>>", tile)
 
 
-def coefficients(template: np.ndarray, window: np.ndarray) -> np.ndarray:
-    """Normalised cross-correlation of a template with each place of a window that it fits in; NaN where a place isn't whole (NaN in the
-    window), 0 where either doesn't vary."""
-    k = template - template.mean()
-    norm = (k * k).sum()
-    out = np.zeros((window.shape[0] - k.shape[0] + 1, window.shape[1] - k.shape[1] + 1))
-    for j in range(len(out)):  # a row of places at a time
-        places = np.lib.stride_tricks.sliding_window_view(window[j : j + k.shape[0]], k.shape)[0].reshape(out.shape[1], -1)
-        less = places - places.mean(axis=1, keepdims=True)
-        size = norm * (less * less).sum(axis=1)
+def coefficients(templates: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Normalised cross-correlation of templates, each with each place of its window that it fits in (template, row, column; one without the first axis, too); NaN where a place
+    isn't whole (NaN in the window), 0 where either doesn't vary."""
+    if templates.ndim == 2:
+        return coefficients(templates[None], windows[None])[0]
+    n, high, wide = templates.shape
+    k = (templates - templates.mean(axis=(1, 2), keepdims=True)).reshape(n, -1)
+    norm = (k * k).sum(axis=1)
+    out = np.zeros((n, windows.shape[1] - high + 1, windows.shape[2] - wide + 1))
+    for j in range(out.shape[1]):  # a row of places at a time
+        places = np.lib.stride_tricks.sliding_window_view(windows[:, j : j + high], wide, axis=2).transpose(0, 2, 1, 3).reshape(n, out.shape[2], -1)
+        less = places - places.mean(axis=2, keepdims=True)
+        size = norm[:, None] * (less * less).sum(axis=2)
         with np.errstate(invalid="ignore"):
-            out[j] = np.where(np.isnan(size), np.nan, np.where(size > 0, less @ k.ravel() / np.sqrt(np.where(size > 0, size, 1)), 0.0))
+            out[:, j] = np.where(np.isnan(size), np.nan, np.where(size > 0, np.einsum("npk,nk->np", less, k) / np.sqrt(np.where(size > 0, size, 1)), 0.0))
     return out
 
 
-def _peak(before: float, at: float, after: float) -> tuple[float, float, float]:
+def _peak(before: np.ndarray, at: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Place and value of the extremum of the parabola through three values, and its second derivative."""
     c, b = (before + after) / 2 - at, (after - before) / 2
-    x = 0.0 if c == 0 else -b / (2 * c)
+    x = np.where(c == 0, 0.0, -b / np.where(c == 0, 1.0, 2 * c))
     return x, c * x * x + b * x + at, 2 * c
 
 
@@ -111,8 +127,8 @@ def located(pixels: DataFrame, wanted: DataFrame, half: int, search: int, tile:
 
     wanted: img, id, x, y, to, near_x, near_y (whole numbers; a row with a null takes no part). best_x, best_y and best are the whole place and its coefficient (of equal ones the first by
     y, then x); x2, y2 and corr those of parabolas through it and its neighbours, which are the same as best if a neighbour is missing or the parabola's extremum is over one away (corr is the parabolas'
-    then, too, but without neighbours best). A square that isn't wholly in the image has no row, and nor has one that fits nowhere. Pixels within an image that aren't there count as zero. What a task
-    holds at once is one row's square and search window; the tiles give each row no more than these.
+    then, too, but without neighbours best). A square that isn't wholly in the image has no row, and nor has one that fits nowhere. Pixels within an image that aren't there count as zero. A task
+    correlates the rows of a batch together, as many at once as have ``HELD`` numbers; the tiles give each row no more than its square and search window.
     """
     columns = ["img", "id", "x", "y", "to", "near_x", "near_y"]
     asked = wanted.select(*columns).dropna()
@@ -125,37 +141,45 @@ def located(pixels: DataFrame, wanted: DataFrame, half: int, search: int, tile:
     squares = _pieces(pixels, asked.select("img", "x", "y", key), half, tile)
     windows = _pieces(pixels, asked.select(F.col("to").alias("img"), F.col("near_x").alias("x"), F.col("near_y").alias("y"), key), far, tile)
     both = squares.select("id.*", "part", F.lit(False).alias("there")).unionByName(windows.select("id.*", "part", F.lit(True).alias("there")))
-
-    def put(parts: list[dict], radius: int) -> np.ndarray:
-        out = np.zeros((2 * radius + 1, 2 * radius + 1))
-        for p in parts:
-            v = np.array(p["v"]).reshape(-1, p["w"])
-            out[p["dy"] : p["dy"] + v.shape[0], p["dx"] : p["dx"] + v.shape[1]] = v
+    whole = both.groupBy(*columns, "w", "h").agg(*(F.collect_list(F.when(side, F.col("part"))).alias(name) for name, side in (("_square", ~F.col("there")), ("_window", F.col("there")))))
+
+    def put(pieces: pa.ListArray, radius: int) -> np.ndarray:
+        """Squares of that half width, a row's pieces put together."""
+        of = np.repeat(np.arange(len(pieces)), np.asarray(pieces.value_lengths(), np.int64))
+        parts = pieces.flatten()
+        dx, dy, wide, sizes = (np.asarray(c, np.int64) for c in (*(parts.field(c) for c in ("dx", "dy", "w")), parts.field("v").value_lengths()))
+        piece, j, i = _places(wide, sizes // wide)
+        out = np.zeros((len(pieces), 2 * radius + 1, 2 * radius + 1))
+        out[of[piece], dy[piece] + j, dx[piece] + i] = np.asarray(parts.field("v").flatten(), np.float64)
         return out
 
-    def one(t: pa.Table) -> pa.Table:
-        head = {c: t.column(c)[0].as_py() for c in (*columns, "w", "h")}
-        parts, there = t.column("part").to_pylist(), t.column("there").to_pylist()
-        square, window = (put([p for p, q in zip(parts, there, strict=True) if q == side], r) for side, r in ((False, half), (True, far)))
-        x, y = head["near_x"] + np.arange(-far, far + 1), head["near_y"] + np.arange(-far, far + 1)
-        window[(y < 0) | (y >= head["h"])] = np.nan
-        window[:, (x < 0) | (x >= head["w"])] = np.nan
-        r = coefficients(square, window)
-        out = []
-        if not np.isnan(r).all():
-            j, i = np.unravel_index(np.nanargmax(r), r.shape)
-            best = float(r[j, i])
-            bx, by = int(head["near_x"] + i - search), int(head["near_y"] + j - search)
-            row = [float(bx), float(by), best, bx, by, best, None, None]
-            if 0 < j < 2 * search and 0 < i < 2 * search and not np.isnan(r[[j, j, j - 1, j + 1], [i - 1, i + 1, i, i]]).any():
-                (dx, vx, cx), (dy, vy, cy) = _peak(*r[j, i - 1 : i + 2].tolist()), _peak(*r[j - 1 : j + 2, i].tolist())
-                near = abs(dx) <= 1 and abs(dy) <= 1
-                row = [bx + dx * near, by + dy * near, (vx + vy) / 2, bx, by, best, cx, cy]
-            out.append(row)
-        values = list(zip(*out, strict=True)) or [()] * 8
-        names = [("x2", pa.float64()), ("y2", pa.float64()), ("corr", pa.float64()), ("best_x", pa.int64()), ("best_y", pa.int64()), ("best", pa.float64()), ("bend_x", pa.float64()), ("bend_y", pa.float64())]
-        known = {c: pa.array([head[c]] * len(out), t.schema.field(c).type) for c in ("img", "id", "to")}
-        return pa.table({**known, **{c: pa.array(v, k) for (c, k), v in zip(names, values, strict=True)}})
+    def found(batch: pa.RecordBatch) -> pa.RecordBatch:
+        nx, ny, w, h = (np.asarray(batch.column(c), np.int64)[:, None] for c in ("near_x", "near_y", "w", "h"))
+        window, reach, places = put(batch.column("_window"), far), np.arange(-far, far + 1), 2 * search + 1
+        window[(ny + reach < 0) | (ny + reach >= h)] = np.nan
+        window.transpose(0, 2, 1)[(nx + reach < 0) | (nx + reach >= w)] = np.nan
+        r = coefficients(put(batch.column("_square"), half), window)
+        some = np.flatnonzero(~np.isnan(r).all(axis=(1, 2)))
+        r, n = r[some], np.arange(len(some))
+        j, i = np.divmod(np.nanargmax(r.reshape(len(some), -1), axis=1), places) if len(some) else (n, n)
+        around = np.pad(r, ((0, 0), (1, 1), (1, 1)), constant_values=np.nan)  # a place beyond the search has no value either
+        best = r[n, j, i]
+        bx, by = nx[some, 0] + i - search, ny[some, 0] + j - search
+        with np.errstate(invalid="ignore"):
+            (dx, vx, cx), (dy, vy, cy) = _peak(around[n, j + 1, i], best, around[n, j + 1, i + 2]), _peak(around[n, j, i + 1], best, around[n, j + 2, i + 1])
+            inner = ~np.isnan(cx + cy)
+            near = inner & (np.abs(dx) <= 1) & (np.abs(dy) <= 1)
+        double = lambda x, missing=None: pa.array(x, pa.float64(), mask=missing)
+        x2, y2, corr = bx + np.where(near, dx, 0.0), by + np.where(near, dy, 0.0), np.where(inner, (vx + vy) / 2, best)
+        values = [double(x2), double(y2), double(corr), pa.array(bx), pa.array(by), double(best), double(cx, ~inner), double(cy, ~inner)]
+        rows = pa.array(some)
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("img", "id", "to")), *values], ["img", "id", "to", "x2", "y2", "corr", "best_x", "best_y", "best", "bend_x", "bend_y"])
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, HELD // ((2 * search + 1) * (2 * half + 1) ** 2 + (2 * far + 1) ** 2))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                yield found(batch.slice(at, step))
 
     schema = f"img {kinds['img']}, id {kinds['id']}, to {kinds['to']}, x2 double, y2 double, corr double, best_x long, best_y long, best double, bend_x double, bend_y double"
-    return both.groupBy(*columns, "w", "h").applyInArrow(one, schema)
+    return whole.mapInArrow(every, schema)

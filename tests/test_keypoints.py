@@ -188,3 +188,21 @@ def test_coefficients_equal_numpys():
     for j in range(5):
         for i in range(7):
             assert abs(r[j, i] - np.corrcoef(t.ravel(), w[j : j + 5, i : i + 5].ravel())[0, 1]) < 1e-12
+
+
+def test_squares_are_correlated_together(spark, monkeypatch):
+    """Rows of a batch in one array, and in parts of a few rows, find what each row finds by itself."""
+    rng = np.random.default_rng(4)
+    t, w = rng.integers(0, 9, (6, 3, 5)).astype(float), rng.integers(0, 9, (6, 7, 9)).astype(float)
+    w[2, :2], t[3], w[4] = np.nan, 1.0, 5.0
+    together = correlation.coefficients(t, w)
+    assert together.shape == (6, 5, 5)
+    for a, b, c in zip(t, w, together, strict=True):
+        assert np.array_equal(correlation.coefficients(a, b), c, equal_nan=True)
+    image = rng.integers(0, 50, (40, 45)).astype(float)
+    pixels = spark.createDataFrame([(k, x, y, float(image[y, x])) for k in (0, 1) for y in range(40) for x in range(45)], "img long, x long, y long, v double")
+    asked = spark.createDataFrame([(0, n, int(x), int(y), 1, int(x + dx), int(y + dy)) for n, (x, y, dx, dy) in enumerate(zip(rng.integers(0, 45, 60), rng.integers(0, 40, 60), rng.integers(-2, 3, 60), rng.integers(-2, 3, 60), strict=True))], "img long, id long, x long, y long, to long, near_x long, near_y long").coalesce(1)
+    whole = sorted(correlation.located(pixels, asked, 2, 2, tile=16).collect())
+    assert len(whole) > 30 and all(abs(r.best - 1) < 1e-9 for r in whole if r.best_x is not None and 4 <= r.best_x < 41 and 4 <= r.best_y < 36)
+    monkeypatch.setattr(correlation, "HELD", 500)
+    assert sorted(correlation.located(pixels, asked, 2, 2, tile=16).collect()) == whole

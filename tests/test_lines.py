@@ -49,3 +49,18 @@ def test_edges_keep_what_strong_ones_reach(spark):
         gx = (v[y - 1 : y + 2, x + 1] * [1, 2, 1]).sum() - (v[y - 1 : y + 2, x - 1] * [1, 2, 1]).sum()
         gy = (v[y + 1, x - 1 : x + 2] * [1, 2, 1]).sum() - (v[y - 1, x - 1 : x + 2] * [1, 2, 1]).sum()
         assert abs(g[x, y].gx - gx) < 1e-9 and abs(g[x, y].gy - gy) < 1e-9 and abs(g[x, y].size - math.hypot(gx, gy)) < 1e-9
+
+
+def test_lines_are_followed_through_tiles(spark, monkeypatch):
+    """What pointer jumping ranks are the steps that enter tiles, not all; lines and rings over many tiles come out as in one."""
+    line = [(x, -20 + x // 2) for x in range(150)] + [(150 + k, 54 - k) for k in range(60)]
+    side = 40
+    ring = [(300 + k, 0) for k in range(side)] + [(300 + side, k + 1) for k in range(side)] + [(300 + side - k - 1, side + 1) for k in range(side)] + [(299, side - k) for k in range(side)]
+    pixels = frame(spark, [*line, *ring, (8, 90), (7, 91)])
+    want = got(lines.lines(pixels, tile=4096))
+    assert [len(v) for v in sorted(want.values(), key=len)] == [2, len(line)]
+    ranked = []
+    monkeypatch.setattr(lines, "cut", lambda df, cut=lines.cut: ranked.append(cut(df)) or ranked[-1])
+    assert got(lines.lines(pixels, tile=8)) == want
+    jumped = [df.count() for df in ranked if "next" in df.columns]
+    assert jumped and max(jumped) < len(line) + len(ring)  # of two steps a pixel

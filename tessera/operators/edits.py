@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .graph import components
 from .ranking import row_numbers
 from .relations import add_missing_masks, distinct_points, merge_by_name
@@ -176,7 +177,7 @@ def merge_projects(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict
     lines = renumbered(new["points"], number, *ENDS).crossJoin(F.broadcast(last))
     mode = F.when(F.col("mode") > 2, F.col("mode") + F.col("_last") - 2).otherwise(F.col("mode")).cast(dict(old["points"].dtypes)["mode"])
     lines = lines.withColumn("mode", mode).withColumn("cp_id", F.col("cp_id") + F.col("_id") + 1).select(*old["points"].columns)
-    points = distinct_points(old["points"].unionByName(lines))
+    points = distinct_points(cut(old["points"].unionByName(lines)))  # they are grouped and looked up: made once
     links = old["links"].unionByName(renumbered(new["links"], number, "img_nr", "anchor").select(*old["links"].columns))
     return {"images": old["images"].unionByName(fresh), "points": points, "masks": masks, "links": normal_links(links)}
 

@@ -20,9 +20,17 @@ def mirrored(points: DataFrame, image: int) -> DataFrame:
     return points.filter((F.col("img1") == image) | (F.col("img2") == image)).select(*columns)
 
 
+def printed(x: Column, digits: int) -> Column:
+    """x as printed to so many significant digits; zero and whole numbers of fewer digits, which most coordinates may be, are put together without the slow formatter."""
+    whole = (x == F.floor(x)) & F.abs(x).between(1, 10 ** (digits - 1) - 1)
+    short = F.rpad(F.concat(x.cast("long").cast("string"), F.lit(".")), F.when(x < 0, digits + 2).otherwise(digits + 1), "0")
+    zero = x.cast("string") == "0.0"  # not -0.0
+    return F.when(whole, short).when(zero, F.lit("0." + "0" * (digits - 1))).otherwise(F.format_string(f"%.{digits}g", x))
+
+
 def distinct_points(points: DataFrame, digits: int = 6) -> DataFrame:
     """The first (by cp_id) of control points equal in mode and ordered ends, coordinates as printed to so many significant digits."""
-    text = lambda c: F.format_string(f"%.{digits}g", F.col(c))
+    text = lambda c: printed(F.col(c), digits)
     turn = F.col("img1") > F.col("img2")
     end1, end2 = (F.concat_ws(",", F.col(f"img{k}").cast("string"), text(f"x{k}"), text(f"y{k}")) for k in (1, 2))
     key = F.concat_ws(";", F.col("mode").cast("string"), F.when(turn, end2).otherwise(end1), F.when(turn, end1).otherwise(end2))

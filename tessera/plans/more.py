@@ -9,7 +9,7 @@ from ..functions import geometry as G
 from ..functions import photometry as P
 from ..functions import scalar as S
 from ..operators import coverage, edits, estimation, filters, graph, lens, ranking, relations, statistics
-from ..session import spread
+from ..session import cut, spread
 from .queries import _PIXELS, _pixels, query, table
 
 # ---- lens look-ups
@@ -237,6 +237,7 @@ def merge_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "lineitem").select(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate").alias("o"), F.col("l_partkey").alias("img1"), F.col("l_suppkey").alias("img2"), (n - 1).alias("mode"), n.cast("double").alias("x1"), F.lit(0.0).alias("y1"), (n + 1.0).alias("x2"), F.lit(0.0).alias("y2"))
     t = ranking.row_numbers(t.select("o.*", "img1", "img2", "mode", "x1", "y1", "x2", "y2"), "cp_id", ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate"])
     names = ["cp_id", "img1", "img2", "x1", "y1", "x2", "y2", "mode"]
+    t = cut(t.select(*names))  # both projects read them, each more than once
 
     def project(images: DataFrame) -> dict[str, DataFrame]:
         none = lambda kind: spark.createDataFrame([], kind)

@@ -181,3 +181,31 @@ def test_two_nearest_over_parts_of_a_block(spark):
     apart = lambda q, t: sum((a - b) ** 2 for a, b in zip(x[q], x[t], strict=True))
     want = {q: min((apart(q, t), t) for t in range(1200, 1300)) for q in range(1200)}
     assert len(got) == 1200 and all(abs(got[q][1] - want[q][0]) < 1e-9 for q in want)
+
+
+def test_printed_numbers_equal_the_formatter(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import edits, relations
+
+    values = [0.0, -0.0, 1.0, -3.0, 12.0, 99999.0, 100000.0, -99999.0, 1e6, 1234567.0, 0.5, 12.0000001, -7.25, 1e-9, 1e300, float("nan"), float("inf"), None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = df.select("x", relations.printed(F.col("x"), 6).alias("a"), F.format_string("%.6g", "x").alias("b")).collect()
+    assert all(r.a == r.b for r in got)
+    # the merged points' plan reads what was made once, instead of making both projects' points for each use
+    points = spark.createDataFrame([(k, 1, 2, float(k % 3), 0.0, 1.0, 0.0, 0) for k in range(9)], "cp_id long, img1 long, img2 long, x1 double, y1 double, x2 double, y2 double, mode int")
+    part = {"images": spark.createDataFrame([(1, "a"), (2, "b")], "img_nr long, filename string"), "points": points, "masks": spark.createDataFrame([], "img_nr long, mask_type int, poly array<struct<x: double, y: double>>"), "links": spark.createDataFrame([], "var string, img_nr long, anchor long")}
+    merged = edits.merge_projects(part, part)["points"]
+    assert merged.count() == 3 and all("tessera-cut" in f for f in merged.inputFiles())
+
+
+def test_small_groups_are_solved_together(spark):
+    """Groups of few rows are no Python call each, and a line's distances are a column."""
+    from tessera.operators import estimation
+
+    rows = [(k, float(x), 2.0 * x + k + (40.0 if x % 5 == 0 else 0.0)) for k in range(50) for x in range(20)]
+    found = estimation.ransac_line(spark.createDataFrame(rows, "k long, x double, y double"), ["k"], 1.0)
+    got = {r.k: (round(r.slope, 6), round(r.offset, 6), r.n, r.inliers) for r in found.collect()}
+    assert got == {k: (2.0, float(k), 20, 16) for k in range(50)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "PythonMapInArrow" not in plan

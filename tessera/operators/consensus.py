@@ -12,7 +12,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -106,6 +106,11 @@ class Line:
     def error(self, solutions: np.ndarray, rows: np.ndarray) -> np.ndarray:
         return np.abs(rows[:, 1] - solutions[:, 1:] - solutions[:, :1] * rows[:, 0])
 
+    def error_column(self, solution: Column) -> Column:
+        """:meth:`error` of a row and its own solution (array), without Python."""
+        x, y = (F.col(c).cast("double") for c in self.columns)
+        return F.abs(y - F.get(solution, F.lit(1)) - F.get(solution, F.lit(0)) * x)
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     """Finisher of splitmix64 (fixed constants)."""
@@ -170,7 +175,19 @@ def consensus(rows: DataFrame, keys: list[str], identity: str, model: Model, dis
         some = int(most > 0)
         return pa.table({**of_key(table, some), "solution": pa.array([best.tolist()] * some, pa.list_(pa.float64())), "inliers": pa.array([most] * some, pa.int64()), "n": pa.array([len(x)] * some, pa.int64())})
 
-    small = values.filter(F.col("_n") <= LOCAL).drop("_n").groupBy(*keys).applyInArrow(alone, result)
+    def several(table: pa.Table) -> pa.Table:
+        code = np.zeros(table.num_rows, np.int64)
+        for k in keys:  # numbers of the keys so far, so that codes stay small
+            encoded = table.column(k).combine_chunks().dictionary_encode(null_encoding="encode")
+            code = np.unique(code * len(encoded.dictionary) + np.asarray(encoded.indices, np.int64), return_inverse=True)[1]
+        dealt = table.drop_columns(["_k"]).take(pa.array(np.argsort(code, kind="stable"))).combine_chunks()
+        sizes = np.bincount(code)
+        return pa.concat_tables([alone(dealt.slice(end - n, n)) for end, n in zip(np.cumsum(sizes), sizes, strict=True)])
+
+    # small groups go to Python together, about LOCAL rows at once
+    few = sizes.filter(F.col("_n") <= LOCAL).agg(F.sum("_n")).first()[0] or 0
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(max(1, few // LOCAL)))
+    small = values.filter(F.col("_n") <= LOCAL).drop("_n").withColumn("_k", bucket).groupBy("_k").applyInArrow(several, result)
     if not sizes.filter(F.col("_n") > LOCAL).head(1):
         return small
 
@@ -233,6 +250,9 @@ def consensus(rows: DataFrame, keys: list[str], identity: str, model: Model, dis
 def near(rows: DataFrame, keys: list[str], found: DataFrame, model: Model, distance: float) -> DataFrame:
     """Rows of groups in found (keys, solution) that are nearer than ``distance`` to the group's solution."""
     joined = rows.join(found.select(*keys, F.col("solution").alias("_solution")), keys).select(*rows.columns, "_solution")
+    if hasattr(model, "error_column"):
+        error = model.error_column(F.col("_solution"))
+        return joined.filter((error < distance) & ~F.isnan(error)).select(*rows.columns)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -53,16 +53,23 @@ def vertical_points(lines: DataFrame, key: str, n: int, angle: float = 0.0) -> D
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     length = F.sqrt(dx * dx + dy * dy)
     stats = lines.groupBy(key).agg(F.count("*").alias("_n"), (F.avg("error") + F.stddev_samp("error")).alias("_limit"))
-    known = lines.join(stats, key)
-    many = known.filter("_n > 1 AND error <= _limit")
-    most = many.groupBy(key).agg(F.max("error").alias("_most")).filter("_most > 0")
+    # a table of one row a key is what a join holds: lines stream past it unsorted
+    of = lambda facts: lines.join(facts.hint("shuffle_hash"), key)
+    facts = lambda *more: (*(F.max(c).alias(c) for c in ("_n", "_limit")), *more)
+    lone = F.col("_n") == 1
+    within = ~lone & (F.col("error") <= F.col("_limit"))
+    most = of(stats).groupBy(key).agg(*facts(F.max(F.when(within, F.col("error"))).alias("_most"))).filter(lone | (F.col("_most") > 0))
     merit = F.col("error") / F.col("_most") + 1 - F.least(length, F.lit(500.0)) / 500
-    ranked = many.join(most, key).withColumn("merit", merit)
-    ranked = ranked.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("merit", "x1", "y1", "x2", "y2"))).filter(F.col("_r") <= n)
+    # lines of a key are dealt into slots: n slots hold n lines, so no line over the n-th least of the slots' minima is among the n first
+    slots = 2 * max(n, 1)
+    dealt = of(most).select(key, "_n", "_limit", "_most", F.when(within, merit).alias("merit"), F.pmod(F.xxhash64("x1", "y1", "x2", "y2"), F.lit(slots)).alias("_slot"))
+    least = F.array(*(F.min(F.when(F.col("_slot") == k, F.col("merit"))) for k in range(slots)))
+    bound = dealt.groupBy(key).agg(*facts(F.max("_most").alias("_most"), F.get(F.array_sort(least), F.lit(n - 1)).alias("_bound")))
     lean = F.abs(dx * F.cos(F.lit(angle)) + dy * F.sin(F.lit(angle))) / F.nullif(length, F.lit(0.0))
-    lone = known.filter((F.col("_n") == 1) & (lean < 0.05)).withColumn("merit", F.lit(0.0))
-    columns = [*lines.columns, "merit"]
-    return ranked.select(*columns).unionByName(lone.select(*columns))
+    kept = of(bound).withColumn("merit", F.when(lone, 0.0).otherwise(merit))
+    kept = kept.filter(F.when(lone, lean < 0.05).otherwise(within & F.coalesce(F.col("merit") <= F.col("_bound"), F.lit(True))))
+    order = Window.partitionBy(key).orderBy("merit", "x1", "y1", "x2", "y2")
+    return kept.withColumn("_r", F.row_number().over(order)).filter(lone | (F.col("_r") <= n)).select(*lines.columns, "merit")
 
 
 def plausible(df: DataFrame, mean_error: str, distortion: list[str], vignetting: list[str]) -> DataFrame:

@@ -292,3 +292,37 @@ def test_small_operators_on_nothing(spark):
     assert [r.k for r in filters.vertical_points(lone, "k", 3).collect()] == ["a"]
     a = coverage.lens_assigned(spark.createDataFrame([(0, "A", 2.0, 1.0), (1, "A", 3.0, 2.0), (2, None, 5.0, 5.0)], "n int, m string, r double, b double"), "n", ["m"], "r", "b")
     assert sorted((r.n, r.anchor, r.r, r.b) for r in a.collect()) == [(0, 0, 1.0, 1.0), (1, 0, 1.5, 2.0), (2, 2, 1.0, 1.0)]
+
+
+def test_vertical_points_join_and_rank_without_sorting_all_lines(spark):
+    """Joins with one row a key hold that table and sort no lines; the first n come out as by hand, also with ties, empty values and fewer than n."""
+    rng = random.Random(5)
+    rows = [(k, 0.0, 0.0, rng.choice([0.0, 1.0]), float(rng.randint(0, 700)), rng.choice([0.0, rng.random(), None])) for k in range(12) for _ in range((k * k + 1) % 97)]
+    rows += [(50, 0.0, 0.0, 3.0, 90.0, 0.4)] * 40 + [(51, 0.0, float(i), 0.0, 800.0 + i, 0.5) for i in range(30)] + [(52, 0.0, 0.0, 0.0, 9.0, 0.0)] * 3 + [(53, 0.0, 0.0, None, float(i), float(i)) for i in range(4)]
+    df = spark.createDataFrame(rows, "k long, x1 double, y1 double, x2 double, y2 double, error double").repartition(3)
+    want = []
+    for key in {r[0] for r in rows}:
+        of = [r for r in rows if r[0] == key]
+        errors = np.array([r[5] for r in of if r[5] is not None])
+        if len(of) == 1:
+            want += [(*of[0], 0.0)] if abs(of[0][3]) < 0.05 * math.hypot(of[0][3], of[0][4]) else []
+            continue
+        limit = errors.mean() + errors.std(ddof=1) if len(errors) > 1 else -1
+        kept = [r for r in of if r[5] is not None and r[5] <= limit]
+        most = max((r[5] for r in kept), default=0)
+        length = lambda r: 500.0 if r[3] is None else min(math.hypot(r[3] - r[1], r[4] - r[2]), 500.0)
+        merits = [(*r, r[5] / most + 1 - length(r) / 500) for r in kept] if most > 0 else []
+        want += sorted(merits, key=lambda r: (r[6], *r[1:3], r[3] or 0.0, r[4]))[:4]
+    before = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        found = filters.vertical_points(df, "k", 4)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = [tuple(None if v is None else round(v, 9) for v in r) for r in found.collect()]
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    text = lambda r: tuple(map(str, r))
+    assert sorted(got, key=text) == sorted((tuple(None if v is None else round(v, 9) for v in r) for r in want), key=text) and len(got) > 40
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan

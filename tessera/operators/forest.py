@@ -5,7 +5,7 @@ that trees differ. The tree is a small table; every row of the targets is then s
 query to the leaves that a best-bin-first walk opens first: it goes down the tree keeping the ``beam`` nodes whose cells are nearest, where a cell's
 distance grows by the gap of each split that is crossed. So work is queries times beam times depth for the walk, and
 queries times beam times leaf size for distances: it grows as n log n, as long as leaves keep their size. Leaves that hold many rows (copies can't be
-split) are dealt into blocks, and their queries meet each block. A leaf and its queries are compared by a matrix product.
+split) are dealt into blocks, and their queries meet each block. A leaf and its queries are compared by matrix products of bounded size.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from ..session import cut
 SAMPLE = 100_000
 LEAF_ROWS = 256
 BLOCK = 4096
+#: Numbers of distances, or of differences of vectors, that a worker holds at once.
+HELD = 1 << 18
 #: Rows of the cells that the exact walk opens: a query is sent once a cell, so small ones would copy it to nearly every leaf where dimensions are many.
 CELL_ROWS = 1024
 #: Cells that the walk before it opens, only to learn how far a query has to look.
@@ -143,6 +145,26 @@ def _dealt(rows: DataFrame, trees: list[Tree], beam: int, reach: str | None = No
     return rows.select("id", F.col("v").cast("array<double>").alias("v"), *([reach] if reach else [])).mapInArrow(deal, f"tree int, leaf int, id {kind}, v array<double>")
 
 
+def _least(a: np.ndarray, b: np.ndarray, rank: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Numbers of rows of a, of each one's k nearest rows of b (ties: by rank), and squared distances: some rows of a at a time.
+
+    One matrix product gives distances up to rounding; those that may be among the k least are computed exactly. Where b has copies these may be all,
+    so they are taken in parts, too.
+    """
+    step, part = max(1, HELD // len(b)), max(1, HELD // a.shape[1])
+    last, of_b = min(k, len(b)) - 1, (b * b).sum(axis=1)
+    for at in range(0, len(a), step):
+        x = a[at : at + step]
+        squares = (x * x).sum(axis=1)[:, None] + of_b[None, :]
+        about = squares - 2 * (x @ b.T)
+        rows, columns = np.nonzero(about <= (np.partition(about, last, axis=1)[:, last] + 1e-9 * squares.max(axis=1))[:, None])
+        d = np.concatenate([((x[rows[i : i + part]] - b[columns[i : i + part]]) ** 2).sum(axis=1) for i in range(0, max(len(rows), 1), part)])
+        order = np.lexsort((rank[columns], d, rows))
+        rows, columns, d = rows[order], columns[order], d[order]
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        yield at + rows[keep], columns[keep], d[keep]
+
+
 def _compared(asked: DataFrame, held: DataFrame, k: int) -> DataFrame:
     """q, t, d: each query's k nearest (squared distance, ties: the smaller id) in each block of the leaves it opens."""
     kind = dict(held.dtypes)["id"]
@@ -160,15 +182,8 @@ def _compared(asked: DataFrame, held: DataFrame, k: int) -> DataFrame:
         if not len(ids) or not len(other):
             return pa.table({"q": ids.slice(0, 0), "t": other.slice(0, 0), "d": pa.array([], pa.float64())})
         rank = np.argsort(np.argsort(np.asarray(other)))
-        # one matrix product gives distances up to rounding; those that may be among the k least are computed exactly
-        squares = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :]
-        about, last = squares - 2 * (a @ b.T), min(k, len(other)) - 1
-        rows, columns = np.nonzero(about <= (np.partition(about, last, axis=1)[:, last] + 1e-9 * squares.max(axis=1))[:, None])
-        d = ((a[rows] - b[columns]) ** 2).sum(axis=1)
-        order = np.lexsort((rank[columns], d, rows))
-        rows, columns, d = rows[order], columns[order], d[order]
-        keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
-        return pa.table({"q": ids.take(pa.array(rows[keep])), "t": other.take(pa.array(columns[keep])), "d": pa.array(d[keep], pa.float64())})
+        q, t, d = (np.concatenate(c) for c in zip(*_least(a, b, rank, k), strict=True))
+        return pa.table({"q": ids.take(pa.array(q)), "t": other.take(pa.array(t)), "d": pa.array(d, pa.float64())})
 
     keys = ["tree", "leaf", "block", "part"]
     return to.groupBy(*keys).cogroup(of.groupBy(*keys)).applyInArrow(nearest, f"q {kind}, t {kind}, d double")

@@ -1,17 +1,17 @@
 """Nearest neighbours through a hierarchical k-means tree that is a table.
 
 Each node's rows are split among ``branching`` centroids by Lloyd rounds: rows find their nearest centroid, and centroids become the means of their
-rows, as sums that tasks add up before they are shuffled. All nodes of a level are split together, until a node has at most ``leaf`` rows. A search goes
-down level by level with the ``beam`` nodes of least score: the squared distance to the centroid less ``border`` times the node's variance, so that wide
+rows, as sums that tasks add up before they are shuffled, in the same step: rows go to Python once a round and don't come back. All nodes of a level are
+split together, until a node has at most ``leaf`` rows. A search goes down level by level with the ``beam`` nodes of least score: the squared distance to the centroid less ``border`` times the node's variance, so that wide
 nodes are opened from further off. Rows of the leaves that it ends in are compared.
 
 Rows meet centroids in their tasks: centroids are sent in blocks of at most ``SENT`` numbers, and a level with more nodes takes more passes, each over
-the rows of its own nodes only.
+the rows of its own nodes only. A worker holds a batch of rows, a block of centroids with its sums, and differences of at most ``forest.HELD`` numbers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .forest import _compared, _matrix
+from .forest import HELD, _compared, _matrix
 
 BRANCHING, LEAF, ROUNDS = 16, 256, 11
 BEAM, BORDER = 8, 0.4
@@ -28,67 +28,102 @@ BEAM, BORDER = 8, 0.4
 SENT = 4_000_000
 
 
-def _met(rows: DataFrame, centroids: DataFrame, every: bool, border: float = 0.0) -> DataFrame:
-    """id, v, node (a child of the row's node), score: of each child if ``every``, else of the nearest (ties: the first).
-
-    rows: id, v, node; centroids: parent, node, c, variance. Rows of nodes without children are left out.
-    """
+def _passes(rows: DataFrame, centroids: DataFrame, meet: Callable[[dict, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """meet over id, v, node of the rows, with the children (names, centroids, variances) of each parent of a block of nodes; a pass a block."""
     spark = rows.sparkSession
     size = centroids.agg(F.count("*").alias("n"), F.max(F.size("c")).alias("dims")).first()
     blocks = max(1, -(-size.n * (size.dims or 1) // SENT))
-    kind = dict(rows.dtypes)["id"]
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
 
     def pass_over(number: int) -> DataFrame:
         some = centroids.filter(block("parent") == number).orderBy("parent", "node").toPandas()
         children = {p: (g["node"].to_numpy(np.int64), np.stack([np.asarray(c, np.float64) for c in g["c"]]), g["variance"].to_numpy(np.float64)) for p, g in some.groupby("parent")}
         shared = spark.sparkContext.broadcast(children)
-
-        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for at in range(0, whole.num_rows, 2048):
-                    batch = whole.slice(at, 2048)
-                    x, node = _matrix(batch.column(1)), np.asarray(batch.column(2), np.int64)
-                    take, to, score = [], [], []
-                    for n in np.unique(node):
-                        if n not in shared.value:
-                            continue
-                        r = np.flatnonzero(node == n)
-                        names, c, variance = shared.value[n]
-                        d = ((x[r, None, :] - c[None]) ** 2).sum(axis=2) - border * variance
-                        if every:
-                            take.append(np.repeat(r, len(names)))
-                            to.append(np.tile(names, len(r)))
-                            score.append(d.ravel())
-                        else:
-                            best = d.argmin(axis=1)
-                            take.append(r)
-                            to.append(names[best])
-                            score.append(d[np.arange(len(r)), best])
-                    if take:
-                        rows_ = pa.array(np.concatenate(take))
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows_), batch.column(1).take(rows_), pa.array(np.concatenate(to), pa.int64()), pa.array(np.concatenate(score), pa.float64())], ["id", "v", "node", "score"])
-
-        return rows.filter(block("node") == number).select("id", "v", "node").mapInArrow(meet, f"id {kind}, v array<double>, node long, score double")
+        return rows.filter(block("node") == number).select("id", "v", "node").mapInArrow(lambda batches: meet(shared.value, batches), schema)
 
     return reduce(DataFrame.unionByName, [pass_over(b) for b in range(blocks)])
 
 
-def _means(rows: DataFrame) -> DataFrame:
-    """node, c, variance, n: the mean vector of each node's rows, their mean squared distance from it, and how many they are. rows: node, v."""
+def _scores(x: np.ndarray, node: np.ndarray, children: dict, border: float = 0.0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Numbers of rows, names of their node's children, and scores (rows by children); at most HELD differences at once."""
+    order = np.argsort(node, kind="stable")
+    names, starts = np.unique(node[order], return_index=True)
+    for n, rows in zip(names, np.split(order, starts[1:]), strict=True):
+        if n not in children:
+            continue
+        to, c, variance = children[n]
+        step = max(1, HELD // max(c.size, 1))
+        for at in range(0, len(rows), step):
+            r = rows[at : at + step]
+            apart = x[r, None, :] - c[None]
+            yield r, to, np.multiply(apart, apart, out=apart).sum(axis=2) - border * variance
+
+
+def _met(rows: DataFrame, centroids: DataFrame, every: bool, border: float = 0.0) -> DataFrame:
+    """id, v, node (a child of the row's node), score: of each child if ``every``, else of the nearest (ties: the first).
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: id, v, node; centroids: parent, node, c, variance. Rows of nodes without children are left out.
+    """
+    kind = dict(rows.dtypes)["id"]
+
+    def met(batch: pa.RecordBatch, found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        take, to, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take)), batch.column(1).take(pa.array(take)), pa.array(to, pa.int64()), pa.array(score, pa.float64())], ["id", "v", "node", "score"])
+
+    def meet(children: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                x, node = _matrix(batch.column(1)), np.asarray(batch.column(2), np.int64)
+                found, held = [], 0
+                for r, names, d in _scores(x, node, children, border):
+                    if every:
+                        found.append((np.repeat(r, len(names)), np.tile(names, len(r)), d.ravel()))
+                    else:
+                        best = d.argmin(axis=1)
+                        found.append((r, names[best], d[np.arange(len(r)), best]))
+                    held += len(found[-1][0]) * x.shape[1]
+                    if held >= HELD:
+                        yield met(batch, found)
+                        found, held = [], 0
+                if found:
+                    yield met(batch, found)
+
+    return _passes(rows, centroids, meet, f"id {kind}, v array<double>, node long, score double")
+
+
+def _means(rows: DataFrame, centroids: DataFrame) -> DataFrame:
+    """node, c, variance, n: of the rows that are nearest to each centroid the mean vector, their mean squared distance from it, and how many they are.
+
+    rows and centroids as for :func:`_met`. A task adds its rows up; its sums are as many as the numbers that it is sent.
+    """
+
+    def add(children: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.sort(np.concatenate([names for names, _, _ in children.values()])) if children else np.zeros(0, np.int64)
+        total = None
         for batch in batches:
-            x, node = _matrix(batch.column(1)), np.asarray(batch.column(0), np.int64)
-            if not len(x):
+            x, node = _matrix(batch.column(1)), np.asarray(batch.column(2), np.int64)
+            to = np.full(len(x), -1)
+            for r, names, d in _scores(x, node, children):
+                to[r] = names[d.argmin(axis=1)]
+            order = np.argsort(to, kind="stable")
+            order = order[np.searchsorted(to[order], 0) :]
+            if not len(order):
                 continue
-            order = np.argsort(node, kind="stable")
-            names, starts = np.unique(node[order], return_index=True)
-            sums = np.add.reduceat(np.column_stack([np.ones(len(x)), (x * x).sum(axis=1), x])[order], starts, axis=0)
-            k = sums.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, k)), pa.array(np.tile(np.arange(k), len(names)), pa.int32()), pa.array(sums.ravel())], ["node", "k", "s"])
-
-    parts = rows.select("node", "v").mapInArrow(add, "node long, k int, s double").groupBy("node", "k").agg(F.sum("s").alias("s"))
+            total = np.zeros((len(known), 2 + x.shape[1])) if total is None else total
+            for at in range(0, len(order), 2048):
+                r = order[at : at + 2048]
+                names, starts = np.unique(to[r], return_index=True)
+                total[np.searchsorted(known, names)] += np.add.reduceat(np.column_stack([np.ones(len(r)), (x[r] * x[r]).sum(axis=1), x[r]]), starts, axis=0)
+        if total is None:
+            return
+        met, k = np.flatnonzero(total[:, 0]), total.shape[1]
+        step = max(1, HELD // k)
+        for at in range(0, len(met), step):
+            some = met[at : at + step]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(known[some], k)), pa.array(np.tile(np.arange(k), len(some)), pa.int32()), pa.array(total[some].ravel())], ["node", "k", "s"])
+
+    parts = _passes(rows, centroids, add, "node long, k int, s double").groupBy("node", "k").agg(F.sum("s").alias("s"))
     whole = parts.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda x: x.s).alias("s"))
     n = F.get("s", F.lit(0))
     c = F.transform(F.slice("s", 3, F.size("s")), lambda x: x / n)
@@ -123,7 +158,7 @@ def tree(points: DataFrame, branching: int = BRANCHING, leaf: int = LEAF, rounds
         parents = cut(now.select("node").distinct().withColumn("_p", F.row_number().over(Window.orderBy("node")) - 1))
         centroids = cut(firsts.join(parents, "node").select(F.col("node").alias("parent"), (base + F.col("_p") * branching + F.col("_k") - 1).alias("node"), F.col("v").alias("c"), F.lit(0.0).alias("variance")))
         for _ in range(rounds):
-            means = cut(_means(_met(now, centroids, False)))
+            means = cut(_means(now, centroids))
             after = cut(means.join(centroids.select("parent", "node", F.col("c").alias("_was")), "node"))
             still = after.filter(F.col("c") != F.col("_was")).limit(1).count() == 0 and after.count() == centroids.count()
             centroids = after.select("parent", "node", "c", "variance")

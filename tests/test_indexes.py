@@ -1,5 +1,10 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from tessera.operators import forest, kmeans_tree
 
@@ -136,3 +141,31 @@ def test_exact_walk_sends_a_query_to_few_cells(spark, monkeypatch):
     want = np.argsort(d, axis=1, kind="stable")[:, :2] + 100
     assert got == {(q, n + 1): int(want[q, n]) for q in range(100) for n in (0, 1)}
     assert sum(sent) <= 100 * 14
+
+
+def peak_mb(call):
+    tracemalloc.start()
+    try:
+        return call(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_workers_hold_bounded_parts(spark, monkeypatch):
+    """Where all vectors are copies every pair is a candidate, and rows of one node meet all its children: a worker holds neither at once."""
+    steps = []
+    took = lambda self, func, schema: steps.append(func) or spark.createDataFrame([], schema)
+    rows = frame(spark, np.zeros((2, 2)))
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", took)
+    leaf = rows.select(F.lit(0).alias("tree"), F.lit(0).cast("long").alias("leaf"), "id", "v")
+    forest._compared(leaf, leaf, 2)
+    same = pa.table({"id": pa.array(np.arange(1000)[::-1]), "v": pa.array([[1.0] * 64] * 1000)})
+    found, mb = peak_mb(lambda: steps[-1](same, same))
+    assert found.column("t").to_pylist() == [0, 1] * 1000 and set(found.column("d").to_pylist()) == {0.0} and mb < 60
+    centroids = spark.createDataFrame([(0, n + 1, [float(n)] * 64, 0.0) for n in range(16)], "parent long, node long, c array<double>, variance double")
+    monkeypatch.setattr(type(rows), "mapInArrow", took)
+    kmeans_tree._met(rows.withColumn("node", F.lit(0).cast("long")), centroids, True)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(2048)), pa.array(list(np.ones((2048, 64)))), pa.array(np.zeros(2048, np.int64))], ["id", "v", "node"])
+    got, mb = peak_mb(lambda: [(b.num_rows, set(zip(b.column("node").to_pylist(), b.column("score").to_pylist(), strict=True))) for b in steps[-1](iter([batch]))])
+    assert sum(n for n, _ in got) == 2048 * 16 and set().union(*(s for _, s in got)) == {(n + 1, 64.0 * (n - 1) ** 2) for n in range(16)}
+    assert max(n for n, _ in got) <= 8192 and mb < 16
